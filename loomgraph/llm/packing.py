@@ -212,9 +212,11 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     rows.append((key, k, at, len(part) // 4, zlib.crc32(part), (task * 7919 + n) % 1_000_003, part if keep_ids else b""))
                     at = first + k * capacity
                     n += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids"]).astype({"doc_id": pdf["id"].dtype})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, salt int, ids binary")
+    # ids travel as strings: pandas would turn longs into doubles where some are null
+    out = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long, salt int, ids binary")
+    out = out.withColumn("doc_id", F.col("doc_id").cast(id_type))
     return out if keep_ids else out.drop("ids")
 
 
