@@ -1,18 +1,17 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy, with calibrated rejection.
 
-A word's features are hashed character n-grams and the word itself; a text's vector is the mean over its words of the
-mean of their features' embeddings. As everything behind the embeddings is linear, a word's contribution to each class
-is a fixed row, which scoring looks up. A temperature is fitted on rows set aside, and a text is rejected when the
-probability of its language is below the least that all but a stated share of those rows reach.
+A text's features are its hashed character n-grams, within words and over their ends, and its hashed words; its vector
+is the mean of their embeddings. As everything behind the embeddings is linear, each bucket adds a fixed row to the
+logits, and scoring is one gather over the whole text. A temperature is fitted on rows set aside, and a text is rejected
+when the probability of its language is below the least that all but a stated share of those rows reach.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -21,32 +20,69 @@ from pyspark.sql import functions as F
 
 from .common import with_result
 
-WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-#: Words whose rows a worker keeps, before it starts anew.
-KEPT = 400_000
+#: Odd multipliers of the hash.
+MIX = np.array([2654435761, 2246822519, 3266489917, 668265263], dtype=np.uint32)
+#: Characters hashed at a time.
+PART = 1 << 18
 
 
-def buckets(word: str, size: int) -> list[int]:
-    """Hashed n-grams of 2 to 4 characters of the marked word, and the word."""
-    w = f"<{word[:40]}>" if len(word) > 40 else f"<{word}>"
-    grams = {w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)} | {w}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % size for g in sorted(grams)]
+@cache
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+@cache
+def _powers() -> np.ndarray:
+    return np.cumprod(np.full(4096, 2654435761, dtype=np.uint32), dtype=np.uint32)
 
 
-def features(text: str | None, size: int) -> tuple[list[int], list[float]]:
-    """Buckets and weights of a whole text; the weights sum to one."""
-    counts, total = Counter(words(text)), Counter()
-    n = sum(counts.values())
-    for w, c in counts.items():
-        own = buckets(w, size)
-        for b in own:
-            total[b] += c / (n * len(own))
-    return list(total), list(total.values())
+def _marked(text: str) -> np.ndarray:
+    """Code points of the lower-cased text, each run of other characters than letters made one zero, zeros at both ends."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.concatenate([[0], np.where(_letters()[c], c, 0), [0]]).astype(np.uint32)
+    return c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
+
+
+def _hashed(c: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of 2, 3 and 4 characters without a gap inside, then of the words."""
+    shift = np.uint32(32 - (size.bit_length() - 1))
+    letter = c != 0
+    for n in (2, 3, 4):
+        if len(c) < n:
+            continue
+        h = np.full(len(c) - n + 1, n * 40503, np.uint32)
+        whole = np.ones(len(h), bool)
+        for i in range(n):
+            h = (h + c[i : len(c) - n + 1 + i]) * MIX[i]
+            if 0 < i < n - 1:
+                whole &= letter[i : len(c) - n + 1 + i]
+        h = h[whole]
+        yield ((h ^ (h >> np.uint32(15))) * MIX[0]) >> shift
+    starts = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+    if len(starts):
+        ends = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
+        place = np.arange(len(c)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(c)]])))
+        sums = np.add.reduceat(c * _powers()[np.minimum(place, 4095)], starts, dtype=np.uint32)
+        h = sums * MIX[1] + (ends - starts).astype(np.uint32)
+        yield ((h ^ (h >> np.uint32(15))) * MIX[0]) >> shift
+
+
+def buckets(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """All buckets of a whole text, in parts; none if it has no letter. size: a power of two."""
+    c = _marked(text) if text else np.zeros(0, np.uint32)
+    if c.any():
+        for at in range(0, len(c), PART):
+            yield from _hashed(c[at : at + PART], size)
+
+
+def features(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets (int32) and weights (float32) of a whole text; the weights sum to one."""
+    total = np.zeros(size)
+    for b in buckets(text, size):
+        total += np.bincount(b, minlength=size)
+    own = np.flatnonzero(total)
+    return own.astype(np.int32), (total[own] / max(total.sum(), 1)).astype(np.float32)
 
 
 @dataclass
@@ -58,33 +94,24 @@ class Model:
     threshold: float  # texts whose best probability is below it are rejected
 
     def logits(self, texts) -> np.ndarray:
-        return np.array([self._one(x) for x in texts]).reshape(-1, len(self.classes))
-
-    def _one(self, text: str | None) -> np.ndarray:
-        held = self.__dict__.setdefault("_held", {})
-        found = words(text)
-        if not found:
-            return np.full(len(self.classes), np.nan)
-        total = np.zeros(len(self.classes))
-        for w, c in Counter(found).items():
-            row = held.get(w)
-            if row is None:
-                if len(held) >= KEPT:
-                    held.clear()
-                row = held[w] = self.rows[buckets(w, len(self.rows))].mean(0)
-            total += c * row
-        return total / len(found) + self.bias
+        """NaN for texts without letters."""
+        out = np.full((len(texts), len(self.classes)), np.nan)
+        for i, text in enumerate(texts):
+            total, n = np.zeros(len(self.classes)), 0
+            for b in buckets(text, len(self.rows)):
+                total += self.rows[b].sum(0)
+                n += len(b)
+            if n:
+                out[i] = total / n + self.bias
+        return out
 
     def probabilities(self, texts) -> np.ndarray:
         z = self.logits(texts) / self.temperature
         e = np.exp(z - np.nan_to_num(z.max(1, keepdims=True)) if len(z) else z)
         return e / e.sum(1, keepdims=True)
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_held"}
-
 
-def fit(rows: list[tuple[list[int], list[float], str]], size: int, width: int = 16, epochs: int = 12, rate: float = 0.6, aside: float = 0.2, rejected: float = 0.001, seed: int = 7) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], size: int, width: int = 16, epochs: int = 10, rate: float = 0.15, aside: float = 0.2, rejected: float = 0.001, seed: int = 7) -> Model:
     """SGD on rows (buckets, weights, language); every 1/aside-th row is set aside for the calibration."""
     classes = sorted({r[2] for r in rows})
     if not classes:
@@ -92,7 +119,7 @@ def fit(rows: list[tuple[list[int], list[float], str]], size: int, width: int =
     rng, k = np.random.default_rng(seed), len(classes)
     emb, out, bias = rng.normal(0, 0.1, (size, width)), rng.normal(0, 0.1, (width, k)), np.zeros(k)
     y = np.array([classes.index(r[2]) for r in rows])
-    own = [(np.array(r[0], dtype=np.int64), np.array(r[1])) for r in rows]
+    own = [(r[0], r[1]) for r in rows]
     held = np.arange(len(rows)) % max(2, round(1 / aside)) == 0 if len(rows) >= 20 else np.zeros(len(rows), bool)
     train = np.flatnonzero(~held)
     # sample rows of a rare language more often
@@ -113,7 +140,7 @@ def fit(rows: list[tuple[list[int], list[float], str]], size: int, width: int =
         back = out @ p
         out -= lr * np.outer(x, p)
         bias -= lr * p
-        emb[idx] -= lr * np.minimum(w * len(w), 8.0)[:, None] * back[None, :]
+        emb[idx] -= (lr / (w @ w)) * np.outer(w, back)  # moves the text's own vector by lr times the gradient
     table = emb @ out
     z = np.array([w @ table[i] + bias for i, w in own])
     check = np.flatnonzero(held) if held.any() else np.arange(len(rows))
@@ -123,11 +150,11 @@ def fit(rows: list[tuple[list[int], list[float], str]], size: int, width: int =
         p = np.log(np.maximum(_soft(z[check] / t), 1e-15))
         return float(-((1 - slack) * p[np.arange(len(check)), y[check]] + slack * p.mean(1)).mean())
 
-    best = min((loss(t), t) for t in np.geomspace(0.05, 20, 60))
+    best = min((loss(t), t) for t in np.geomspace(0.02, 50, 80))
     p = _soft(z[check] / best[1])
     right = np.sort(p.max(1)[p.argmax(1) == y[check]])
     least = right[int(rejected * len(right))] * 0.9 if len(right) else 0.0
-    return Model(classes, table, bias, best[1], float(min(least, 0.5)))
+    return Model(classes, table, bias, best[1], float(min(least, 1.5 / max(k, 3))))
 
 
 def _soft(z: np.ndarray) -> np.ndarray:
@@ -148,14 +175,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not picked:
         return fit([], size)
 
-    @F.pandas_udf("b array<int>, w array<float>")
+    @F.pandas_udf("b binary, w binary")  # packed: the driver holds no objects for single features
     def featured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([features(x, size) for x in texts], columns=["b", "w"])
+            yield pd.DataFrame([[a.tobytes() for a in features(x, size)] for x in texts], columns=["b", "w"])
 
     rows = known.where(F.col(id_col).isin(picked)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), featured(F.col(text_col)).alias("f")).dropDuplicates(["id"]).collect()
     rows.sort(key=lambda r: zlib.crc32(str(r["id"]).encode()))
-    return fit([(r["f"]["b"], r["f"]["w"], r["lang"]) for r in rows], size, **options)
+    return fit([(np.frombuffer(r["f"]["b"], np.int32), np.frombuffer(r["f"]["w"], np.float32), r["lang"]) for r in rows], size, **options)
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
