@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, langid, packing, pii, quality, simhash, spiece, topk
+from . import chat, hmm, langid, media, packing, pii, quality, simhash, spiece, topk
 from .common import in_fold, table
 
 #: Where the public tokenizers lie; a path parameter of the operators that read them.
@@ -31,6 +31,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image is drawn from every usable vector; a cropped, brightened copy of each vec_id divisible by 50 is searched for."""
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))).select(F.col("vec_id").alias("id"), "embedding")
+    images = rows.select("id", media.drawn(F.col("embedding")).alias("image"))
+    asked = rows.where(F.col("id") % 50 == 0).select("id", media.edited(media.drawn(F.col("embedding"))).alias("image"))
+    return media.copies(images, asked)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2)))
@@ -55,6 +63,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -80,10 +92,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
+    "op4_media": op4_media,
     "op5_language": op5_language,
     "op6_quality": op6_quality,
     "op7_hmm": op7_hmm,
     "op8_packing": op8_packing,
+    "op9_chat": op9_chat,
     "op10_topk": op10_topk,
 }
 
