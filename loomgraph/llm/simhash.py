@@ -133,7 +133,7 @@ def allocate(n: int, both: np.ndarray, tau: int) -> tuple[list[list[int]], list[
 
 
 def _mask(bits: list[int]) -> np.uint64:
-    return np.uint64(sum(1 << (BITS - 1 - b) for b in bits))
+    return np.uint64(sum(1 << (BITS - 1 - int(b)) for b in bits))
 
 
 def links(fps: DataFrame, tau: int = 3, hot_key: int = HOT_KEY) -> DataFrame:
