@@ -173,7 +173,7 @@ class Hmm:
                 alpha[now] *= beta  # now the state posteriors
                 if t:
                     back = slice(offset[t - 1], offset[t - 1] + active[t])
-                    move += alpha[back].T @ b
+                    move += self.move * (alpha[back].T @ b)
                     beta = np.ones((active[t - 1], len(self.start)))
                     beta[: active[t]] = b @ self.move.T
             start += alpha[: active[0]].sum(0)
@@ -182,15 +182,16 @@ class Hmm:
         return total
 
 
-def _maximise(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray, strength: float, before: Hmm | None = None) -> Hmm:
-    """prior: unigram shares of the symbols, to which each state's emissions are smoothed."""
+def _maximise(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray, share: float) -> Hmm:
+    """Each state's emissions are mixed with the unigram prior, which gets the share."""
     k = len(start)
     m = move + 1.0
     m = m / m.sum(1, keepdims=True)
-    return Hmm((start + 1) / (start.sum() + k), m, (emit + strength * prior[:, None]) / (emit.sum(0) + strength))
+    own = (emit + prior[:, None]) / (emit.sum(0) + 1)
+    return Hmm((start + 1) / (start.sum() + k), m, (1 - share) * own + share * prior[:, None])
 
 
-def fit(texts: DataFrame, vocab: Vocabulary, text_col: str = "text", id_col: str = "doc_id", states: int = 6, warm_rows: int = 1200, warm_rounds: int = 15, passes: int = 2, strength: float = 200.0, seed: int = 11) -> Hmm:
+def fit(texts: DataFrame, vocab: Vocabulary, text_col: str = "text", id_col: str = "doc_id", states: int = 6, warm_rows: int = 1200, warm_rounds: int = 15, passes: int = 2, share: float = 0.15, seed: int = 11) -> Hmm:
     """warm_rows: size bound of the sample (in the order of a hash of the id) whose rounds give the starting point."""
     prior = (vocab.counts + 1) / (vocab.counts.sum() + vocab.size)
     ids = [r[0] for r in texts.where(F.col(id_col).isNotNull()).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(warm_rows).collect()]
@@ -210,7 +211,7 @@ def fit(texts: DataFrame, vocab: Vocabulary, text_col: str = "text", id_col: str
     for _ in range(warm_rounds if sample else 0):
         counts = np.zeros(states), np.zeros((states, states)), np.zeros((vocab.size, states))
         model.expect(sample, *counts)
-        model = _maximise(*counts, prior, strength)
+        model = _maximise(*counts, prior, share)
     names = [f"s{k}" for k in range(states)]
     for _ in range(passes if vocab.tokens else 0):
 
@@ -231,7 +232,7 @@ def fit(texts: DataFrame, vocab: Vocabulary, text_col: str = "text", id_col: str
         sums = texts.select(text_col).mapInPandas(partial, "row int, " + ", ".join(f"{c} double" for c in names)).groupBy("row").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
         all_ = np.zeros((1 + states + vocab.size, states))
         all_[sums["row"].to_numpy(np.int64)] = sums[names].to_numpy()
-        model = _maximise(all_[0], all_[1 : 1 + states], all_[1 + states :], prior, strength)
+        model = _maximise(all_[0], all_[1 : 1 + states], all_[1 + states :], prior, share)
     return model
 
 
