@@ -67,6 +67,8 @@ class Model:
     longest: int
     pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
     words: dict[str, bytes] = field(default_factory=dict)
+    raw: list[bytes] = field(default_factory=list)  # what each id decodes to
+    ends: dict[str, tuple | None] = field(default_factory=dict)  # one entry for each piece and character met
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -90,34 +92,69 @@ class Model:
         back = {b: i for i, b in byte_of.items()}
         return cls(own, {t: scores[i] for t, i in own.items()}, text, byte_of, [back[b] for b in range(256)] if len(back) == 256 else [], kinds.index(UNKNOWN), trainer.get(3, 1) == 2, bool(normal.get(3, 1)), max(map(len, own)))
 
-    def merge(self, text: str) -> list[str]:
-        """Plain BPE: the adjacent pair with the best-scored concatenation, leftmost first, again and again."""
-        parts = list(text)
-        while True:
+    def spines(self, piece: str) -> tuple[list[tuple[str, float]], list[tuple[str, float]]] | None:
+        """How merging makes the piece, seen from its two ends: for the first and for the last symbol each symbol that stands
+        there and the score of the merge that takes it (-inf for the piece itself). None if merging does not make it.
+
+        A merge waits for those before it, so its score counts as the least so far.
+        """
+        if piece in self.ends:
+            return self.ends[piece]
+        parts, first, last, least = list(piece), [], [], float("inf")
+        while len(parts) > 1:
             best = max(((self.scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores), default=None)
             if best is None:
-                return parts
-            i = -best[1]
+                break
+            i, least = -best[1], min(least, best[0])
+            if i == 0:
+                first.append((parts[0], least))
+            if i + 2 == len(parts):
+                last.append((parts[-1], least))
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        never = float("-inf")
+        self.ends[piece] = ([*first, (piece, never)], [*last, (piece, never)]) if len(parts) == 1 else None
+        return self.ends[piece]
 
     def compatible(self, a: str, b: str) -> bool:
-        """Whether merging a + b gives a and b; with an empty a, whether merging b gives b."""
+        """Whether merging a + b gives a and b; with an empty a, whether merging b gives b.
+
+        Follows the symbols on either side of the seam: merging across it wins if its score beats that of the merges
+        that would take either symbol away (of equal merges the left one comes first).
+        """
         key = (a, b)
         if (known := self.pairs.get(key)) is None:
             if len(self.pairs) >= KEPT:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merge(a + b) == ([a, b] if a else [b])
+            known = self.pairs[key] = self._apart(a, b)
         return known
 
+    def _apart(self, a: str, b: str) -> bool:
+        right = self.spines(b)
+        if right is None or not a:
+            return right is not None
+        left = self.spines(a)[1]
+        i = j = 0
+        while True:
+            (x, goes_x), (y, goes_y) = left[i], right[0][j]
+            across = self.scores.get(x + y)
+            if across is not None and across > goes_x and across >= goes_y:
+                return False
+            if goes_x == goes_y == float("-inf"):
+                return True
+            if goes_x >= goes_y:
+                i += 1
+            else:
+                j += 1
+
     def ids_of(self, piece: str) -> list[int]:
         if piece in self.pieces:
             return [self.pieces[piece]]
         return [self.bytes_[b] for b in piece.encode("utf-8", "surrogatepass")] if self.bytes_ else [self.unknown]
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: dict[str, str]) -> None:
         """Walks the trie of the sorted words depth first; the stack holds the cells of the current path.
 
-        A cell is the best score of its prefix, where the prefix's last piece starts, and that piece.
+        words: marked word -> the part it is remembered by. A cell is the best score of its prefix, where the prefix's last piece starts, and that piece.
         """
         scores, pairs, longest, merging = self.scores, self.pairs, self.longest, self.merging
         cells: list[tuple[float, int, str]] = [(0.0, 0, "")]
@@ -156,50 +193,52 @@ class Model:
                 _, start, piece = cells[at]
                 ids.append(self.ids_of(piece))
                 at = start
-            self.words[word] = array("i", [i for part in reversed(ids) for i in part]).tobytes()
+            self.words[words[word]] = array("i", [i for part in reversed(ids) for i in part]).tobytes()
             before = word
 
-    def marked(self, text: str) -> list[str]:
-        """The marked words of a text: white space marks, then what follows up to the next mark."""
+    def parts(self, text: str) -> list[str]:
+        """What the marked words of a text are looked up by: a word that follows one blank by itself, any other piece of
+        the text with its marks (a run of blanks goes with the word after it, or stands alone at the end)."""
         if not text:
             return []
-        text = (" " if self.dummy_prefix else "") + text.replace(MARK, " ")
-        out, pending = [], 0
-        parts = text.split(" ")
-        if parts[0]:
-            out.append(parts[0])
-        for part in parts[1:]:
-            pending += 1
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        out = text.split(" ")
+        if not self.dummy_prefix:  # the first word has no mark: "" + word
+            out[0] = "\0" + out[0] if out[0] else ""
+        if "" not in out:
+            return out
+        held, pending = [], 0
+        for i, part in enumerate(out):
+            pending += i > 0 or self.dummy_prefix
             if part:
-                out.append(MARK * pending + part)
+                held.append(part if pending == 1 or (not i and not self.dummy_prefix) else MARK * pending + part)
                 pending = 0
-        if pending:
-            out.append(MARK * pending)
-        return out
+        return [*held, MARK * pending] if pending else held
+
+    def marked(self, part: str) -> str:
+        """The marked word of a part."""
+        return part[1:] if part[0] == "\0" and not self.dummy_prefix else part if part[0] == MARK else MARK + part
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null counts as empty."""
-        split = [self.marked(x or "") for x in texts]
+        split = [self.parts(x or "") for x in texts]
         if len(self.words) >= KEPT:
             self.words.clear()
-        self.learn([w for w in set().union(*split) if w not in self.words])
+        new = {self.marked(x): x for x in set().union(*split).difference(self.words)}
+        self.learn(new)
         return [np.frombuffer(b"".join(map(self.words.__getitem__, s)), np.int32) for s in split]
 
     def decode(self, ids) -> str:
         """The text of ids; control ids vanish, unknown ones give the replacement mark of the library."""
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif i == self.unknown:
-                out += " ⁇ ".encode()
-            elif self.text[i] in self.pieces:
-                out += self.text[i].replace(MARK, " ").encode()
-        text = out.decode("utf-8", "replace")
+        if not self.raw:
+            own = {self.unknown: " ⁇ ".encode()} | {i: bytes([b]) for i, b in self.byte_of.items()}
+            self.raw = [own[i] if i in own else t.replace(MARK, " ").encode() if t in self.pieces else b"" for i, t in enumerate(self.text)]
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"pairs": {}, "words": {}}
+        return self.__dict__ | {"pairs": {}, "words": {}, "ends": {}, "raw": []}
 
 
 _LOADED: dict[str, Model] = {}
@@ -223,8 +262,16 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "
     return with_result(docs, **{ids_col: run(F.col(text_col))})
 
 
-def _in_parts(m: Model, texts: list[str | None], size: int = 512) -> list[np.ndarray]:
-    return [ids for at in range(0, len(texts), size) for ids in m.encode(texts[at : at + size])]
+def _in_parts(m: Model, texts: list[str | None], most: int = 12_000_000) -> list[np.ndarray]:
+    """Texts are encoded together up to so many characters: the more words a trie holds, the more of them share a prefix."""
+    out, held, n = [], [], 0
+    for x in texts:
+        held.append(x)
+        n += len(x or "")
+        if n > most:
+            out += m.encode(held)
+            held, n = [], 0
+    return out + m.encode(held)
 
 
 def decoded(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
