@@ -161,8 +161,8 @@ def value_replace(spark, sf):
 @query("""WITH g AS (SELECT n1.v AS len, n2.v AS n, n3.v AS "K", n4.v AS p FROM (VALUES (10), (30), (100)) n1(v), (VALUES (100), (500)) n2(v), (VALUES (2), (3)) n3(v), (VALUES (20), (30)) n4(v))
 SELECT CAST(row_number() OVER (ORDER BY len, n, "K", p) AS BIGINT) AS task_id, CAST(50 AS BIGINT) AS nsim, CAST(len AS BIGINT) AS length, CAST(n AS BIGINT) AS n, CAST("K" AS BIGINT) AS "K", CAST(p AS BIGINT) AS p FROM g""")
 def config_grid(spark, sf):
-    sets = [{"N": [10, 30, 100], "n": [100, 500], "K": [2, 3], "p": [20, 30]}, {"N": [30], "n": [100], "K": [3], "p": [20]}]
-    return io.parameter_grid(spark, sets).toDF("task_id", "nsim", "length", "n", "K", "p")
+    sets = [{"length": [10, 30, 100], "n": [100, 500], "K": [2, 3], "p": [20, 30]}, {"length": [30], "n": [100], "K": [3], "p": [20]}]
+    return io.parameter_grid(spark, sets)
 
 
 # topics and metrics

@@ -143,14 +143,14 @@ def simulate_trial(spark: SparkSession, N: int, n: int, K: int, p: int, seed: in
 
 
 def simulate_grid(spark: SparkSession, grid: DataFrame, task_id: int, start_seed: int = 50, trials: int | None = None, **options) -> DataFrame:
-    """(task_id, trial, N, n, K, p, method, metric, value) of one row of the parameter grid."""
+    """(task_id, trial, length, n, K, p, method, metric, value) of one row of the parameter grid."""
     g = grid.where(F.col("task_id") == task_id).first()
     if g is None:
         raise ValueError(f"the grid has no task {task_id}")
     outs = []
     for t in range(g["nsim"] if trials is None else trials):
-        r = simulate_trial(spark, g["N"], g["n"], g["K"], g["p"], start_seed + t, **options)
-        outs.append(r.select(F.lit(task_id).alias("task_id"), F.lit(t).alias("trial"), *[F.lit(g[c]).alias(c) for c in ("N", "n", "K", "p")], "method", "metric", "value"))
+        r = simulate_trial(spark, g["length"], g["n"], g["K"], g["p"], start_seed + t, **options)
+        outs.append(r.select(F.lit(task_id).alias("task_id"), F.lit(t).alias("trial"), *[F.lit(g[c]).alias(c) for c in ("length", "n", "K", "p")], "method", "metric", "value"))
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)

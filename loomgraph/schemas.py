@@ -10,7 +10,8 @@ COORD_CSV = T.StructType([T.StructField("_c0", T.LongType()), T.StructField("CEL
 EDGE_CSV = T.StructType([T.StructField("_c0", T.LongType()), T.StructField("src", T.LongType()), T.StructField("tgt", T.LongType()), T.StructField("distance", T.DoubleType())])
 TYPE_CSV = T.StructType([T.StructField("_c0", T.LongType()), T.StructField("CELL_ID", T.LongType()), T.StructField("CELL_TYPE", T.StringType()), T.StructField("CELL_CLASS", T.StringType())])
 COUNT_CSV = T.StructType([T.StructField("_c0", T.StringType()), *[T.StructField(c, T.LongType()) for c in REGION_COUNTS]])
-GRID = T.StructType([T.StructField(c, T.LongType()) for c in ("task_id", "nsim", "N", "n", "K", "p")])
+#: The mean document length, N in parameter files, is called length: column names do not differ by case alone.
+GRID = T.StructType([T.StructField(c, T.LongType()) for c in ("task_id", "nsim", "length", "n", "K", "p")])
 META = T.StructType([T.StructField("region_id", T.StringType()), T.StructField("primary_outcome", T.IntegerType()), T.StructField("recurrence", T.IntegerType()), T.StructField("length_of_disease_free_survival", T.DoubleType())])
 
 

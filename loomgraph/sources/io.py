@@ -72,7 +72,7 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.GRID).option("header", True).option("sep", " ").csv(path)
 
 
-def parameter_grid(spark: SparkSession, sets: Iterable[dict[str, Iterable[int]]], names: tuple[str, ...] = ("N", "n", "K", "p"), nsim: int = 50) -> DataFrame:
+def parameter_grid(spark: SparkSession, sets: Iterable[dict[str, Iterable[int]]], names: tuple[str, ...] = ("length", "n", "K", "p"), nsim: int = 50) -> DataFrame:
     """Cartesian products of parameter sets, without repeats, numbered in order from 1. As small as its parameters."""
     rows = dict.fromkeys(x for s in sets for x in product(*[list(s[c]) for c in names]))
     return spark.createDataFrame([(i + 1, nsim, *r) for i, r in enumerate(rows)], ", ".join(f"{c} long" for c in ("task_id", "nsim", *names)))

@@ -243,21 +243,19 @@ def test_gram_and_cross_against_dense_numpy(corpus, spark):
     assert np.allclose(linalg.cross(sparse, u, len(terms), 2), m.T @ m[:, :2]) and np.allclose(linalg.small_gram(u, 2), m[:, :2].T @ m[:, :2])
 
 
-def test_graph_model_is_no_worse_than_plain(corpus):
-    nodes, a, counts = corpus
+def test_graph_model_beats_plain_on_short_documents(corpus):
+    nodes, a, _ = corpus
+    counts = simulate.draw_counts(nodes, a, 15, seed=1).withColumnRenamed("node", "doc_id").cache()
     edges = graph.undirected(graph.rbf_graph(nodes)).cache()
-    w0, found0, _, _ = pipelines.fit_method("plain", counts, None, 3)
-    w1, found1, vocab, _ = pipelines.fit_method("graph", counts, edges, 3, grid=8, step=2.5, rounds=2)
     truth = dict(nodes.select("node", "w").collect())
-    terms = [int(r["term"][1:]) for r in vocab.orderBy("term_id").collect()]
-
-    def error(w, found):
+    errors = []
+    for method, options in (("plain", {}), ("graph", {"grid": 12, "step": 2.0, "rounds": 2})):
+        w, found, vocab, _ = pipelines.fit_method(method, counts, edges, 3, **options)
         full = np.zeros((3, 24))
-        full[:, terms] = found
+        full[:, [int(r["term"][1:]) for r in vocab.orderBy("term_id").collect()]] = found
         p = align.mapping(full, a)
-        return sum(np.abs(np.array(r["w"]) @ p - truth[r["doc_id"]]).sum() for r in w.collect())
-
-    assert error(w1, found1) <= 1.05 * error(w0, found0)
+        errors.append((sum(np.abs(np.array(r["w"]) @ p - truth[r["doc_id"]]).sum() for r in w.collect()), np.abs(align.aligned(full, a) - a).sum()))
+    assert errors[1][0] < errors[0][0] and errors[1][1] < errors[0][1]
 
 
 def test_fixed_lambda_is_honoured_and_zero_leaves_the_plain_span(corpus):
