@@ -1,63 +1,13 @@
-"""What the operators of this subpackage share: tables in the shared folder, folds, result columns."""
+"""What the operators of this subpackage share: folds, result columns, and the tables of loomgraph.shared."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="loomgraph-")
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage is cut and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release(df: DataFrame) -> None:
-    """Deletes a table that materialise() wrote, once no later step reads it."""
-    import re
-
-    for f in df.inputFiles()[:1]:
-        for spark, path in list(_WRITTEN):
-            if re.sub(r"^file:/+", "/", path) in f:
-                _delete(spark, path)
-                _WRITTEN.remove((spark, path))
-
+from loomgraph.shared import materialise, release, shared_dir
 
-@atexit.register
-def _release_all() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # the session has gone; the folder's owner cleans up
-            return
+__all__ = ["in_fold", "materialise", "release", "shared_dir", "table", "with_result"]
 
 
 def in_fold(key: Column, modulus: int, remainder: int) -> Column:

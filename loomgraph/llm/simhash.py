@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, release
-from .components import components
+from loomgraph.operators.components import components
+
+from .common import materialise
 
 BITS = 64
 SEED = 42
@@ -209,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
     found = materialise(links(distinct, tau, hot_key).distinct(), "simhash-links")
     degree = found.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    roots = components(found)
+    roots = components(found).withColumnRenamed("node", "fp")
     linked = distinct.join(roots, "fp", "left").join(degree, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = linked.join(least, "root").select("fp", "component_id", "n_links")
@@ -221,6 +222,3 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     kept = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     known = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return known.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
-
-
-__all__ = ["fingerprint", "near_duplicates", "keep_one", "links", "allocate", "with_fingerprint", "release"]
