@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.simplex import ilr
+from loomgraph.operators.running import running
 
 
 def auc(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """One row: the area under the ROC curve as a rank sum over distinct scores; ties count half; null with one class only."""
     by = scores.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = by.select("p", "q", (F.col("p") * (below + F.col("q") / 2)).alias("w"))
+    wins = running(by, [score], ["q"]).select("p", "q", (F.col("p") * (F.col("before_q") + F.col("q") / 2)).alias("w"))
     total = wins.agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return total.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("w") / (F.col("p") * F.col("q"))).alias("auc"), F.col("p").alias("positives"), F.col("q").alias("negatives"))
 
@@ -21,9 +21,9 @@ def auc(scores: DataFrame, score: str = "score", label: str = "label") -> DataFr
 def roc(scores: DataFrame, score: str = "score", label: str = "label", grid: int = 26) -> DataFrame:
     """(sensitivity, specificity): the best specificity among thresholds that reach each of `grid` sensitivities."""
     by = scores.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     total = scores.agg(F.sum(F.col(label).cast("long")).alias("all_p"), F.sum(1 - F.col(label).cast("long")).alias("all_q"))
-    points = by.select((F.sum("p").over(w)).alias("tp"), F.sum("q").over(w).alias("fp")).crossJoin(F.broadcast(total))  # one row on the right
+    own = running(by, [score], ["p", "q"], descending=True)
+    points = own.select((F.col("before_p") + F.col("p")).alias("tp"), (F.col("before_q") + F.col("q")).alias("fp")).crossJoin(F.broadcast(total))  # one row on the right
     points = points.select((F.col("tp") / F.col("all_p")).alias("sens"), (1 - F.col("fp") / F.col("all_q")).alias("spec"))
     reached = points.select(F.explode(F.sequence(F.lit(0), F.floor(F.col("sens") * (grid - 1) + 1e-9).cast("int"))).alias("i"), "spec")
     return reached.groupBy("i").agg(F.max("spec").alias("specificity")).select((F.col("i") / (grid - 1)).alias("sensitivity"), "specificity")

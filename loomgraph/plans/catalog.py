@@ -17,6 +17,7 @@ from loomgraph.functions import linalg
 from loomgraph.functions.simplex import argmax, clr, ilr, ilr_basis, project
 from loomgraph.operators import align, graph, metrics, survival
 from loomgraph.operators import counts as C
+from loomgraph.operators.running import number_rows
 from loomgraph.plans import pipelines
 from loomgraph.plans.model import GraphTopics
 from loomgraph.sources import io
@@ -338,7 +339,7 @@ def edge_jump(spark, sf):
 def difference_matrix(spark, sf):
     p = points(spark, sf)
     e = graph.with_ends(graph.undirected(graph.nearest(p, 1).select("src", "tgt")), p, "x", "y")
-    return io.number_rows(e, "src", "tgt", name="edge_id").select("edge_id", "src", "tgt", r6(F.sqrt(graph.squared_distance())).alias("difference"))
+    return number_rows(e, "src", "tgt", name="edge_id").select("edge_id", "src", "tgt", r6(F.sqrt(graph.squared_distance())).alias("difference"))
 
 
 @query("""WITH RECURSIVE p AS (SELECT vec_id AS node, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings WHERE label = 0 AND vec_id < 400),

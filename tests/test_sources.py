@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import schemas
 from loomgraph.operators import counts as C
+from loomgraph.operators.running import number_rows
 from loomgraph.plans import pipelines
 from loomgraph.sources import io
 from loomgraph.streaming.online import OnlineTopics
@@ -69,7 +70,7 @@ def test_grid_cache_and_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 2
     out = pipelines.simulate_grid(spark, grid, 1, trials=1, methods=("plain",))
     assert {r["metric"] for r in out.collect()} == {"jump", "err", "l1_err", "acc", "time", "A_err", "A_l1_err"}
-    assert [r["pos"] for r in io.number_rows(spark.range(50).selectExpr("id * 7 % 50 AS v"), "v").orderBy("v").collect()] == list(range(50))
+    assert [r["pos"] for r in number_rows(spark.range(50).selectExpr("id * 7 % 50 AS v"), "v").orderBy("v").collect()] == list(range(50))
 
 
 def test_online_topics_over_a_stream(spark, tmp_path):
