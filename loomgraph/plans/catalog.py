@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import linalg
 from loomgraph.functions.simplex import argmax, clr, ilr, ilr_basis, project
-from loomgraph.operators import align, graph, metrics, survival
+from loomgraph.operators import align, features, graph, metrics, survival
 from loomgraph.operators import counts as C
 from loomgraph.operators.running import number_rows
 from loomgraph.plans import pipelines
@@ -585,3 +585,88 @@ def topic_alignment(spark, sf):
     e = t(spark, sf, "embeddings").select("label", (F.col("vec_id") % 2).alias("half"), F.posexplode("embedding").alias("i", "v")).groupBy("half", "label", "i").agg(F.avg("v").alias("a")).toPandas()
     a, b = (e[e["half"] == h].pivot(index="label", columns="i", values="a").to_numpy() for h in (0, 1))
     return spark.createDataFrame([(i, int(x)) for i, x in enumerate(align.mapping(a, b, signed=True).argmax(1))], "label int, matched int")
+
+
+# smaller operators
+
+
+@query("WITH f AS (SELECT DISTINCT doc_id % 4 AS fold FROM documents) SELECT CAST(a.fold AS BIGINT) AS a, CAST(b.fold AS BIGINT) AS b FROM f a JOIN f b ON a.fold < b.fold")
+def fold_pairs(spark, sf):
+    f = t(spark, sf, "documents").select((F.col("doc_id") % 4).alias("fold")).distinct()
+    return f.select(F.col("fold").alias("a")).join(f.select(F.col("fold").alias("b")), F.col("a") < F.col("b"))
+
+
+@query(f"WITH {NN1} SELECT src, tgt FROM mirrored")
+def mirrored_edges(spark, sf):
+    return graph.both_ways(graph.undirected(graph.nearest(points(spark, sf), 1).select("src", "tgt")))
+
+
+@query(f"WITH {TOKENS} SELECT term, CAST(row_number() OVER (ORDER BY sum(n) DESC, term) - 1 AS INTEGER) AS term_id FROM tokens GROUP BY term QUALIFY row_number() OVER (ORDER BY sum(n) DESC, term) <= 200")
+def vocabulary_top(spark, sf):
+    return C.vocabulary(doc_tokens(spark, sf), 200)
+
+
+@query("SELECT DISTINCT p_brand AS term FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_suppkey = 1)")
+def unmapped_terms(spark, sf):
+    held = brands(spark, sf).where("doc_id = 1").select("term")
+    return t(spark, sf, "part").select(F.col("p_brand").alias("term")).distinct().join(held, "term", "left_anti")
+
+
+@query("""WITH n AS (SELECT o_custkey AS cell_id, count(*) AS total FROM orders GROUP BY 1 HAVING count(*) >= 12)
+SELECT c_nationkey AS region_id, o_orderpriority AS term, CAST(count(*) AS BIGINT) AS n FROM orders JOIN n ON cell_id = o_custkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL""")
+def region_min_count(spark, sf):
+    o = t(spark, sf, "orders").join(t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("region_id")), "o_custkey")
+    counts = o.groupBy("region_id", F.col("o_custkey").alias("cell_id"), F.col("o_orderpriority").alias("term")).agg(F.count("*").alias("n"))
+    xy = counts.select("region_id", "cell_id").distinct().withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
+    kept, _, _ = C.prune_regions(counts, xy, xy.select("region_id", F.col("cell_id").alias("src"), F.col("cell_id").alias("tgt")), 12)
+    return kept.groupBy("region_id", "term").agg(F.sum("n").alias("n"))
+
+
+@query("""WITH p AS (SELECT vec_id AS node, label % 2 AS sample_id, label = 3 AS marked, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS m FROM embeddings)
+SELECT a.sample_id, a.node AS anchor, CAST(sum(CASE WHEN b.m > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS m, CAST(count(*) AS BIGINT) AS neighbours FROM p a JOIN p b ON a.sample_id = b.sample_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 0.06 * 0.06 WHERE a.marked GROUP BY ALL""")
+def marked_cell_features(spark, sf):
+    e = F.col("embedding")
+    p = t(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), (F.col("label") % 2).alias("sample_id"), (F.col("label") == 3).alias("marked"), *[e[i].cast("double").alias(c) for i, c in enumerate("xym")])
+    return features.featurise(p, "marked", [*features.marker_counts(["m"], 0.05), *features.neighbour_count()], 0.06)
+
+
+@query("""WITH p AS (SELECT vec_id AS node, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings), q AS (SELECT quantile_cont(a, 0.05) AS a0, quantile_cont(a, 0.97) AS a1, quantile_cont(b, 0.05) AS b0, quantile_cont(b, 0.97) AS b1 FROM p),
+c AS (SELECT node, least(1, greatest(0, (a - a0) / (a1 - a0))) AS a, least(1, greatest(0, (b - b0) / (b1 - b0))) AS b FROM p, q)
+SELECT node, round(a, 6) AS a, round(b, 6) AS b, round(pow((pow(a, 5) + pow(b * 0.5, 5)) / 2, 0.2), 6) AS red FROM c""")
+def false_colour(spark, sf):
+    e = F.col("embedding")
+    p = t(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), e[0].cast("double").alias("a"), e[1].cast("double").alias("b"))
+    c = features.blended(features.clipped_channels(p, ["a", "b"]), {"a": (1.0, 0.0, 0.0), "b": (0.5, 0.5, 0.0)})
+    return c.select("node", r6("a").alias("a"), r6("b").alias("b"), r6("red").alias("red"))
+
+
+@query("SELECT o_orderpriority AS method, CAST(o_custkey % 7 AS BIGINT) AS point, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY ALL")
+def grid_means(spark, sf):
+    return t(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("method"), (F.col("o_custkey") % 7).alias("point")).agg(r6(F.avg("o_totalprice")).alias("mean"))
+
+
+@query()
+def graph_factor_topics(spark, sf):
+    """(topic, term, a): topics of the plain model taken from its factors alone."""
+    m = GraphTopics(3).fit(_model_tokens(spark, sf, 50))
+    m.a = m.factor_topics()
+    return m.terms().withColumn("a", r6("a"))
+
+
+@query()
+def spanning_forest(spark, sf):
+    e = graph.exp_weights(knn_edges(spark, sf), points(spark, sf))
+    return graph.spanning_forest(e).select("src", "tgt", r6("weight").alias("weight"))
+
+
+@query()
+def random_folds(spark, sf):
+    return graph.random_folds(points(spark, sf).select("node"), 5)
+
+
+@query()
+def outcome_auc(spark, sf):
+    """(repeat, auc) of logistic models of an event on group shares' log-ratio coordinates."""
+    b = brands(spark, sf).groupBy("doc_id").pivot("term", ["Brand#11", "Brand#12", "Brand#13"]).agg(F.sum("n")).na.fill(1)
+    z = survival.ilr_columns(b.withColumn("label", (F.col("doc_id") % 2).cast("int")), ["`Brand#11`", "`Brand#12`", "`Brand#13`"])
+    return survival.repeated_auc(z, ["z1", "z2"], "label", "doc_id", 2).withColumn("auc", r6("auc"))

@@ -81,3 +81,25 @@ def test_online_topics_over_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     topics.start(stream, f"{tmp_path}/check").awaitTermination()
     assert topics.step >= 1 and topics.model.topics.shape == (2, 6)
+
+
+def test_command_line(spark, regions, tmp_path):
+    from loomgraph.__main__ import main
+
+    main(["regions", "--folder", regions, "--out", f"{tmp_path}/out", "--k", "2", "--methods", "plain", "--least", "1"])
+    assert spark.read.parquet(f"{tmp_path}/out/w/plain").count() == 5
+    main(["survival", "--folder", regions, "--meta", f"{regions}/meta.csv", "--out", f"{tmp_path}/surv", "--k", "2", "--methods", "plain", "--least", "1"])
+    assert spark.read.option("header", True).csv(f"{tmp_path}/surv/plain-2").columns[:3] == ["region_id", "Topic0", "Topic1"]
+
+
+def test_plans_push_down_and_prune(spark, sf):
+    """Scans read only the columns asked for, filters reach them, and no plan has a Python row function."""
+    from loomgraph.plans.catalog import QUERIES
+
+    plan = QUERIES["dtm_pivot"](spark, sf)._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<user_id:bigint,event_type:string>" in plan
+    plan = QUERIES["shared_count_topk"](spark, sf)._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(o_custkey,300)" in plan and "WindowGroupLimit" in plan
+    for name in ("simplex_projection", "row_normalize", "group_median_iqr", "argmax_topic"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Pandas" not in plan
