@@ -3,7 +3,7 @@
 The plain patterns run on the text itself (the base). Beside them a chain of transducers rewrites disguises - look-alike
 and invisible characters, spelled digits, at/dot words - while each character of the rewritten text keeps the span of
 source characters that it came from. The same patterns run on the rewritten text; what they find on rewritten
-characters is mapped back to the source and added where it meets no base span of its kind. Base spans always stay.
+characters is mapped back to the source and added unless a base span of its kind holds it. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -86,9 +86,10 @@ class Mapped:
         return self
 
 
-#: Cyrillic and Greek letters that look like Latin ones, pairwise.
-LOOKALIKES = dict(zip("АВЕКМНОРСТУХаеорсухіјѕԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανι", "ABEKMHOPCTYXaeopcyxijsdhqwABEZHIKMNOPTYXoavi", strict=True))
-DISGUISED = re.compile("[" + "".join(LOOKALIKES) + "­​-‏⁠﻿！-～‐-―․﹒﹫²³¹⁰-₉①-⑨\U0001d400-\U0001d7ff]|(?![0-9])\\d")
+#: Cyrillic, Greek and other letters that look like Latin ones, pairwise.
+LOOKALIKES = dict(zip("АВЕКМНОРСТУХаеорсухкмтіјѕԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανικρτυεχıℓ", "ABEKMHOPCTYXaeopcyxkmtijsdhqwABEZHIKMNOPTYXoavikptuexil", strict=True))
+#: Those, invisible characters, full-width forms, dashes, dots, raised, lowered and circled digits, styled letters, other digits.
+DISGUISED = re.compile("[" + "".join(LOOKALIKES) + "­​-‏⁠﻿！-～‐-―․。﹒﹫²³¹⁰-₉①-⑨\U0001d400-\U0001d7ff]|(?![0-9])\\d")
 #: Spelled digits of the languages at hand; each row has the words for 0 to 9.
 SPELLED = """zero one two three four five six seven eight nine
 null eins zwei drei vier fünf sechs sieben acht neun
@@ -99,6 +100,9 @@ ONE = "(?:" + "|".join(sorted(DIGIT, key=len, reverse=True)) + ")"
 #: At least three spelled digits, parted by blanks or one mark.
 DIGITS = re.compile(rf"(?<!\w){ONE}(?:[\s,/-]{{1,3}}{ONE}){{2,}}(?!\w)|(?<=[0-9.@+])[\s]?{ONE}(?:[\s,/-]{{1,3}}{ONE}){{1,}}(?!\w)", re.I)
 WORD = re.compile(ONE, re.I)
+#: Letters that stand for digits between digits.
+LETTER_DIGIT = re.compile(r"(?<=[0-9.])[OoIl|]{1,4}(?=[0-9.])|(?<![A-Za-z0-9])[OoIl](?=[0-9OoIl]{0,3}[0-9][0-9.\x20-])|(?<=[0-9])[OoIl](?![A-Za-z0-9@])")
+AS_DIGITS = str.maketrans("OoIl|", "00111")
 AT, DOT = "(?:at|arroba|ät|arobase)", "(?:dot|punkt|punto|point)"
 BRACKET_AT = re.compile(rf"\s{{0,3}}[\[({{<]\s?(?:{AT}|@)\s?[\])}}>]\s{{0,3}}", re.I)
 BRACKET_DOT = re.compile(rf"\s{{0,3}}[\[({{<]\s?(?:{DOT}|\.)\s?[\])}}>]\s{{0,3}}", re.I)
@@ -109,15 +113,17 @@ WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{NAME}+(?:\s{{1,3}}dot\s{{1,3}}|\
 WORDS = re.compile(r"\s{1,3}(dot|at)\s{1,3}", re.I)
 SPACED = re.compile(r"(?<=[A-Za-z0-9])\x20?@\x20(?=[A-Za-z0-9-]{1,63}\.[A-Za-z]{2})|(?<=[A-Za-z0-9])\x20@(?=[A-Za-z0-9-]{1,63}\.[A-Za-z]{2})")
 #: Without any of these, no transducer changes what a pattern finds.
-HINT = re.compile(rf"(?<!\w){ONE}[\s,/-]{{1,3}}{ONE}|[\[({{<]\s?(?:{AT}|{DOT}|@|\.)\s?[\])}}>]|(?<!\w){DOT}(?!\w)|\x20@|@\x20", re.I)
+HINT = re.compile(rf"[0-9.][OoIl|]{{1,4}}[0-9.]|(?<!\w){ONE}[\s,/-]{{1,3}}{ONE}|[\[({{<]\s?(?:{AT}|{DOT}|@|\.)\s?[\])}}>]|(?<!\w){DOT}(?!\w)|\x20@|@\x20", re.I)
 
 
 def _plain(m: re.Match) -> str:
     c = m[0]
     if c in LOOKALIKES:
         return LOOKALIKES[c]
-    if "‐" <= c <= "―":
+    if "\u2010" <= c <= "\u2015":
         return "-"
+    if c == "\u3002":
+        return "."
     folded = unicodedata.normalize("NFKC", c)
     if folded.isascii():
         return folded
@@ -134,6 +140,7 @@ def deobfuscate(text: str) -> Mapped:
         m.rewrite(DISGUISED, _plain)
     if HINT.search(m.text):
         m.rewrite(DIGITS, lambda x: "".join(DIGIT[w.lower()] for w in WORD.findall(x[0])))
+        m.rewrite(LETTER_DIGIT, lambda x: x[0].translate(AS_DIGITS))
         m.rewrite(DIGIT_DOT, lambda _: ".").rewrite(PLUS, lambda _: "+")
         m.rewrite(BRACKET_AT, lambda _: "@").rewrite(BRACKET_DOT, lambda _: ".")
         m.rewrite(WORDED, _joined).rewrite(SPACED, lambda _: "@")
@@ -149,13 +156,12 @@ def detect(text: str | None) -> tuple[list[Span], list[Span]]:
     m, more = deobfuscate(text), []
     if 1 not in m.new and len(m.text) == len(text):
         return base, base
-    ends = {k: [e for _, kind, e in base if kind == k] for k in range(len(KINDS))}
-    starts = {k: [s for s, kind, _ in base if kind == k] for k in range(len(KINDS))}
+    starts, ends = ({k: [x[i] for x in base if x[1] == k] for k in range(len(KINDS))} for i in (0, 2))
     for s, k, e in find(m.text):
         a, b = m.start[s], m.end[e - 1]
         if 1 in m.new[s:e] or b - a != e - s:
-            i = bisect_left(ends[k], a + 1)
-            if i == len(ends[k]) or starts[k][i] >= b:
+            i = bisect_right(starts[k], a) - 1  # the only base span that could hold it
+            if i < 0 or ends[k][i] < b:
                 more.append((a, k, b))
     return base, sorted({*base, *more})
 

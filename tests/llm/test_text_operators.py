@@ -73,6 +73,10 @@ def test_pii_query_counts_and_digest(spark, sf):
         ("jоhn@exаmple.com", ["jоhn@exаmple.com"]),
         ("host one nine two dot one six eight dot 1 dot 12", ["one nine two dot one six eight dot 1 dot 12"]),
         ("４０８００３２８３７２３５８１９", ["４０８００３２８３７２３５８１９"]),
+        ("jo\u200bhn@example.com", ["jo\u200bhn@example.com", "hn@example.com"]),
+        ("4O8OO32837235819", ["4O8OO32837235819"]),
+        ("on l92.l68.O.1 now", ["l92.l68.O.1"]),
+        ("call +1 (5O5) 555-O123 now", ["+1 (5O5) 555-O123"]),
         ("plain words at the door, one two three, dot dot dot", []),
         ("a@b.cd and x [at] y [dot] zz", ["a@b.cd", "x [at] y [dot] zz"]),
     ],
