@@ -28,6 +28,8 @@ END = b""
 SHAPES = 16
 #: Distinct words that a task holds before it hands on their counts, and tokens in a block of texts.
 HELD_WORDS, BLOCK_TOKENS, BATCH_TOKENS = 300_000, 2_000_000, 400_000
+#: Tokens that a task gathers before it counts: long texts take as many steps one by one as side by side.
+TRAIN_TOKENS = 6_000_000
 FINE = 64  # bins of counts for each doubling
 
 
@@ -40,15 +42,32 @@ def shape(w: bytes) -> int:
     return min(len(w) // 5, 3) * 4 + 2 * (not (97 <= w[-1] <= 122 or w[-1] > 127)) + (not w.isascii())
 
 
+def shapes(found: list[bytes]) -> np.ndarray:
+    """shape() of many words at once."""
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    chars, ends = np.frombuffer(b"".join(found), np.uint8), np.cumsum(size)
+    last = chars[ends - 1]
+    letter = ((last >= 97) & (last <= 122)) | (last > 127)
+    wide = np.maximum.reduceat(chars, ends - size) > 127
+    return (np.minimum(size // 5, 3) * 4 + 2 * (~letter).astype(np.int64) + wide).astype(np.int32)
+
+
 def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, shape, c) over all rows of texts; the end of a text is the empty word."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter[bytes] = Counter()
 
+        def shaped(keys: list[bytes]) -> np.ndarray:
+            kinds = np.full(len(keys), -1, np.int32)
+            own = [i for i, w in enumerate(keys) if w]
+            if own:
+                kinds[own] = shapes([keys[i] for i in own])
+            return kinds
+
         def out() -> pd.DataFrame:
             keys = list(held)
-            frame = pd.DataFrame({"word": keys, "shape": np.array([shape(w) if w else -1 for w in keys], np.int32), "c": np.fromiter(held.values(), np.int64, len(held))})
+            frame = pd.DataFrame({"word": keys, "shape": shaped(keys), "c": np.fromiter(held.values(), np.int64, len(held))})
             held.clear()
             return frame
 
@@ -86,7 +105,7 @@ class Vocabulary:
         rare = np.flatnonzero(ids < 0)
         if len(rare):
             ids = ids.copy()
-            ids[rare] = np.fromiter((shape(found[i]) for i in rare), np.int32, len(rare)) + len(self.ids)
+            ids[rare] = shapes([found[i] for i in rare]) + len(self.ids)
         return ids
 
 
@@ -221,7 +240,7 @@ def fit(texts: DataFrame, vocab: Vocabulary, text_col: str = "text", id_col: str
                 for w in map(words, pdf[text_col]):
                     held.append(vocab.shaped(vocab.symbols(w), w))
                     n += len(w) + 1
-                    if n > BLOCK_TOKENS:
+                    if n > TRAIN_TOKENS:
                         model.expect(held, start, move, emit)
                         held, n = [], 0
             model.expect(held, start, move, emit)

@@ -96,6 +96,14 @@ def test_hmm_query_base_scores_and_gain(spark, sf):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_hmm_shapes_agree(spark):
+    found = [b"a", b"abcde", b"abc.", "\u00e9\u00e9".encode(), b"x" * 40, "ab\u00df,".encode(), b"9", b"abcdefghijk"]
+    want = [hmm.shape(w) for w in found]
+    assert hmm.shapes(found).tolist() == want
+    df = spark.createDataFrame([(i, bytearray(w)) for i, w in enumerate(found)], "i int, w binary")
+    assert [r["s"] for r in df.select("i", hmm.shape_of(df["w"]).alias("s")).orderBy("i").collect()] == want
+
+
 def test_hmm_is_a_distribution(spark):
     texts = ["a b", "a", "b b a", "", "a b a b", "cc"]
     df = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
