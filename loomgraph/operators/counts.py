@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.schemas import require
+from loomgraph.shared import materialise
 
 
 def tokens(text: Column, least: int = 2) -> Column:
@@ -52,6 +53,7 @@ def filter_terms(counts: DataFrame, least: int = 10) -> DataFrame:
 
 def filter_both(counts: DataFrame, least_doc: int = 10, least_term: int = 10, doc: str = "doc_id") -> DataFrame:
     """Terms, then documents, then terms again: what a term still has after documents have gone counts."""
+    counts = materialise(counts, "counts")  # read by each of the filters
     return filter_terms(filter_docs(filter_terms(counts, least_term), least_doc, doc), least_term)
 
 

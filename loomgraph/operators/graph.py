@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import components
-from loomgraph.shared import materialise, release
+from loomgraph.shared import materialise
 
 #: Distances that agree to so many digits are ties, and ids decide.
 DIGITS = 9
@@ -157,18 +157,15 @@ def hops(edges: DataFrame, nodes: DataFrame, roots: DataFrame | None = None) ->
     """(node, root, hop): breadth-first distance from each component's least node, one join a level."""
     roots = materialise(component_of(edges, nodes) if roots is None else roots, "roots")
     both = materialise(both_ways(edges.select("src", "tgt")).where("src <> tgt").distinct(), "edges")
-    seen = materialise(roots.where("node = root").withColumn("hop", F.lit(0)), "hops")
-    front, hop = seen, 0
-    while True:
-        hop += 1
+    # a neighbour of a level lies on it, on the one before or on the next
+    before, front, levels = None, materialise(roots.where("node = root").withColumn("hop", F.lit(0)), "front"), []
+    while front.take(1):
+        levels.append(front)
         step = front.select(F.col("node").alias("src"), "root").join(both, "src").select(F.col("tgt").alias("node"), "root").distinct()
-        front = materialise(step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)), "front")
-        if not front.take(1):
-            return seen
-        new = materialise(seen.unionByName(front), "hops")
-        if hop > 1:
-            release(seen)
-        seen = new
+        for known in (front, before):
+            step = step.join(known.select("node"), "node", "left_anti") if known is not None else step
+        before, front = front, materialise(step.withColumn("hop", F.lit(len(levels))), "front")
+    return materialise(reduce(DataFrame.unionByName, levels, front), "hops")
 
 
 def tree_folds(edges: DataFrame, nodes: DataFrame, folds: int = 5) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.special import dirichlet_expectation, gammaln
-from loomgraph.shared import materialise
+from loomgraph.shared import materialise, spread
 
 
 def e_step(idx: np.ndarray, val: np.ndarray, prior: np.ndarray, beta: np.ndarray, rounds: int = 100, tol: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -29,6 +29,32 @@ def e_step(idx: np.ndarray, val: np.ndarray, prior: np.ndarray, beta: np.ndarray
     return gamma, np.outer(theta, val / (theta @ b + 1e-100))
 
 
+def dense_parts(pdf: pd.DataFrame, p: int, cells: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Counts (documents x terms) and priors of the rows of pdf, in parts of bounded size."""
+    size = max(1, cells // max(p, 1))
+    for at in range(0, len(pdf), size):
+        part = pdf.iloc[at : at + size]
+        lengths = [len(i) for i in part["idx"]]
+        out = np.zeros((len(part), p))
+        if sum(lengths):
+            out[np.repeat(np.arange(len(part)), lengths), np.concatenate(part["idx"].to_list())] = np.concatenate(part["val"].to_list())
+        yield out, np.array(part["prior"].to_list(), dtype=float)
+
+
+def e_steps(counts: np.ndarray, prior: np.ndarray, beta: np.ndarray, rounds: int = 100, tol: float = 1e-3) -> np.ndarray:
+    """e_step()'s gamma of many documents at once; a document that has settled leaves the rounds."""
+    gamma, open_ = np.ones_like(prior), np.arange(len(prior))
+    for _ in range(rounds):
+        theta = np.exp(dirichlet_expectation(gamma[open_]))
+        new = prior[open_] + theta * ((counts[open_] / (theta @ beta + 1e-100)) @ beta.T)
+        change = np.abs(new - gamma[open_]).mean(1)
+        gamma[open_] = new
+        open_ = open_[change >= tol]
+        if not len(open_):
+            break
+    return gamma
+
+
 @dataclass
 class Lda:
     components: np.ndarray  # K x terms, variational parameters
@@ -47,8 +73,9 @@ class Lda:
 
         @F.pandas_udf("array<double>")
         def run(idx: pd.Series, val: pd.Series, prior: pd.Series) -> pd.Series:
-            out = [e_step(np.asarray(i, int), np.asarray(v, float), np.asarray(a, float), beta)[0] for i, v, a in zip(idx, val, prior, strict=True)]
-            return pd.Series([g / g.sum() if normal else g for g in out], dtype=object)
+            parts = dense_parts(pd.DataFrame({"idx": idx, "val": val, "prior": prior}), beta.shape[1])
+            out = [g / g.sum() if normal else g for counts, a in parts for g in e_steps(counts, a, beta)]
+            return pd.Series(out, dtype=object)
 
         return docs.select(doc, run("idx", "val", "prior").alias("w"))
 
@@ -59,10 +86,10 @@ class Lda:
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s, n = np.zeros((k, p)), 0
             for pdf in batches:
-                for i, v, a in zip(pdf["idx"], pdf["val"], pdf["prior"], strict=True):
-                    i = np.asarray(i, int)
-                    s[:, i] += e_step(i, np.asarray(v, float), np.asarray(a, float), beta)[1]
-                    n += 1
+                for counts, a in dense_parts(pdf, p):
+                    theta = np.exp(dirichlet_expectation(e_steps(counts, a, beta)))
+                    s += theta.T @ (counts / (theta @ beta + 1e-100))
+                    n += len(a)
             t, j = np.nonzero(s)
             yield pd.DataFrame({"t": np.append(t, -1).astype(np.int32), "j": np.append(j, 0).astype(np.int32), "v": np.append(s[t, j], n)})
 
@@ -119,7 +146,7 @@ def with_prior(sparse: DataFrame, k: int, alpha: float | None = None) -> DataFra
 
 def fit(docs: DataFrame, k: int, p: int, rounds: int = 10, model: Lda | None = None, seed: int = 0, tol: float = 0.0) -> Lda:
     """Batch variational EM over docs (doc, idx, val: counts, prior)."""
-    docs = materialise(docs, "lda")
+    docs = materialise(spread(docs), "lda")
     model = model or start(k, p, seed=seed)
     for _ in range(rounds):
         new = model.em_step(docs)

@@ -20,6 +20,7 @@ from loomgraph.operators import counts as C
 from loomgraph.operators.running import number_rows
 from loomgraph.plans import pipelines
 from loomgraph.plans.model import GraphTopics
+from loomgraph.shared import materialise, spread
 from loomgraph.sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,7 +63,7 @@ def user_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return C.term_counts(t(spark, sf, "documents"), C.tokens(F.col("text")), "doc_id")
+    return C.term_counts(spread(t(spark, sf, "documents").select("doc_id", "text")), C.tokens(F.col("text")), "doc_id")
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
@@ -506,7 +507,7 @@ def logistic_shares(spark, sf):
 
 
 def _model_tokens(spark, sf, size: int = 200) -> DataFrame:
-    tokens = doc_tokens(spark, sf)
+    tokens = materialise(doc_tokens(spark, sf), "tokens")
     own = tokens.join(F.broadcast(C.vocabulary(tokens, size).select("term")), "term", "left_semi")  # `size` rows
     return C.filter_docs(own, 10)
 

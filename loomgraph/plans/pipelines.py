@@ -53,6 +53,7 @@ def fit_method(method: str, counts: DataFrame, edges: DataFrame | None, k: int,
     if method in ("plain", "graph"):
         m = GraphTopics(k, method, **options).fit(counts, edges)
         return m.w, m.a, m.vocab, time.time() - began
+    counts = materialise(counts, "counts")
     vocab = C.vocabulary(counts, 4000).persist()
     if method == "topicscore":
         w, a = topicscore.fit(C.normalise(counts), vocab, k, **options)

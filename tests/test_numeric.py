@@ -304,6 +304,15 @@ def test_lda_prior_belongs_to_its_document():
     assert g[0] > 40 and math.isclose(g.sum(), 52, rel_tol=1e-6)
 
 
+def test_lda_steps_of_many_documents_equal_single_ones():
+    rng = np.random.default_rng(13)
+    beta, counts, prior = rng.random((3, 7)), rng.integers(0, 4, (9, 7)).astype(float), rng.random((9, 3)) + 0.1
+    many = lda.e_steps(counts, prior, beta)
+    for i in range(9):
+        own = np.flatnonzero(counts[i])
+        assert np.allclose(many[i], lda.e_step(own, counts[i][own], prior[i], beta)[0], atol=1e-6)
+
+
 def test_dirichlet_newton_reaches_a_stationary_point():
     rng = np.random.default_rng(8)
     r, logs = rng.random((6, 3)), special.dirichlet_expectation(rng.random((6, 3)) + 0.5)
