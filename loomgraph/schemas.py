@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: The columns of region count files.
 REGION_COUNTS = ("CD4 T cell", "CD8 T cell", "B cell", "Macrophage", "Granulocyte", "Blood vessel", "Stroma", "Other")
 COORD_CSV = T.StructType([T.StructField("_c0", T.LongType()), T.StructField("CELL_ID", T.LongType()), T.StructField("X", T.DoubleType()), T.StructField("Y", T.DoubleType())])
 EDGE_CSV = T.StructType([T.StructField("_c0", T.LongType()), T.StructField("src", T.LongType()), T.StructField("tgt", T.LongType()), T.StructField("distance", T.DoubleType())])
