@@ -109,11 +109,33 @@ BRACKET_DOT = re.compile(rf"\s{{0,3}}[\[({{<]\s?(?:{DOT}|\.)\s?[\])}}>]\s{{0,3}}
 DIGIT_DOT = re.compile(rf"(?<=[0-9])\s{{1,3}}{DOT}\s{{1,3}}(?=[0-9])", re.I)
 PLUS = re.compile(r"(?<!\w)plus\s{1,3}(?=[0-9])", re.I)
 NAME = "[A-Za-z0-9_%+-]"
-WORDED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{NAME}+(?:\s{{1,3}}dot\s{{1,3}}|\.))*{NAME}+(?:\s{{1,3}}at\s{{1,3}}|@)[A-Za-z0-9-]+(?:(?:\s{{1,3}}dot\s{{1,3}}|\.)[A-Za-z0-9-]+)*\s{{1,3}}dot\s{{1,3}}[A-Za-z]{{2,24}}(?![A-Za-z0-9])", re.I)
-WORDS = re.compile(r"\s{1,3}(dot|at)\s{1,3}", re.I)
+def _worded(dot: str, at: str, top: str) -> str:
+    return rf"(?<![A-Za-z0-9._%+-])(?:{NAME}+(?:\s{{1,3}}{dot}\s{{1,3}}|\.))*{NAME}+{at}[A-Za-z0-9-]+(?:(?:\s{{1,3}}{dot}\s{{1,3}}|\.)[A-Za-z0-9-]+)*\s{{1,3}}{dot}\s{{1,3}}{top}(?![A-Za-z0-9])"
+
+
+WORDED = re.compile(_worded("(?:dot|punkt|punto)", rf"(?:\s{{1,3}}{AT}\s{{1,3}}|@)", "[A-Za-z]{2,24}"), re.I)
+#: "looked at this point in" is English: between `at` and `point` only these ends make an address.
+TOP = "(?:com|net|org|info|biz|edu|gov|eu|fr|ch|ca|lu|io)"
+WORDED_POINT = re.compile(_worded("point", r"(?:\s{1,3}(?:arroba|ät|arobase)\s{1,3}|@)", "[A-Za-z]{2,24}") + "|" + _worded("point", r"\s{1,3}at\s{1,3}", TOP), re.I)
+WORDS = re.compile(rf"\s{{1,3}}({DOT}|{AT})\s{{1,3}}", re.I)
+IS_DOT = re.compile(DOT, re.I)
 SPACED = re.compile(r"(?<=[A-Za-z0-9])\x20?@\x20(?=[A-Za-z0-9-]{1,63}\.[A-Za-z]{2})|(?<=[A-Za-z0-9])\x20@(?=[A-Za-z0-9-]{1,63}\.[A-Za-z]{2})")
-#: Without any of these, no transducer changes what a pattern finds.
-HINT = re.compile(rf"[0-9.][OoIl|]{{1,4}}[0-9.]|(?<!\w){ONE}[\s,/-]{{1,3}}{ONE}|[\[({{<]\s?(?:{AT}|{DOT}|@|\.)\s?[\])}}>]|(?<!\w){DOT}(?!\w)|\x20@|@\x20", re.I)
+#: What a match of each transducer contains, in their order: without any of these, none of them changes the text.
+TRIGGERS = [
+    re.compile(t, re.I)
+    for t in (
+        rf"(?<![^\W0-9]){ONE}[\s,/-]{{1,3}}{ONE}",  # DIGITS
+        r"(?-i:[0-9.][OoIl|]|[OoIl][0-9])",  # LETTER_DIGIT
+        rf"\s{DOT}\s",  # DIGIT_DOT, WORDED, WORDED_POINT
+        r"plus\s{1,3}[0-9]",  # PLUS
+        rf"[\[({{<]\s?(?:{AT}|{DOT}|@|\.)\s?[\])}}>]",  # BRACKET_AT, BRACKET_DOT
+        r"\x20@|@\x20",  # SPACED
+    )
+]
+
+
+def hinted(text: str) -> bool:
+    return any(t.search(text) for t in TRIGGERS)
 
 
 def _plain(m: re.Match) -> str:
@@ -131,19 +153,19 @@ def _plain(m: re.Match) -> str:
 
 
 def _joined(m: re.Match) -> str:
-    return WORDS.sub(lambda x: "." if x[1].lower() == "dot" else "@", m[0])
+    return WORDS.sub(lambda x: "." if IS_DOT.fullmatch(x[1]) else "@", m[0])
 
 
 def deobfuscate(text: str) -> Mapped:
     m = Mapped(text)
     if not text.isascii():
         m.rewrite(DISGUISED, _plain)
-    if HINT.search(m.text):
+    if hinted(m.text):
         m.rewrite(DIGITS, lambda x: "".join(DIGIT[w.lower()] for w in WORD.findall(x[0])))
         m.rewrite(LETTER_DIGIT, lambda x: x[0].translate(AS_DIGITS))
         m.rewrite(DIGIT_DOT, lambda _: ".").rewrite(PLUS, lambda _: "+")
         m.rewrite(BRACKET_AT, lambda _: "@").rewrite(BRACKET_DOT, lambda _: ".")
-        m.rewrite(WORDED, _joined).rewrite(SPACED, lambda _: "@")
+        m.rewrite(WORDED, _joined).rewrite(WORDED_POINT, _joined).rewrite(SPACED, lambda _: "@")
     return m
 
 
@@ -151,7 +173,7 @@ def detect(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans, and base and added spans together; both sorted, in code points of text. Null counts as empty."""
     text = text or ""
     base = find(text)
-    if not (HINT.search(text) or (not text.isascii() and DISGUISED.search(text))):
+    if not (hinted(text) or (not text.isascii() and DISGUISED.search(text))):
         return base, base
     m, more = deobfuscate(text), []
     if 1 not in m.new and len(m.text) == len(text):

@@ -87,6 +87,38 @@ def test_pii_disguises_map_back_to_the_source(text, found):
     assert set(base) <= set(spans)
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("call plus 49 170 1234567 today", ["plus 49 170 1234567"]),
+        ("card 4111 1111 1111 111l ends", ["4111 1111 1111 111l"]),
+        ("card 4II1 1111 1111 1111 ends", ["4II1 1111 1111 1111"]),
+        ("host l92.168.1.10 up", ["l92.168.1.10", "92.168.1.10"]),
+        ("host 192.168.1.two five up", ["192.168.1.two five"]),
+        ("hans ät beispiel punkt de", ["hans ät beispiel punkt de"]),
+        ("hans punkt maier at beispiel punkt de", ["hans punkt maier at beispiel punkt de"]),
+        ("ana arroba ejemplo punto com", ["ana arroba ejemplo punto com"]),
+        ("jean point petit arobase exemple point fr", ["jean point petit arobase exemple point fr"]),
+        ("jean at exemple point fr", ["jean at exemple point fr"]),
+        ("jean@exemple point fr", ["jean@exemple point fr"]),
+        ("looked at this point in time, arrived at the point of no return", []),
+        ("at this point bob at example dot com", ["bob at example dot com"]),
+    ],
+)
+def test_pii_finds_each_disguise_alone(text, found):
+    _, spans = pii.detect(text)
+    assert sorted(text[s:e] for s, _, e in spans) == sorted(found)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["plus ", "one ", "two", "l", "O", "1", "41", ".", " dot ", " at ", " point ", "(at)", "[.]", "@", " ", "x", "com", "|", "-"]), max_size=14).map("".join))
+def test_pii_gate_loses_nothing(text):
+    if not pii.hinted(text):
+        m = pii.Mapped(text)
+        for p in (pii.DIGITS, pii.LETTER_DIGIT, pii.DIGIT_DOT, pii.PLUS, pii.BRACKET_AT, pii.BRACKET_DOT, pii.WORDED, pii.WORDED_POINT, pii.SPACED):
+            assert not p.search(m.text)
+
+
 def test_pii_long_runs_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, "@" * 300_000, "1.1." * 60_000, "one " * 60_000, "x at " * 60_000, "a.b dot " * 20_000):
         pii.detect(text)
