@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import langid, packing, pii, quality, simhash
+from loomgraph.llm import langid, neardup, packing, pii, quality
 from loomgraph.llm.common import materialise, table
 from loomgraph.llm.queries import tokenizer_path
 
@@ -23,8 +23,8 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group of near copies."""
-    return simhash.keep_one(docs)
+    """Keeps one document, that with the smallest id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return neardup.keep_one(docs)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,109 @@
+"""Near copies by shingle similarity: MinHash bands for candidates, exact Jaccard similarity for links.
+
+Equal sets of shingles are one node. In each band's bucket all sets meet the least one first; after the components of
+those links, only sets of different components still meet, so that a bucket of many near copies costs no square.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgraph.operators.components import components
+
+from .common import materialise
+
+WIDTH, SIMILARITY = 5, 0.8
+#: A pair of similarity s meets with probability 1 - (1 - s**ROWS)**BANDS: 0.9998 at 0.8.
+BANDS, ROWS = 16, 4
+_RNG = np.random.default_rng(42)
+_TIMES, _PLUS = (_RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the runs of `width` words, of all words where there are fewer; none: empty."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(words) - width + 1)
+    out = np.full(n, min(width, len(words)), np.uint64)
+    for j in range(min(width, len(words))):
+        out = (out ^ h[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def bands(own: np.ndarray) -> list[int]:
+    """One signed key for each band."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 2048):
+        x = own[at : at + 2048, None] * _TIMES
+        x += _PLUS
+        np.minimum(least, x.min(0), out=least)
+    keys = [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return both / (len(x) + len(y) - both)
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """(id_col, component_id): a row for each row of docs; component_id is the smallest id reachable over near copies."""
+
+    @F.pandas_udf("node long, bands array<long>, own binary")
+    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for x in texts:
+                own = shingles(x)
+                raw = own.tobytes()
+                rows.append((int(np.uint64(xxhash.xxh64_intdigest(raw)).view(np.int64)), bands(own), raw))
+            yield pd.DataFrame(rows, columns=["node", "bands", "own"])
+
+    signs = materialise(docs.select(F.col(id_col), signed(F.col(text_col)).alias("s")).select(id_col, "s.*"), "neardup-signs")
+    rows = signs.select("node", F.explode("bands").alias("key")).distinct()
+    shared = rows.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    met = materialise(rows.join(shared, "key"), "neardup-met")
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = materialise(signs.select("node", "own").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "neardup-sets")
+        left, right = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
+        return materialise(pairs.join(left, "a").join(right, "b").where(alike("own_a", "own_b") >= least).select("a", "b"), "neardup-links")
+
+    tried = materialise(met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "neardup-stars")
+    links = linked(tried)
+    roots = components(links).withColumnRenamed("node", "of")
+    known = met.select("key", "node").join(roots, F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    sizes = known.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
+    open_keys = materialise(known.join(sizes, "key"), "neardup-open")
+    minor = open_keys.where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"))
+    rest = minor.join(open_keys.select("key", F.col("node").alias("y"), F.col("root").alias("root_y")), "key").where("root_x <> root_y")
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(linked(materialise(rest, "neardup-rest")))
+    roots = components(links)
+    own = signs.groupBy("node").agg(F.min(id_col).alias("least")).join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    ids = own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return signs.select(id_col, "node").join(ids, "node").select(id_col, "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """docs with one document of each group of near copies: that with the smallest id, once. Rows with a null id stay."""
+    kept = groups(docs, id_col, text_col, least).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    known = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return known.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

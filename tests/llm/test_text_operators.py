@@ -17,7 +17,7 @@ pytest.importorskip("loomgraph.llm")
 import public_tokenizers as P
 import xxhash
 
-from loomgraph.llm import langid, packing, pii, quality, simhash, spiece
+from loomgraph.llm import langid, neardup, packing, pii, quality, simhash, spiece
 from loomgraph.llm.queries import QUERIES
 
 ODD = "doc_id long, text string, lang string, score double, spans string, found string, fingerprint int"
@@ -161,6 +161,44 @@ def brute_components(ids, fps):
     return {x: least[find(i)] for i, x in enumerate(ids)}
 
 
+def test_pipeline_near_dedup_is_shingle_similarity(spark, sf):
+    """The stage against brute force over five-word shingles, with near copies of 0.8 and more planted."""
+    from corpus_pipeline import near_dedup
+
+    rng = random.Random(5)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    for n, edits in [(60, 1), (200, 1), (200, 4), (600, 8), (600, 30)] * 6:
+        words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        near = words.copy()
+        for i in rng.sample(range(n), edits):
+            near[i] = "changed"
+        texts += [" ".join(words), " ".join(near)]
+    base = [f"v{i}" for i in range(300)]
+    texts += [" ".join([*base[i * 12 :], *(f"z{j}" for j in range(i * 12))]) for i in range(12)]  # a chain of near copies
+
+    def own(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [own(x) for x in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = {i for i in range(len(texts)) if find(i) == i}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in near_dedup(spark, docs, sf).collect()} == want
+    assert len(want) <= len(texts) - 24 - 11
+
+
 def test_simhash_query_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     fps = [brute_fingerprint(r["text"]) for r in docs]
