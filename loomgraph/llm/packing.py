@@ -9,7 +9,6 @@ result is a list of runs (length, first rank) -> (sequence, offset); pieces find
 from __future__ import annotations
 
 import os
-import sys
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +23,47 @@ from .common import materialise
 Run = tuple[int, int, int, int, int, int]  # length, first rank, pieces, first sequence, pieces in each sequence, offset
 
 
+def fullest(counts: list[int], used: list[int], room: int) -> list[int]:
+    """The pieces of counts[length] less `used` with the greatest sum up to room, larger ones first: nothing left fits beside them."""
+    taken: dict[int, int] = {}
+    for x in used:
+        taken[x] = taken.get(x, 0) + 1
+    reach, steps = 1, []  # bit s: the pieces so far can have the sum s
+    every = (1 << (room + 1)) - 1
+    for x in range(1, min(room, len(counts) - 1) + 1):
+        free, k = min(counts[x] - taken.get(x, 0), room // x) if counts[x] else 0, 1
+        while free > 0:
+            k = min(k, free)
+            steps.append((x, k, reach))
+            reach |= (reach << (x * k)) & every
+            free, k = free - k, 2 * k
+    out, left = [], reach.bit_length() - 1
+    for x, k, before in reversed(steps):
+        if left >= x * k and before >> (left - x * k) & 1:
+            out += [x] * k
+            left -= x * k
+    return out
+
+
 def fillings(counts: list[int], room: int, most: int) -> list[list[int]]:
-    """Undominated ways to fill room from counts[length], least waste first; [] (nothing fits) is the last resort."""
+    """Undominated ways to fill room from counts[length], least waste first; [] only if nothing fits.
+
+    Head pieces and up to three more, the gap filled with what fits best; then, if all these waste, the fullest way.
+    """
+    tried = _tried(counts, room, most)
+    found = []
+    for x in tried:
+        way = sorted(x + fullest(counts, x, room - sum(x)), reverse=True)
+        if way not in found:
+            found.append(way)
+    if min(room - sum(x) for x in found) > 0:
+        way = fullest(counts, [], room)
+        if sum(way) > max(map(sum, found)):
+            found.append(way)
+    return sorted(found, key=sum, reverse=True)[:most]
+
+
+def _tried(counts: list[int], room: int, most: int) -> list[list[int]]:
     if room > 0 and counts[room] > 0:
         return [[room]]  # one piece that fills the room dominates every other filling
     head: list[int] = []
@@ -98,16 +136,52 @@ def least_sequences(histogram: dict[int, int], capacity: int) -> int:
     return best
 
 
+def best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[list[int], int]], int]:
+    """Best-fit decreasing as (pattern, times), and the number of sequences; equal pieces are placed together."""
+    open_: dict[int, list[tuple[list[int], int]]] = {}  # room left: patterns
+
+    def put(pattern: list[int], times: int, room: int) -> None:
+        if times:
+            open_.setdefault(room, []).append((pattern, times))
+
+    for x in sorted((k for k, v in histogram.items() if k and v), reverse=True):
+        left = histogram[x]
+        while left:
+            room = min((r for r in open_ if r >= x), default=capacity)
+            if room == capacity and capacity not in open_:
+                pattern, times = [], -(-left * x // (capacity // x * x))
+            else:
+                pattern, times = open_[room].pop()
+                if not open_[room]:
+                    del open_[room]
+            each = room // x
+            full = min(times, left // each)
+            put(pattern + [x] * each, full, room - each * x)
+            left -= full * each
+            if full < times:
+                if left:
+                    put(pattern + [x] * left, 1, room - left * x)
+                if pattern:
+                    put(pattern, times - full - (left > 0), room)
+                left = 0
+    path = [y for x in open_.values() for y in x]
+    return path, sum(times for _, times in path)
+
+
 def solve(histogram: dict[int, int], capacity: int, nodes: int = 6000, branch: int = 4) -> tuple[list[Run], int]:
-    """Runs that place every piece, and the number of sequences."""
+    """Runs that place every piece, and the number of sequences.
+
+    The incumbent is best-fit decreasing. The search ends at the lower bound or, once one branch is complete, after
+    `nodes` nodes of at most `branch` fillings each; only the 64 latest branches wait.
+    """
     total = sum(k * v for k, v in histogram.items())
     bound = least_sequences(histogram, capacity)
-    best: list = [None, sys.maxsize]
-    expanded = 0
+    best: list = list(best_fit(histogram, capacity))
+    expanded, complete = 0, False
 
     def descend(counts: list[int], largest: int, used: int, filled: int, path: list[tuple[list[int], int]]) -> None:
         """Depth first; the first filling of each node is followed in this loop, the others wait on the stack."""
-        nonlocal expanded
+        nonlocal expanded, complete
         stack = [(counts, largest, used, filled, path)]
         while stack:
             counts, largest, used, filled, path = stack.pop()
@@ -115,13 +189,15 @@ def solve(histogram: dict[int, int], capacity: int, nodes: int = 6000, branch: i
                 while largest and not counts[largest]:
                     largest -= 1
                 if not largest:
+                    complete = True
                     if used < best[1]:
                         best[:] = [path, used]
                     break
                 if used + -(-(total - filled) // capacity) >= best[1]:
+                    complete = True
                     break  # the waste so far leaves no better solution
                 expanded += 1
-                if expanded > nodes and best[0] is not None:
+                if expanded > nodes and complete:
                     return
                 counts[largest] -= 1
                 ways = fillings(counts, capacity - largest, branch)
@@ -149,7 +225,8 @@ def solve(histogram: dict[int, int], capacity: int, nodes: int = 6000, branch: i
     start = [0] * (capacity + 1)
     for k, v in histogram.items():
         start[k] += v
-    descend(start, capacity, 0, 0, [])
+    if best[1] > bound:
+        descend(start, capacity, 0, 0, [])
     runs: list[Run] = []
     at, sequence = [0] * (capacity + 1), 0
     for pattern, times in best[0] or []:

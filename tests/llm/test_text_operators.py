@@ -370,6 +370,30 @@ def test_packing_solution_is_legal_and_close_to_best(histogram):
     assert n <= len(bins) + 1
 
 
+def test_packing_fills_gaps_of_short_pieces():
+    histogram = {150: 6000, 124: 1000}
+    runs, n = packing.solve(histogram, 1024)
+    assert n == 1000 == packing.least_sequences(histogram, 1024)
+    assert Counter({x: sum(r[2] for r in runs if r[0] == x) for x in histogram}) == Counter(histogram)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 9), max_size=12), st.integers(1, 80))
+def test_packing_fillings_are_maximal(histogram, room):
+    counts = [histogram.get(x, 0) for x in range(81)]
+    for way in packing.fillings(counts, room, 4):
+        used = Counter(way)
+        assert sum(way) <= room and all(used[x] <= counts[x] for x in used)
+        assert not [x for x in range(1, 81) if counts[x] > used[x] and x <= room - sum(way)]
+    path, n = packing.best_fit(histogram, 80)
+    placed = Counter()
+    for pattern, times in path:
+        assert times > 0 and 0 < sum(pattern) <= 80
+        placed.update({x: k * times for x, k in Counter(pattern).items()})
+    assert placed == Counter(histogram) and n == sum(t for _, t in path)
+
+
+
 def test_packing_odd_rows(odd):
     rows = packing.pack(odd, P.path("byte_bpe_50k.json")).collect()
     assert sum(r["doc_id"] == 4 for r in rows) == 2 and sum(r["doc_id"] is None for r in rows) == 1
