@@ -15,7 +15,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import with_result
@@ -162,25 +162,22 @@ def _soft(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, languages: int = 64, size: int = 1 << 15, **options) -> Model:
-    """Fits on at most per_language rows of each of the `languages` commonest values, in the order of a hash of their id.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, size: int = 1 << 15, **options) -> Model:
+    """Fits on at most per_language rows of each value of lang_col, in the order of a hash of their id.
 
     Rows whose language or id is null are left out. Whole texts are turned into features on the executors.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    common = [r[0] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()]
-    picked: list = []
-    for lang in common:
-        picked += [r[0] for r in known.where(F.col(lang_col) == lang).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(per_language).collect()]
-    if not picked:
-        return fit([], size)
+    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
+    # each task keeps per_language rows of a language before the shuffle
+    picked = known.select(lang_col, id_col).withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= per_language).select(id_col).distinct()
 
     @F.pandas_udf("b binary, w binary")  # packed: the driver holds no objects for single features
     def featured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([[a.tobytes() for a in features(x, size)] for x in texts], columns=["b", "w"])
 
-    rows = known.where(F.col(id_col).isin(picked)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), featured(F.col(text_col)).alias("f")).dropDuplicates(["id"]).collect()
+    rows = known.join(F.broadcast(picked), id_col, "left_semi").select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), featured(F.col(text_col)).alias("f")).dropDuplicates(["id"]).collect()
     rows.sort(key=lambda r: zlib.crc32(str(r["id"]).encode()))
     return fit([(np.frombuffer(r["f"]["b"], np.int32), np.frombuffer(r["f"]["w"], np.float32), r["lang"]) for r in rows], size, **options)
 

@@ -280,6 +280,13 @@ def test_language_features_by_hand():
         assert len(own) == grams + len(words)
 
 
+def test_language_learns_every_value(spark):
+    words = {f"l{k:02}": [f"{a}{k}{chr(97 + k % 26)}" for a in ("ba", "do", "ki", "mu", "re")] for k in range(70)}
+    rows = [(100 * k + i, " ".join(w[(i + j) % 5] for j in range(12)), x) for k, (x, w) in enumerate(words.items()) for i in range(4 if k else 2)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), size=1 << 12, epochs=2)
+    assert sorted(model.classes) == sorted(words)
+
+
 def test_language_odd_rows(odd):
     model = langid.train(odd)
     rows = {(r["doc_id"], r["text"]): r for r in langid.with_language(odd, model).collect()}
