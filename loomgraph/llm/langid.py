@@ -15,15 +15,15 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import with_result
+from .common import free_names, with_result
 
 UNKNOWN = "und"
 #: Odd multipliers of the hash.
 MIX = np.array([2654435761, 2246822519, 3266489917, 668265263], dtype=np.uint32)
-#: Characters hashed at a time.
+#: Characters hashed at a time; what a text's features are does not depend on it.
 PART = 1 << 18
 
 
@@ -44,36 +44,66 @@ def _marked(text: str) -> np.ndarray:
     return c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
 
 
-def _hashed(c: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """Buckets of the n-grams of 2, 3 and 4 characters without a gap inside, then of the words."""
-    shift = np.uint32(32 - (size.bit_length() - 1))
+def _grams(c: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of c without a gap inside."""
     letter = c != 0
-    for n in (2, 3, 4):
-        if len(c) < n:
-            continue
-        h = np.full(len(c) - n + 1, n * 40503, np.uint32)
-        whole = np.ones(len(h), bool)
-        for i in range(n):
-            h = (h + c[i : len(c) - n + 1 + i]) * MIX[i]
-            if 0 < i < n - 1:
-                whole &= letter[i : len(c) - n + 1 + i]
-        h = h[whole]
-        yield ((h ^ (h >> np.uint32(15))) * MIX[0]) >> shift
-    starts = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
-    if len(starts):
-        ends = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
-        place = np.arange(len(c)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(c)]])))
-        sums = np.add.reduceat(c * _powers()[np.minimum(place, 4095)], starts, dtype=np.uint32)
-        h = sums * MIX[1] + (ends - starts).astype(np.uint32)
-        yield ((h ^ (h >> np.uint32(15))) * MIX[0]) >> shift
+    h = np.full(len(c) - n + 1, n * 40503, np.uint32)
+    whole = np.ones(len(h), bool)
+    for i in range(n):
+        h = (h + c[i : len(c) - n + 1 + i]) * MIX[i]
+        if 0 < i < n - 1:
+            whole &= letter[i : len(c) - n + 1 + i]
+    return h[whole]
+
+
+def _sum(c: np.ndarray, lo: int, hi: int) -> np.uint32:
+    """Sum of the characters of a word times the powers of their places, in parts."""
+    total = 0
+    for at in range(lo, hi, PART):
+        stop = min(at + PART, hi)
+        total += int((c[at:stop] * _powers()[np.minimum(np.arange(at - lo, stop - lo), 4095)]).sum(dtype=np.uint32))
+    return np.uint32(total & 0xFFFFFFFF)
+
+
+def _words(c: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the words of c, those that start within PART of each other at once."""
+    letter = c != 0
+    starts, ends = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1, np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + PART)))
+        if j > i + 1 and ends[j - 1] - starts[j - 1] > PART:
+            j -= 1  # a word longer than a part comes by itself
+        size = ends[i:j] - starts[i:j]
+        if size[0] > PART:
+            sums = np.array([_sum(c, starts[i], ends[i])], np.uint32)
+        else:
+            at = starts[i:j] - starts[i]
+            place = np.arange(ends[j - 1] - starts[i])
+            place -= np.repeat(at, np.diff(np.append(at, len(place))))
+            sums = np.add.reduceat(c[starts[i] : ends[j - 1]] * _powers()[np.minimum(place, 4095)], at, dtype=np.uint32)
+        yield sums * MIX[1] + size.astype(np.uint32)
+        i = j
 
 
 def buckets(text: str | None, size: int) -> Iterator[np.ndarray]:
-    """All buckets of a whole text, in parts; none if it has no letter. size: a power of two."""
+    """All buckets of a whole text, in parts: of the n-grams of 2, 3 and 4 characters, then of the words; none if it has no letter.
+
+    size: a power of two. n-grams are dealt by where they start and words are whole, so the parts do not change what is found.
+    """
     c = _marked(text) if text else np.zeros(0, np.uint32)
-    if c.any():
-        for at in range(0, len(c), PART):
-            yield from _hashed(c[at : at + PART], size)
+    if not c.any():
+        return
+    shift = np.uint32(32 - (size.bit_length() - 1))
+
+    def bucket(h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint32(15))) * MIX[0]) >> shift
+
+    for n in (2, 3, 4):
+        for at in range(0, len(c) - n + 1, PART):
+            yield bucket(_grams(c[at : at + PART + n - 1], n))
+    for h in _words(c):
+        yield bucket(h)
 
 
 def features(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +184,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], size: int, width: int =
     p = _soft(z[check] / best[1])
     right = np.sort(p.max(1)[p.argmax(1) == y[check]])
     least = right[int(rejected * len(right))] * 0.9 if len(right) else 0.0
-    return Model(classes, table, bias, best[1], float(min(least, 1.5 / max(k, 3))))
+    return Model(classes, table, bias, best[1], float(least))
 
 
 def _soft(z: np.ndarray) -> np.ndarray:
@@ -167,27 +197,26 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Rows whose language or id is null are left out. Whole texts are turned into features on the executors.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     # each task keeps per_language rows of a language before the shuffle
-    picked = known.select(lang_col, id_col).withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= per_language).select(id_col).distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    picked = known.select("id", "lang").withColumn("_nth", nth).where(F.col("_nth") <= per_language).select("id", "lang").distinct()
 
     @F.pandas_udf("b binary, w binary")  # packed: the driver holds no objects for single features
     def featured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([[a.tobytes() for a in features(x, size)] for x in texts], columns=["b", "w"])
 
-    rows = known.join(F.broadcast(picked), id_col, "left_semi").select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), featured(F.col(text_col)).alias("f")).dropDuplicates(["id"]).collect()
+    # of an id that repeats the row with the least language, then the least hash of its text, counts
+    least = Window.partitionBy("id").orderBy("lang", F.xxhash64("text"))
+    one = known.join(F.broadcast(picked), ["id", "lang"], "left_semi").withColumn("_nth", F.row_number().over(least)).where(F.col("_nth") == 1)
+    rows = one.select("id", "lang", featured("text").alias("f")).collect()
     rows.sort(key=lambda r: zlib.crc32(str(r["id"]).encode()))
     return fit([(np.frombuffer(r["f"]["b"], np.int32), np.frombuffer(r["f"]["w"], np.float32), r["lang"]) for r in rows], size, **options)
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred (a learned language; `und` if the text is null or has no letter), score (the calibrated
-    probability of it; 0 for `und`) and rejected (score below the model's threshold, or `und`).
-
-    Input columns of these names give way. Ties go to the language first in order.
-    """
+def predicted(model: Model, text_col: str = "text") -> Column:
+    """A struct column of lang_pred, score and rejected; see with_language()."""
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -199,5 +228,16 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
             names = np.array(model.classes, dtype=object)[p.argmax(1)] if len(p) else np.zeros(0, object)
             yield pd.DataFrame({"lang_pred": np.where(none, UNKNOWN, names), "score": score, "rejected": none | (score < model.threshold)})
 
-    held = with_result(docs, found=predict(F.col(text_col)))
-    return with_result(held, lang_pred=F.col("found.lang_pred"), score=F.col("found.score"), rejected=F.col("found.rejected")).drop("found")
+    return predict(F.col(text_col))
+
+
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred (a learned language; `und` if the text is null or has no letter), score (the calibrated
+    probability of it; 0 for `und`) and rejected (score below the model's threshold, or `und`).
+
+    Input columns of these names give way; all others stay. Ties go to the language first in order. Texts of any length
+    are read whole; repeated rows each get the same result. No rows: no rows.
+    """
+    (found,) = free_names(docs, "found")
+    held = docs.withColumn(found, predicted(model, text_col))
+    return with_result(held, lang_pred=F.col(f"{found}.lang_pred"), score=F.col(f"{found}.score"), rejected=F.col(f"{found}.rejected")).drop(found)
