@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_result
+from .common import free_names, with_result
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -229,8 +229,9 @@ def with_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     names = [c.split()[0] for c in FOUND.split(", ")]
-    held = with_result(docs, **{"found": found(F.col(text_col))})
-    return with_result(held, **{c: F.col(f"found.{c}") for c in names}).drop("found")
+    (own,) = free_names(docs, "found")
+    held = docs.withColumn(own, found(F.col(text_col)))
+    return with_result(held, **{c: F.col(f"{own}.{c}") for c in names}).drop(own)
 
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:

@@ -14,10 +14,10 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import with_result
+from .common import free_names, with_result
 
 UPPER, LOWER, DIGITS = (bytes(range(a, b + 1)) for a, b in ((65, 90), (97, 122), (48, 57)))
 SPACE, MARKS = b" \t\n\r\x0b\f", b".,;:!?'\"()-"
@@ -143,27 +143,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     labels that are null or not 0 or 1 are left out; an id with both labels counts as 0.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("y"))
-    picked = {}
-    for k in (0, 1):
-        picked |= {r[0]: k for r in known.where(F.col("y") == k).orderBy(F.xxhash64(id_col), id_col).limit(per_class).select(id_col).collect()}
-    if not picked:
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
+    nth = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+    picked = known.withColumn("_nth", nth).where(F.col("_nth") <= per_class).select("id", "y")  # at most 2 * per_class rows
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    # of an id that repeats the text with the smallest hash counts
+    one = own.withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text")))).where(F.col("_nth") == 1)
+    rows = one.select("id", "y", _column("text").alias("x")).collect()
+    if not rows:
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
-    rows = docs.where(F.col(id_col).isin(list(picked))).select(id_col, _column(text_col).alias("x")).dropDuplicates([id_col]).collect()
     rows.sort(key=lambda r: str(r[0]))
-    return fit(np.array([r["x"] for r in rows]).reshape(-1, len(STATISTICS)), np.array([picked[r[0]] for r in rows], dtype=float))
+    return fit(np.array([r["x"] for r in rows]).reshape(-1, len(STATISTICS)), np.array([r["y"] for r in rows], dtype=float))
+
+
+def scored(model: Model, text_col: str = "text", threshold: float = 0.5) -> Column:
+    """A struct column of score and predicted; see with_quality()."""
+
+    @F.pandas_udf("score double, predicted int")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            s = model.score(np.array([statistics(x) for x in texts])) if len(texts) else np.zeros(0)
+            yield pd.DataFrame({"score": s, "predicted": (s >= threshold).astype(np.int32)})
+
+    return score(F.col(text_col))
 
 
 def with_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs with score (0 to 1, higher: class 1 likelier) and predicted (1 if score >= threshold, else 0).
 
-    Null and empty texts get the score of a text without words. Input columns of these names give way.
+    Null and empty texts get the score of a text without words. Texts of any length are read whole; repeated rows each
+    get the same result. Input columns of these names give way; all others stay. No rows: no rows.
     """
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(model.score(np.array([statistics(x) for x in texts])) if len(texts) else [], dtype=float)
-
-    out = with_result(docs, score=score(F.col(text_col)))
-    return with_result(out, predicted=(F.col("score") >= threshold).cast("int"))
+    (found,) = free_names(docs, "found")
+    held = docs.withColumn(found, scored(model, text_col, threshold))
+    return with_result(held, score=F.col(f"{found}.score"), predicted=F.col(f"{found}.predicted")).drop(found)
