@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.shared import materialise, release, shared_dir
 
-__all__ = ["in_fold", "materialise", "release", "shared_dir", "table", "with_result"]
+__all__ = ["free_names", "in_fold", "matching", "materialise", "release", "shared_dir", "table", "with_result"]
+
+#: Rows of keys up to which a table of keys is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def in_fold(key: Column, modulus: int, remainder: int) -> Column:
@@ -21,5 +24,23 @@ def with_result(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower], *[v.alias(k) for k, v in columns.items()])
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def matching(df: DataFrame, keys: DataFrame, by: str, how: str) -> DataFrame:
+    """df joined (left_semi or left_anti) with a table of keys, which is broadcast if it is counted and found small."""
+    keys = materialise(keys, "keys")
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, by, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -275,3 +275,26 @@ def test_pipeline_stages_take_effect(spark, sf, tmp_path):
     assert not any(pii.find(r["text"]) for r in spark.read.parquet(f"{tmp_path}/3").select("text").collect())
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} == {r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/3").select("doc_id").collect()}
     assert corpus_pipeline.run(spark, sf).count() == sizes[-1]
+
+
+def test_pipeline_keeps_the_users_columns(spark, sf):
+    """Columns named like what the stages compute pass unchanged, odd rows and repeated ids pass all stages."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 150")
+    own = {"score": "-7.0D", "predicted": "9", "rejected": "true", "lang_pred": "'zz'", "_text": "'mine'", "found": "'f'", "judged": "'j'", "fp": "5", "node": "6", "root": "7", "spans": "'s'", "component_id": "8"}
+    docs = docs.selectExpr("*", *(f"{v} AS {k}" for k, v in own.items()))
+    values = docs.select(*own).first()
+    good = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").limit(4).collect()]
+    odd = [(None, good[0], "en"), (7001, None, "en"), (7002, "", None), (7003, good[1] * 1200, "en"), (7004, good[2], "en"), (7004, good[3], "en"), (7004, good[3], "en"), (7005, "hello world, " * 30_000, "en")]
+    extra = spark.createDataFrame([(i, x, lang, "made", len(x or "")) for i, x, lang in odd], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    docs = docs.unionByName(extra.selectExpr("*", *(f"{v} AS {k}" for k, v in own.items())))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = corpus_pipeline.materialise(stage(spark, docs, sf), "test-" + name)
+        assert 0 < docs.count() <= before
+        assert docs.select(*own).distinct().collect() == [values], name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0, name

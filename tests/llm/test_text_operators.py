@@ -17,7 +17,7 @@ pytest.importorskip("loomgraph.llm")
 import public_tokenizers as P
 import xxhash
 
-from loomgraph.llm import langid, neardup, packing, pii, quality, simhash, spiece
+from loomgraph.llm import langid, packing, pii, quality, simhash, spiece
 from loomgraph.llm.queries import QUERIES
 
 ODD = "doc_id long, text string, lang string, score double, spans string, found string, fingerprint int"
@@ -209,8 +209,23 @@ def test_simhash_query_against_brute_force(spark, sf):
     assert {r["doc_id"]: r["fingerprint"] for r in got} == {r["doc_id"]: f"{f:016x}" for r, f in zip(docs, fps, strict=True)}
 
 
-@pytest.mark.parametrize("hot_key", [2000, 60])
-def test_simhash_links_join_all_near_fingerprints(spark, hot_key):
+def by_links(nodes, edges):
+    """The least node reachable from each node over the edges."""
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("held", [20_000, 60, 9, 3])
+def test_simhash_links_join_all_near_fingerprints(spark, held):
     rnd = random.Random(5)
     fps = [rnd.getrandbits(64) for _ in range(40)]
     for _ in range(160):  # chains and a dense group
@@ -218,24 +233,100 @@ def test_simhash_links_join_all_near_fingerprints(spark, hot_key):
         for b in rnd.sample(range(64), rnd.randint(1, 3)):
             x ^= 1 << b
         fps.append(x)
-    fps = sorted(set(fps))
-    signed = [(int(np.uint64(x).view(np.int64)),) for x in fps]
-    found = simhash.links(spark.createDataFrame(signed, "fp long").cache(), hot_key=hot_key).collect()
-    place = {s[0]: i for i, s in enumerate(signed)}
-    root = list(range(len(fps)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for r in found:
-        assert (fps[place[r["a"]]] ^ fps[place[r["b"]]]).bit_count() <= 3
-        root[find(place[r["a"]])] = find(place[r["b"]])
-    want = brute_components(list(range(len(fps))), fps)
-    assert len({find(i) for i in range(len(fps))}) == len(set(want.values()))
-    if hot_key == 2000:
-        assert {frozenset((r["a"], r["b"])) for r in found} == {frozenset((signed[i][0], signed[j][0])) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    centre = rnd.getrandbits(64)
+    fps = sorted({*fps, *(centre ^ 1 << b for b in range(12))})
+    signed = {x: int(np.uint64(x).view(np.int64)) for x in fps}
+    found = simhash.links(spark.createDataFrame([(x,) for x in signed.values()], "fp long").cache(), held=held).collect()
+    want = brute_components(fps, fps)
+    groups = by_links(signed.values(), [(r["a"], r["b"]) for r in found])
+    assert len({(want[x], groups[signed[x]]) for x in fps}) == len(set(want.values())) == len(set(groups.values()))
+
+
+@pytest.mark.parametrize("tau", [0, 1, 6, 10])
+def test_simhash_links_with_wide_thresholds(spark, tau):
+    rng = np.random.default_rng(tau)
+    bits = rng.random((30, 64)) < rng.random(64)  # unequal and, by copying, correlated bits
+    bits[:, 40:] = bits[:, :24]
+    bits = np.concatenate([bits, *[bits ^ (rng.random(bits.shape) < p) for p in (0.02, 0.06, 0.1)]])
+    fps = np.unique(np.packbits(bits, axis=1).view(">u8").astype(np.uint64))
+    near = [(int(a), int(b)) for i, a in enumerate(fps) for b in fps[:i] if int(a ^ b).bit_count() <= tau]
+    found = simhash.links(spark.createDataFrame([(int(x.view(np.int64)),) for x in fps], "fp long").cache(), tau).collect()
+    want = by_links(map(int, fps), near)
+    got = by_links(fps.view(np.int64).tolist(), [(r["a"], r["b"]) for r in found])
+    assert len({(want[int(x)], got[int(x.view(np.int64))]) for x in fps}) == len(set(want.values())) == len(set(got.values()))
+
+
+def test_simhash_large_template_group_stays_linear(spark):
+    """Tens of thousands of fingerprints within three bits of one template; the output has fewer rows than there are fingerprints."""
+    import itertools
+    import time
+
+    rng, base = np.random.default_rng(0), 0x9E3779B97F4A7C15
+    flips = [0, *(sum(1 << b for b in c) for e in (1, 2, 3) for c in itertools.combinations(range(64), e))][:43_000]
+    seconds = []
+    for fps in (np.array([base ^ f for f in flips], np.uint64), rng.integers(0, 1 << 63, 43_000, dtype=np.uint64)):
+        df = spark.createDataFrame(__import__("pandas").DataFrame({"fp": fps.view(np.int64)})).cache()
+        began = time.time()
+        found = simhash.links(df).distinct().collect()
+        seconds.append(time.time() - began)
+    assert seconds[0] < 60 and len(found) < 10
+
+
+def near_sets(text, width=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+@pytest.mark.parametrize("options", [{}, {"held": 5}, {"cluster_nodes": 7}, {"cluster_bytes": 3000}])
+def test_near_copies_against_brute_force(spark, options):
+    rng = random.Random(3)
+    word = [f"w{i}" for i in range(4000)]
+    texts = [None, "", " \t", "one", "one two", "ONE two"]
+    for n in (8, 30, 100, 400):
+        for _ in range(4):
+            base = rng.choices(word, k=n)
+            texts.append(" ".join(base))
+            for edits in (1, 2, n // 50, n // 40, n // 20):
+                near = base.copy()
+                for i in rng.sample(range(n), min(edits, n)):
+                    near[i] = rng.choice(word)
+                texts.append(" ".join(near))
+    template = rng.choices(word, k=120)
+    for _ in range(60):  # a family whose members are not all alike
+        near = template.copy()
+        for i in rng.sample(range(120), rng.randint(0, 4)):
+            near[i] = rng.choice(word)
+        texts.append(" ".join(near))
+    rows = [(i, x) for i, x in enumerate(texts)] + [(i + 1000, texts[i]) for i in range(0, len(texts), 9)] + [(5, texts[40]), (5, texts[40]), (None, texts[41])]
+    sets = [near_sets(x) for _, x in rows]
+    place = [i for i, (k, _) in enumerate(rows) if k is not None]
+    edges = [(i, j) for i in place for j in place if j < i and (sets[i] == sets[j] or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])))]
+    root = by_links(place, edges)
+    least = {}
+    for i in place:
+        least[root[i]] = min(least.get(root[i], 10**9), rows[i][0])
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, root int")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_copies(docs, **options).collect()))
+    assert got == sorted((rows[i][0], least[root[i]]) for i in place)
+    kept = simhash.keep_one(docs, **options)
+    assert kept.columns == docs.columns
+    # one row for each group, and the row without an id
+    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sum(k is None for k, _ in left) == 1 and len(left) == len(set(root.values())) + 1
+    assert sorted(k for k, _ in left if k is not None) == sorted(least.values())
+
+
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(4)
+    for n in (30, 300, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        sets = [a]
+        for _ in range(60):
+            k = n // 10  # 0.818 alike
+            sets.append(np.unique(np.concatenate([rng.choice(a, len(a) - k, replace=False), rng.integers(0, 1 << 63, k, dtype=np.uint64)])))
+        s = [simhash.sketch(x) for x in sets]
+        assert min((s[0] == x).sum() for x in s[1:]) >= simhash.SKETCH_LEAST * simhash.SKETCH
+        assert (simhash.grouped(sets) == 0).all()
 
 
 def test_simhash_thresholds_follow_the_pigeonhole():
@@ -255,6 +346,7 @@ def test_simhash_odd_rows(odd, spark):
     assert by[None]["component_id"] is None
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 3, 4, 6]
+    assert simhash.keep_one(odd.limit(0)).count() == 0 and simhash.near_copies(odd.limit(0)).count() == 0
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
@@ -280,6 +372,46 @@ def test_language_features_by_hand():
         assert len(own) == grams + len(words)
 
 
+@pytest.mark.parametrize("part", [1, 3, 7, 1 << 18])
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab éΣ,1", max_size=60))
+def test_language_features_do_not_depend_on_the_parts(part, text):
+    whole = langid.PART
+    want = np.sort(np.concatenate([*langid.buckets(text, 1 << 12), np.zeros(0, np.uint32)]))
+    langid.PART = part
+    try:
+        got = np.sort(np.concatenate([*langid.buckets(text, 1 << 12), np.zeros(0, np.uint32)]))
+    finally:
+        langid.PART = whole
+    assert got.tolist() == want.tolist()
+
+
+def test_language_of_very_long_texts(spark):
+    texts = ["hello world, " * 80_000, "x" * 700_000 + " hello", "hello " + "y" * 262_143 + " world " * 50_000]
+    for x in texts:
+        whole, langid.PART = langid.PART, 1 << 30
+        want = langid.features(x, 1 << 12)
+        langid.PART = whole
+        got = langid.features(x, 1 << 12)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    model = langid.fit([(*langid.features(x, 1 << 12), "en") for x in ("hello world", "the world")], 1 << 12)
+    rows = langid.with_language(spark.createDataFrame([(i, x, "kept") for i, x in enumerate(texts)], "doc_id long, text string, found string"), model).collect()
+    assert {r["lang_pred"] for r in rows} == {"en"} and {r["found"] for r in rows} == {"kept"}
+
+
+def test_language_rejects_an_unlearned_language(spark):
+    """Texts of another alphabet and vocabulary are rejected, the learned languages' are not."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs)
+    rng = random.Random(1)
+    syllables = ["qx", "zvu", "wkj", "yyq", "vvk", "xzo", "jjw", "kqa"]
+    strange = [(10_000 + i, " ".join("".join(rng.choices(syllables, k=3)) for _ in range(80))) for i in range(30)] + [(20_000 + i, "".join(chr(rng.randrange(0x3041, 0x3090)) for _ in range(300))) for i in range(30)]
+    out = langid.with_language(spark.createDataFrame(strange, "doc_id long, text string"), model).collect()
+    assert np.mean([r["rejected"] for r in out]) >= 0.9
+    assert langid.with_language(docs, model).where("rejected").count() <= 0.01 * docs.count()
+
+
 def test_language_learns_every_value(spark):
     words = {f"l{k:02}": [f"{a}{k}{chr(97 + k % 26)}" for a in ("ba", "do", "ki", "mu", "re")] for k in range(70)}
     rows = [(100 * k + i, " ".join(w[(i + j) % 5] for j in range(12)), x) for k, (x, w) in enumerate(words.items()) for i in range(4 if k else 2)]
