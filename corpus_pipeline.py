@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import langid, neardup, packing, pii, quality
-from loomgraph.llm.common import materialise, table
+from loomgraph.llm import langid, packing, pii, quality, simhash
+from loomgraph.llm.common import free_names, materialise, table
 from loomgraph.llm.queries import tokenizer_path
 
 
+def _kept(docs: DataFrame, judged: Column, test: str) -> DataFrame:
+    """The rows whose struct `judged` passes the test on its field; every column keeps its values."""
+    (name,) = free_names(docs, "judged")
+    return docs.withColumn(name, judged).where(f"`{name}`.{test}").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality classifier, fitted on `labels`, predicts as class 1."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.with_quality(docs.withColumn("_text", F.col("text")), model, "_text").where("predicted = 1").select(*docs.columns)
+    return _kept(docs, quality.scored(quality.train(docs, table(spark, sf_dir, "labels"))), "predicted = 1")
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language the classifier, fitted on their own `lang`, does not reject."""
-    model = langid.train(docs)
-    return langid.with_language(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    return _kept(docs, langid.predicted(langid.train(docs)), "rejected = false")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return neardup.keep_one(docs)
+    """Keeps one document, that with the smallest id, of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    Rows without an id stay; of rows that share the smallest id of a group see simhash.keep_one().
+    """
+    return simhash.keep_one(docs)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
