@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.shared import materialise, release, shared_dir
 
-__all__ = ["free_names", "in_fold", "matching", "materialise", "release", "shared_dir", "table", "with_result"]
+__all__ = ["first_by_hash", "free_names", "in_fold", "matching", "materialise", "release", "shared_dir", "table", "with_result"]
 
 #: Rows of keys up to which a table of keys is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -36,6 +36,20 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def first_by_hash(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """The first n rows of each group, in the order of a hash of the key, then the key; a null group or key takes no part.
+
+    Counts by the hash's leading bits tell where a group's n-th row lies, so only few rows more than that are ranked.
+    """
+    bin_, cut, nth = free_names(df, "bin", "cut", "nth")
+    held = df.where(F.col(group).isNotNull() & F.col(key).isNotNull()).withColumn(bin_, F.shiftright(F.xxhash64(key), 50))
+    upto = F.sum("count").over(Window.partitionBy(group).orderBy(bin_))
+    cuts = materialise(held.groupBy(group, bin_).count().withColumn("upto", upto).groupBy(group).agg(F.coalesce(F.min(F.when(F.col("upto") >= n, F.col(bin_))), F.max(bin_)).alias(cut)), "cuts")
+    near = held.join(F.broadcast(cuts) if cuts.count() <= BROADCAST_ROWS else cuts, group).where(F.col(bin_) <= F.col(cut))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key))
+    return near.withColumn(nth, rank).where(F.col(nth) <= n).select(*df.columns)
+
+
 def matching(df: DataFrame, keys: DataFrame, by: str, how: str) -> DataFrame:
     """df joined (left_semi or left_anti) with a table of keys, which is broadcast if it is counted and found small."""
     keys = materialise(keys, "keys")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, with_result
+from .common import first_by_hash, free_names, with_result
 
 UNKNOWN = "und"
 #: Odd multipliers of the hash.
@@ -198,9 +198,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Rows whose language or id is null are left out. Whole texts are turned into features on the executors.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # each task keeps per_language rows of a language before the shuffle
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = known.select("id", "lang").withColumn("_nth", nth).where(F.col("_nth") <= per_language).select("id", "lang").distinct()
+    picked = first_by_hash(known.select("id", "lang"), "lang", "id", per_language).distinct()
 
     @F.pandas_udf("b binary, w binary")  # packed: the driver holds no objects for single features
     def featured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

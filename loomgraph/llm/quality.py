@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, with_result
+from .common import first_by_hash, free_names, with_result
 
 UPPER, LOWER, DIGITS = (bytes(range(a, b + 1)) for a, b in ((65, 90), (97, 122), (48, 57)))
 SPACE, MARKS = b" \t\n\r\x0b\f", b".,;:!?'\"()-"
@@ -144,8 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels that are null or not 0 or 1 are left out; an id with both labels counts as 0.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
-    nth = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
-    picked = known.withColumn("_nth", nth).where(F.col("_nth") <= per_class).select("id", "y")  # at most 2 * per_class rows
+    picked = first_by_hash(known, "y", "id", per_class)  # at most 2 * per_class rows
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
     # of an id that repeats the text with the smallest hash counts
     one = own.withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text")))).where(F.col("_nth") == 1)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from loomgraph.operators.components import components
 
-from .common import free_names, matching, materialise, release
+from .common import BROADCAST_ROWS, free_names, matching, materialise, release
 
 BITS = 64
 SEED = 42
@@ -39,8 +39,8 @@ HELD = 20_000
 CHUNK, TASK_ROWS = 1 << 20, 4_000_000
 #: Pairs of one key in a batch from which they are compared as a table.
 LARGE = 4096
-#: Near copies: words in a shingle, least share of shingles in common, and the bits by which word and shingle fingerprints may differ.
-WIDTH, SIMILARITY, WORD_BITS, SHINGLE_BITS = 5, 0.8, 10, 36
+#: Near copies: words in a shingle, least share of shingles in common, and the bits by which fingerprints of words and of shingles may differ.
+WIDTH, SIMILARITY, WORD_BITS, SHINGLE_BITS = 5, 0.8, 10, 21
 #: Nodes and bytes of text of a cluster that one task verifies; larger clusters are dealt into blocks.
 CLUSTER_NODES, CLUSTER_BYTES = 1000, 1 << 25
 #: Least values that a sketch keeps, and the share of equal ones below which a pair is not verified: at 0.8 alike,
@@ -182,16 +182,22 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
+def _pair(fp: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """One name for two fingerprints (uint64); names that collide only widen a cluster, which is verified on its sets."""
+    x = (fp ^ (fp >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + s
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+
 def links(nodes: DataFrame, tau: int = 3, held: int = HELD, wide: int | None = None) -> DataFrame:
     """(a, b): edges whose connected groups are those of the pairs of nodes whose fingerprints differ in tau or fewer bits.
 
-    nodes: a row for each node, read more than once: fp, the fingerprint, is the node itself; or (node, fp, s0, s1) with
-    `wide`, the bits by which the fingerprint (s0, s1) of a pair may differ as well.
+    nodes: a row for each distinct fingerprint fp, read more than once. With `wide`, a row for each distinct (fp, s), named
+    by _pair(), where s may differ in `wide` or fewer bits as well.
     """
     n, both = bit_counts(nodes)
     parts, limits = allocate(n, both, tau)
     rules = {k: (part, t) for k, (part, t) in enumerate(x for x in zip(parts, limits, strict=True) if x[1] >= 0)}
-    own = ["fp"] if wide is None else ["node", "fp", "s0", "s1"]
+    own = ["fp"] if wide is None else ["fp", "s"]
 
     def keys(sides: tuple[int, ...]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,49 +209,53 @@ def links(nodes: DataFrame, tau: int = 3, held: int = HELD, wide: int | None = N
                         for side in sides:
                             flips = [_mask(list(c)) for e in range((t if side else 0) + 1) for c in combinations(part, e)]
                             key = (x[:, None] & _mask(part)) ^ np.array(flips, dtype=np.uint64)[None, :]
-                            yield pd.DataFrame({"part": np.int32(k), "key": key.ravel().view(np.int64), "side": np.int8(side), **{c: np.repeat(v, len(flips)) for c, v in rows.items()}})
+                            yield pd.DataFrame({"rule": np.int32(2 * k + side), "key": key.ravel().view(np.int64), **{c: np.repeat(v, len(flips)) for c, v in rows.items()}})
 
         return run
 
-    schema = "part int, key long, side byte, " + ", ".join(f"{c} long" for c in own)
-    spark, at = nodes.sparkSession, ["part", "key"]
-    rows = nodes.select(*own).mapInPandas(keys((0, 1)), schema).withColumn("block", F.lit(0))
+    # the rows that are shuffled hold no more than rule (2 * part + side), key and fingerprints
+    schema = "rule int, key long, " + ", ".join(f"{c} long" for c in own)
+    spark, by = nodes.sparkSession, [F.shiftright("rule", 1), F.col("key")]
+    rows = nodes.select(*own).mapInPandas(keys((0, 1)), schema)
     if n > held:
-        sizes = nodes.select(*own).mapInPandas(keys((0,)), schema).groupBy(*at).count().where(F.col("count") > held)
-        hot = materialise(sizes.select(*at, F.ceil(F.col("count") / (held // 2)).cast("int").alias("blocks")), "simhash-hot")
+        sizes = nodes.select(*own).mapInPandas(keys((0,)), schema).groupBy("rule", "key").count().where(F.col("count") > held)
+        hot = materialise(sizes.select(F.col("rule").alias("hot_rule"), F.col("key").alias("hot_key"), F.ceil(F.col("count") / (held // 2)).cast("int").alias("blocks")), "simhash-hot")
         if (found := hot.count()):
-            hot = F.broadcast(hot) if found <= 100_000 else hot
-            dealt = rows.drop("block").join(hot, at, "left")
-            places = F.when(F.col("side") == 0, F.array(F.pmod(F.xxhash64(own[0]), "blocks").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-            rows = dealt.select(*at, "side", *own, F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(places)).alias("block"))
+            hot = F.broadcast(hot) if found <= BROADCAST_ROWS else hot
+            dealt = rows.join(hot, (rows["rule"] - rows["rule"] % 2 == hot["hot_rule"]) & (rows["key"] == hot["hot_key"]), "left")
+            places = F.when(F.col("rule") % 2 == 0, F.array(F.pmod(F.xxhash64(*own), "blocks").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+            rows = dealt.select("rule", "key", *own, F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(places)).alias("block"))
+            by.append(F.col("block"))
     made = n * sum(1 + sum(comb(len(part), e) for e in range(t + 1)) for part, t in rules.values())
     tasks = -(-made // TASK_ROWS)
-    by = [*at, "block"]
     dealt = rows.repartition(tasks, *by) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*by)
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[str, np.ndarray] | None = None  # the index rows of the key that the batch before ended with
         for pdf in batches:
-            x = {c: pdf[c].to_numpy() for c in [*by, "side"]} | {c: pdf[c].to_numpy(np.int64).view(np.uint64) for c in own}
+            x = {c: pdf[c].to_numpy(np.int64).view(np.uint64) for c in own} | {c: pdf[c].to_numpy() for c in pdf.columns if c not in own}
+            x["name"] = x["fp"] if wide is None else _pair(x["fp"], x["s"])
             if kept is not None:
                 x = {c: np.concatenate([kept[c], v]) for c, v in x.items()}
             size = len(x["key"])
             if not size:
                 continue
-            new = np.ones(size, bool)
-            new[1:] = (x["key"][1:] != x["key"][:-1]) | (x["part"][1:] != x["part"][:-1]) | (x["block"][1:] != x["block"][:-1])
+            new, side = np.ones(size, bool), x["rule"] & 1
+            new[1:] = (x["key"][1:] != x["key"][:-1]) | (x["rule"][1:] >> 1 != x["rule"][:-1] >> 1)
+            if "block" in x:
+                new[1:] |= x["block"][1:] != x["block"][:-1]
             start = np.flatnonzero(new)
             run = np.cumsum(new) - 1
-            index = np.bincount(run, weights=x["side"] == 0).astype(np.int64)
+            index = np.bincount(run, weights=side == 0).astype(np.int64)
             asked = np.bincount(run, minlength=len(start)) - index
             a, b = [], []
 
             def near(p: np.ndarray, q: np.ndarray) -> None:
                 """Keeps the groups of the pairs (p, q) of rows whose fingerprints are known to be near."""
-                ok = x[own[0]][p] != x[own[0]][q]
+                ok = x["name"][p] != x["name"][q]
                 if wide is not None:
-                    ok &= np.bitwise_count(x["s0"][p] ^ x["s0"][q]) + np.bitwise_count(x["s1"][p] ^ x["s1"][q]) <= wide
-                u, v = stars(x[own[0]][p[ok]], x[own[0]][q[ok]])
+                    ok &= np.bitwise_count(x["s"][p] ^ x["s"][q]) <= wide
+                u, v = stars(x["name"][p[ok]], x["name"][q[ok]])
                 a.append(u)
                 b.append(v)
 
@@ -257,7 +267,7 @@ def links(nodes: DataFrame, tau: int = 3, held: int = HELD, wide: int | None = N
                     hi = min(lo + step, first + index[r] + asked[r])
                     p, q = np.nonzero(np.bitwise_count(x["fp"][lo:hi, None] ^ held_rows[None, :]) <= tau)
                     near(p + lo, q + first)
-            probes = np.flatnonzero((x["side"] == 1) & ~large[run])  # the many small keys, pair by pair
+            probes = np.flatnonzero((side == 1) & ~large[run])  # the many small keys, pair by pair
             times = index[run[probes]]
             probes, times = probes[times > 0], times[times > 0]
             ends, lo = np.cumsum(times), 0
@@ -275,7 +285,7 @@ def links(nodes: DataFrame, tau: int = 3, held: int = HELD, wide: int | None = N
             last = slice(start[-1], start[-1] + index[-1])
             kept = {c: v[last] for c, v in x.items()}
 
-    return dealt.sortWithinPartitions(*by, "side").mapInPandas(met, "a long, b long")
+    return dealt.sortWithinPartitions(*by, "rule").mapInPandas(met, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 3, width: int = 3, held: int = HELD) -> DataFrame:
@@ -315,13 +325,13 @@ def _named(own: np.ndarray) -> int:
 
 
 def sign(text: str | None, width: int = WIDTH) -> tuple[int, int, int, int]:
-    """node: the name of the set of shingles; fp: SimHash of the distinct words; s0, s1: 128-bit SimHash of the shingles."""
+    """node: the name of the set of shingles; fp: SimHash of the distinct words; s: that of the shingles; pair: the name of both."""
     words = _words(text)
     own = shingles(words, width)
     distinct = set(words)
     fp = _majority(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct)))
-    mixed = (own ^ (own >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (_named(own), *(int(np.uint64(x).view(np.int64)) for x in (fp, _majority(own), _majority(mixed ^ (mixed >> np.uint64(31))))))
+    both = np.array([fp, _majority(own)], np.uint64)
+    return (_named(own), *both.view(np.int64).tolist(), int(_pair(both[:1], both[1:]).view(np.int64)[0]))
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
@@ -385,16 +395,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     like itself only. Texts of any length are read whole. Columns other than the two named take no part. No rows: no rows.
     """
 
-    @F.pandas_udf("node long, fp long, s0 long, s1 long")
+    @F.pandas_udf("node long, fp long, s long, pair long")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([sign(x, width) for x in texts], columns=["node", "fp", "s0", "s1"], dtype=np.int64)
+            yield pd.DataFrame([sign(x, width) for x in texts], columns=["node", "fp", "s", "pair"], dtype=np.int64)
 
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("text"))
-    signs = materialise(known.select(id_col, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), signed("text").alias("s")).select(id_col, "bytes", "s.*"), "simhash-signs")
-    nodes = materialise(signs.groupBy("node").agg(F.min(F.struct(id_col, "bytes")).alias("of"), *[F.first(c).alias(c) for c in ("fp", "s0", "s1")]).select("node", F.col(f"of.{id_col}").alias("least"), "of.bytes", "fp", "s0", "s1"), "simhash-nodes")
-    coarse = materialise(links(nodes, tau, held, wide).distinct(), "simhash-coarse")
-    clusters = materialise(components(coarse).join(nodes.select("node", "least", "bytes"), "node"), "simhash-clusters")
+    signs = materialise(known.select(id_col, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), signed("text").alias("sign")).select(id_col, "bytes", "sign.*"), "simhash-signs")
+    nodes = materialise(signs.groupBy("node").agg(F.min(F.struct(id_col, "bytes")).alias("of"), *[F.first(c).alias(c) for c in ("fp", "s", "pair")]).select("node", F.col(f"of.{id_col}").alias("least"), "of.bytes", "fp", "s", "pair"), "simhash-nodes")
+    pairs = materialise(nodes.select("fp", "s").distinct(), "simhash-pairs")
+    coarse = materialise(links(pairs, tau, held, wide).distinct(), "simhash-coarse")
+    # every set whose pair of fingerprints is linked or shared by several sets
+    roots = components(coarse).withColumnRenamed("node", "pair")
+    rooted = nodes.join(roots, "pair", "left").select("node", "least", "bytes", F.coalesce("root", "pair").alias("root"))
+    several = rooted.groupBy("root").count().where(F.col("count") > 1).select("root")
+    clusters = materialise(rooted.join(several, "root", "left_semi"), "simhash-clusters")
+    release(pairs)
     release(coarse)
     sizes = clusters.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / cluster_nodes), F.ceil(F.sum("bytes") / cluster_bytes)).cast("int").alias("blocks"))
     bins = -(-(clusters.agg(F.sum("bytes")).first()[0] or 0) // cluster_bytes)
