@@ -32,7 +32,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An image is drawn from every usable vector; a cropped, brightened copy of each vec_id divisible by 50 is searched for."""
+    """An image is drawn from every usable vector; a turned, scaled or cropped copy, with other brightness and noise, of each vec_id divisible by 50 is searched for."""
     rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))).select(F.col("vec_id").alias("id"), "embedding")
     images = rows.select("id", media.drawn(F.col("embedding")).alias("image"))
     asked = rows.where(F.col("id") % 50 == 0).select("id", media.edited(media.drawn(F.col("embedding"))).alias("image"))

@@ -218,27 +218,72 @@ def test_chat_odd_rows(spark):
 # media
 
 
-def test_media_query_finds_every_edited_copy(spark, sf):
-    got = QUERIES["op4_media"](spark, sf).collect()
+def test_media_query_finds_every_edited_copy(spark):
+    """The query's edits are crops to 60 %, turns of 15, 90 and 180 degrees, scales from 0.75 to 1.414 and several at once."""
+    got = QUERIES["op4_media"](spark, "/root/testdata/sf0.1").collect()
     ids = {r["id"]: r["class"] for r in got if r["kind"] == "image"}
     asked = {r["id"]: r["query_class"] for r in got if r["kind"] == "query"}
     pairs = {(r["query_class"], r["class"]) for r in got if r["kind"] == "pair"}
-    assert len(ids) == 500 and set(asked) == {i for i in ids if i % 50 == 0}
-    hit = sum((q, ids[i]) in pairs for i, q in asked.items())
-    assert hit >= 0.9 * len(asked) and len(pairs) <= hit + 1
-
-
-def test_media_join_equals_comparing_all_descriptors(spark):
+    assert len(ids) == 2000 and set(asked) == {i for i in ids if i % 50 == 0}
+    hits = {(q, ids[i]) for i, q in asked.items()} & pairs
+    assert len(hits) >= 0.95 * len(asked) and len(pairs) == len(hits)
+
+
+@pytest.mark.parametrize("edit", media.EDITS)
+def test_media_recall_by_edit(edit):
+    """Comparing all corners of 20 edited pictures with all corners of 60 pictures; the similarity found is the edit."""
+    rng = np.random.default_rng(7)
+    pictures = [media.draw(rng.normal(size=64)) for _ in range(60)]
+    known = [media.corners(media.encode(p)) for p in pictures]
+    turn, scale, crop = edit
+    found, wrong = 0, 0
+    for k in range(20):
+        p = pictures[k]
+        q = media.corners(media.encode(0.9 * media.warped(p, turn, scale, crop) + 6 + rng.normal(0, 1.5, media.warped(p, turn, scale, crop).shape)))
+        for i, own in enumerate(known):
+            a, b = media.matched(q, own, 18)
+            m = media.consensus(q[a], own[b]) if len(a) >= 4 else None
+            if m and m[0] >= 6:
+                found += i == k
+                wrong += i != k
+                if i == k:
+                    assert abs((m[1] - turn + 180) % 360 - 180) < 3 and abs(m[2] / scale - 1) < 0.05
+    assert found >= 18 and wrong == 0
+
+
+def test_media_pairs_equal_comparing_all_corners(spark):
+    """copies() through its tables gives what a comparison of every corner with every other gives, for near copies' classes too."""
     rng = np.random.default_rng(1)
-    pictures = [media.encode(media.draw(rng.normal(size=64))) for _ in range(6)]
-    images = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(pictures)], "id long, image binary")
-    queries = spark.createDataFrame([(9, bytearray(media.edit(pictures[2])))], "id long, image binary")
-    pair = [r for r in media.copies(images, queries).collect() if r["kind"] == "pair"]
-    assert [(r["query_class"], r["class"]) for r in pair] == [(9, 2)]
-    seed = zlib.crc32(pictures[2])
-    assert abs(pair[0]["dx"] + (seed >> 4 & 7)) < 2 and abs(pair[0]["dy"] + (seed & 7)) < 2  # the crop's shift
-    n, y, x, level, angle, bits = media.describe(media.decode(pictures[2])[None])
-    assert len(n) == len(bits) and bits.shape[1] == 16 and len(n) > 10
+    vectors = [rng.normal(size=64) for _ in range(12)]
+    pictures = [media.draw(v) for v in vectors]
+    pictures += [np.clip(pictures[3] + rng.normal(0, 2, pictures[3].shape), 0, 255) for _ in range(6)]  # near copies of number 3
+    data = [media.encode(p) for p in pictures] + [media.encode(pictures[5])]
+    images = spark.createDataFrame([(i, bytearray(p), 1, "x") for i, p in enumerate(data)], "id long, image binary, class int, corners string")
+    asked = [media.encode(media.warped(pictures[i], *e)) for i, e in ((2, (15, 1, 1)), (3, (0, 1, 0.85)), (5, (90, 1, 1)), (7, (0, 1.414, 1)))]
+    strange = media.encode(media.draw(rng.normal(size=64)))
+    queries = spark.createDataFrame([(100 + i, bytearray(p), 2, "y") for i, p in enumerate([*asked, strange])], "id long, image binary, class int, corners string")
+    got = media.copies(images, queries).collect()
+    of = {r["id"]: r["class"] for r in got if r["kind"] == "image"}
+    assert {of[i] for i in (3, *range(12, 18))} == {3} and of[18] == 5 and len(set(of.values())) == 12
+    want = {}
+    for i, p in enumerate([*asked, strange]):
+        q = media.corners(p)
+        for k in sorted(set(of.values())):
+            own = media.corners(data[k])
+            a, b = media.matched(q, own, 18)
+            m = media.consensus(q[a], own[b]) if len(a) else None
+            if m and m[0] >= 6:
+                want[100 + i, k] = m[0]
+    assert {(r["query_class"], r["class"]): r["inliers"] for r in got if r["kind"] == "pair"} == want
+    assert set(want) == {(100, 2), (101, 3), (102, 5), (103, 7)}
+
+
+def test_media_windows_are_bits():
+    d = np.random.default_rng(0).integers(0, 1 << 63, (5, 2), dtype=np.uint64)
+    for x, keys in zip(d, media.windows(d), strict=True):
+        whole = int(x[0]) | int(x[1]) << 64
+        whole |= whole << 128
+        assert keys.tolist() == [whole >> at & (1 << media.WINDOW) - 1 | k << media.WINDOW for k, at in enumerate(range(0, 128, media.STEP))]
 
 
 def test_media_odd_rows(spark):
