@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import BROADCAST_ROWS, materialise
 
 ROLES = ("system", "user", "assistant")
 START = 3  # the state before any turn; states 0..2: the role of the last turn
@@ -28,6 +28,7 @@ MERGE, INSERT, RELABEL = 1, 3, 4  # costs; keeping a role costs nothing
 #: Cost in the high bits, emitted turns in the low ones: the cheapest way, then the shortest.
 UNIT = 1 << 32
 NEVER = 1 << 60
+BLOCK_BYTES = 1 << 25
 
 
 def _paths() -> dict[tuple[int, int], tuple[int, ...]]:
@@ -122,19 +123,22 @@ def _render(role: int, text: str, opened: bool) -> str:
 def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", per_partition: int = 20_000) -> DataFrame:
     """(conv_id, position, part, role, action, text, rendered): the repaired turns of each conversation.
 
-    Turns are taken in the order of turn (null last), role, text; position counts repaired turns from 0, part counts up over
+    Turns are taken in the order of turn (null last), role (null first), a hash of the text, then the text, however the rows
+    are dealt; position counts repaired turns from 0, part counts up over
     the source turns merged into one (with a gap where a conversation crosses partitions). action: keep, relabel, merge, relabel+merge, insert. `rendered` of a conversation,
     joined in the order of position and part, is its chat markup. Null or unknown roles are relabelled, null texts are
-    empty, repeated rows are turns of their own, rows without a conversation id are left out. No rows: no rows.
+    empty, repeated rows are turns of their own, rows without a conversation id are left out, further columns take no part.
+    A block holds about per_partition turns and, on average, at most BLOCK_BYTES of text. No rows: no rows.
     """
     conv_type = turns.schema[conv_col].dataType.simpleString()
     rows = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).alias("conv"), F.coalesce(F.col(turn_col).cast("long"), F.lit(2**63 - 1)).alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumns({"salt": F.monotonically_increasing_id(), "hash": F.xxhash64("text")})
     order = ["conv", "turn", "role", "hash", "salt"]
-    parts = max(1, -(-rows.count() // per_partition))
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = max(1, -(-size["n"] // per_partition), -(-(size["bytes"] or 0) // BLOCK_BYTES))
     held = rows.repartitionByRange(parts, *order).withColumn("block", F.spark_partition_id())
     held = materialise(held.withColumn("conv", F.col("conv").cast("string")), "chat-turns")
-    sort = ["conv_order", "turn", "role", "text", "salt"]
+    sort = ["conv_order", "turn", "role", "hash", "text", "salt"]
     held = held.withColumn("conv_order", F.col("conv").cast(conv_type))
 
     def pieces(pdf: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame]]:
@@ -148,11 +152,11 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         return pd.DataFrame([(int(pdf["block"].iloc[0]), c, matrix([code(r) for r in g["role"]]).tobytes()) for c, g in ends], columns=["block", "conv", "m"])
 
     # two rows of 128 bytes for each block
-    crossing = held.select("block", "conv", "conv_order", "turn", "role", "salt", F.lit("").alias("text")).groupBy("block").applyInPandas(summed, "block int, conv string, m binary").orderBy("block").collect() if parts > 1 else []
+    crossing = held.select("block", "conv", "conv_order", "turn", "role", "hash", "salt", F.lit("").alias("text")).groupBy("block").applyInPandas(summed, "block int, conv string, m binary").orderBy("block").collect() if parts > 1 else []
     by_conv: dict[str, list[tuple[int, np.ndarray]]] = {}
     for r in crossing:
         by_conv.setdefault(r["conv"], []).append((r["block"], np.frombuffer(r["m"], np.int64).reshape(4, 4)))
-    given: dict[tuple[int, str], tuple[int, int, int, int, bool]] = {}  # state before and after, position of the first new turn, number of the piece, whether it is the last
+    given: list[tuple] = []  # block, conv, state before and after, position of the first new turn, number of the piece, whether it is the last
     for conv, own in by_conv.items():
         if len(own) < 2:
             continue
@@ -167,14 +171,15 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         states.reverse()
         position = 0
         for i, (block, m) in enumerate(own):
-            given[block, conv] = (states[i], states[i + 1], position, i, i + 1 == len(own))
+            given.append((block, conv, states[i], states[i + 1], position, i, i + 1 == len(own)))
             position += int(m[states[i], states[i + 1]] % UNIT)
 
     def fixed(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for conv, g in pieces(pdf):
             roles = [code(r) for r in g["role"]]
-            start, end, position, piece, last = given.get((int(g["block"].iloc[0]), conv), (START, None, 0, 0, True))
+            own = g.iloc[0]
+            start, end, position, piece, last = (START, None, 0, 0, True) if pd.isna(own["before"]) else (int(own["before"]), int(own["after"]), int(own["first"]), int(own["piece"]), bool(own["last"]))
             steps, part = repair(roles, start, end), piece << 32
             position -= 1
             opened = start == START
@@ -197,5 +202,8 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
                 out[-1] = (*out[-1][:6], out[-1][6] + "<|im_end|>\n")
         return pd.DataFrame(out, columns=["conv", "position", "part", "role", "action", "text", "rendered"])
 
+    spark = turns.sparkSession
+    known = spark.createDataFrame(given, "block int, conv string, before int, after int, first long, piece long, last boolean")
+    held = held.join(F.broadcast(known) if len(given) <= BROADCAST_ROWS else known, ["block", "conv"], "left")
     done = held.groupBy("block").applyInPandas(fixed, "conv string, position long, part long, role string, action string, text string, rendered string")
     return done.select(F.col("conv").cast(conv_type).alias("conv_id"), "position", "part", "role", "action", "text", "rendered")

@@ -207,6 +207,46 @@ def test_chat_over_partitions_equals_one_partition(spark):
         assert a.count("<|im_start|>") == b.count("<|im_start|>")
 
 
+def markup(turns):
+    """The chat markup of one conversation's ordered (role, text), by the cheapest way that repair() finds (checked above)."""
+    steps = chat.repair([chat.code(r) for r, _ in turns])
+    out = []
+    for (state, action, added), (_, text) in zip(steps, turns, strict=True):
+        out += [[r, ""] for r in added]
+        if action.endswith("merge"):
+            out[-1][1] += "\n\n" + text
+        else:
+            out.append([state, text])
+    out += [[r, ""] for r in chat.CLOSING[steps[-1][0]]]
+    return "".join(f"<|im_start|>{chat.ROLES[r]}\n{x}<|im_end|>\n" for r, x in out)
+
+
+def joined(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (r["conv_id"], r["position"], r["part"])):
+        out[r["conv_id"]] = out.get(r["conv_id"], "") + r["rendered"]
+    return out
+
+
+def test_chat_query_gives_the_whole_markup(spark, sf):
+    turns = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").where("conv_id is not null").selectExpr("*", "xxhash64(coalesce(text, '')) AS h").collect():
+        turns.setdefault(r["conv_id"], []).append(((r["turn"] is None, r["turn"] or 0), (r["role"] is not None, r["role"] or ""), r["h"], r["text"] or ""))
+    want = {c: markup([(role[1] or None, text) for _, role, _, text in sorted(x)]) for c, x in turns.items()}
+    assert joined(QUERIES["op9_chat"](spark, sf).collect()) == want
+
+
+def test_chat_order_of_tied_turns_does_not_depend_on_blocks(spark):
+    rnd = random.Random(4)
+    rows = [(c, rnd.choice([0, 0, 1, None]), rnd.choice(["user", "assistant", None]), f"text {rnd.randrange(9)}") for c in (1, 2, 3) for _ in range(30)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    one = joined(chat.formatted(df, per_partition=10**6).collect())
+    for per in (4, 8, 25):
+        many = joined(chat.formatted(df.repartition(5), per_partition=per).collect())
+        strip = lambda x: [t.split("\n", 1)[1] for t in x.replace("<|im_end|>\n", "").split("<|im_start|>")[1:]]
+        assert {c: "".join(strip(x)).replace("\n", "") for c, x in many.items()} == {c: "".join(strip(x)).replace("\n", "") for c, x in one.items()}
+
+
 def test_chat_odd_rows(spark):
     rows = [(1, None, "user", "late"), (1, 0, None, None), (1, 0, None, None), (None, 0, "user", "lost"), (2, 0, "assistant", "x" * 100_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS position", "'a' AS action")
