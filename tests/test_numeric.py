@@ -101,8 +101,25 @@ def test_fusion_large_equals_local(spark):
     want = fusion.solve(y, s, t, np.ones(11), 0.2, tol=1e-10, most=20_000)[0]
     nodes = spark.createDataFrame([(i, y[i].tolist()) for i in range(12)], "node long, y array<double>")
     edges = spark.createDataFrame([(int(a), int(b), 1.0) for a, b in zip(s, t, strict=True)], "src long, tgt long, weight double")
-    got = np.array([r["u"] for r in fusion.solve_large(nodes, edges, 0.2, 2, rounds=25).orderBy("node").collect()])
-    assert np.abs(got - want).max() < 0.05
+    cases = nodes.selectExpr("0 AS case", "*").unionByName(nodes.selectExpr("1 AS case", "*"))
+    got = fusion.solve_large(cases, edges, [0.2, 0.0], 2, tol=1e-4).orderBy("case", "node").collect()
+    assert np.abs(np.array([r["u"] for r in got[:12]]) - want).max() < 0.02 and np.allclose([r["u"] for r in got[12:]], y)
+    with pytest.raises(RuntimeError):
+        fusion.solve_large(cases, edges, [0.2, 0.0], 2, tol=1e-12, most=2)
+
+
+def test_the_size_of_a_component_changes_nothing(spark):
+    """One component solved as rows gives the lambdas, errors and topics of one solved in a task."""
+    from loomgraph.plans.model import GraphTopics
+
+    rng = np.random.default_rng(5)
+    rows = [(i, f"t{j}", int(c)) for i in range(24) for j, c in enumerate(rng.poisson(np.where(np.arange(6) // 3 == i // 12, 9, 2)) + 1)]
+    counts = spark.createDataFrame(rows, "doc_id long, term string, n long")
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(23)], "src long, tgt long, weight double")
+    one, other = (GraphTopics(k=2, method="graph", grid=2, lam_start=0.01, step=8.0, folds=2, rounds=1, largest=n).fit(counts, edges) for n in (10**6, 1))
+    assert one.lambdas == other.lambdas and len(one.errors) == len(other.errors)
+    assert np.allclose(one.errors[0]["totals"], other.errors[0]["totals"], rtol=1e-3) and min(one.errors[0]["totals"]) > 0
+    assert np.allclose(one.values, other.values, rtol=1e-4) and np.allclose(one.a, other.a, atol=1e-3)
 
 
 # graphs by hand
