@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import components
+from loomgraph.operators.running import number_rows
 from loomgraph.shared import materialise
 
 #: Distances that agree to so many digits are ties, and ids decide.
@@ -174,9 +175,10 @@ def tree_folds(edges: DataFrame, nodes: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def random_folds(nodes: DataFrame, folds: int, seed: int = 1) -> DataFrame:
-    """(node, fold) of near-equal size, in the order of a hash."""
-    pos = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1_000_003))
-    return nodes.select("node", F.pmod(pos, F.lit(folds)).cast("int").alias("fold"))
+    """(node, fold): folds whose sizes differ by one at most, dealt in the order of a digest of seed and node."""
+    order = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("node").cast("string")))
+    dealt = number_rows(nodes.select("node").withColumn("_order", order), "_order", "node", name="_pos")
+    return dealt.select("node", F.pmod("_pos", F.lit(folds)).cast("int").alias("fold"))
 
 
 def interpolated(values: DataFrame, edges: DataFrame, folds: DataFrame, fold: int | None = None) -> DataFrame:

@@ -288,13 +288,12 @@ def radius_features_3d(spark, sf):
     return graph.neighbourhood(p.select("node", "sample", "x", "y", "z"), p, 0.08, f, ("x", "y", "z"), ("sample",))
 
 
-@query("""WITH i AS (SELECT DISTINCT o_custkey AS node, o_orderpriority || '/' || o_orderstatus || '/' || CAST(month(o_orderdate) AS VARCHAR) AS token FROM orders WHERE o_custkey <= 300),
+@query("""WITH i AS (SELECT DISTINCT l_orderkey AS node, l_partkey AS token FROM lineitem), n AS (SELECT count(*) AS n FROM part),
 c AS (SELECT a.node AS src, b.node AS tgt, count(*) AS shared FROM i a JOIN i b USING (token) WHERE a.node <> b.node GROUP BY ALL)
-SELECT src, tgt, CAST(shared AS BIGINT) AS shared, CAST(rank AS INTEGER) AS rank, round(shared / (180 - shared), 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY shared DESC, tgt) AS rank FROM c) WHERE rank <= 5""")
+SELECT src, tgt, CAST(shared AS BIGINT) AS shared, CAST(rank AS INTEGER) AS rank, round(shared / (n - shared), 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY shared DESC, tgt) AS rank FROM c), n WHERE rank <= 5""")
 def shared_count_topk(spark, sf):
-    o = t(spark, sf, "orders").where("o_custkey <= 300")
-    items = o.select(F.col("o_custkey").alias("node"), F.concat_ws("/", "o_orderpriority", "o_orderstatus", F.month("o_orderdate").cast("string")).alias("token"))
-    return graph.shared_counts(items, 180).select("src", "tgt", "shared", "rank", r6("similarity").alias("similarity"))
+    items = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_partkey").cast("string").alias("token"))
+    return graph.shared_counts(items, t(spark, sf, "part").count()).select("src", "tgt", "shared", "rank", r6("similarity").alias("similarity"))
 
 
 @query(f"WITH RECURSIVE {NN1}, reach(node, other) AS (SELECT node, node FROM pts UNION SELECT reach.node, mirrored.tgt FROM reach JOIN mirrored ON mirrored.src = reach.other) SELECT node, min(other) AS root FROM reach GROUP BY node")
@@ -343,14 +342,10 @@ def difference_matrix(spark, sf):
     return number_rows(e, "src", "tgt", name="edge_id").select("edge_id", "src", "tgt", r6(F.sqrt(graph.squared_distance())).alias("difference"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT vec_id AS node, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings WHERE label = 0 AND vec_id < 400),
-e AS (SELECT a.node AS s, b.node AS t, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM p a JOIN p b ON a.node < b.node),
-grow(done, total) AS (SELECT [min(node)], CAST(0 AS DOUBLE) FROM p UNION ALL
- SELECT list_append(done, nxt.node), total + nxt.d FROM grow, LATERAL (SELECT CASE WHEN list_contains(done, s) THEN t ELSE s END AS node, d FROM e WHERE list_contains(done, s) <> list_contains(done, t) ORDER BY d, s, t LIMIT 1) nxt)
-SELECT CAST(len(done) - 1 AS BIGINT) AS edges, round(total, 6) AS total FROM grow ORDER BY len(done) DESC LIMIT 1""")
+@query()
 def voronoi_tree_length(spark, sf):
-    p = points(spark, sf).where("topic = 0 AND node < 400").select(F.col("topic").alias("sample_id"), "node", "x", "y")
-    return graph.voronoi_graph(p).agg(F.count("*").alias("edges"), r6(F.sum("distance")).alias("total"))
+    p = points(spark, sf).select(F.col("topic").alias("sample_id"), "node", "x", "y")
+    return graph.voronoi_graph(p).groupBy("sample_id").agg(F.count("*").alias("edges"), r6(F.sum("distance")).alias("total"))
 
 
 # smoothness
@@ -654,13 +649,15 @@ def graph_factor_topics(spark, sf):
     return m.terms().withColumn("a", r6("a"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {WEIGHTED}, e AS (SELECT src, tgt, weight, row_number() OVER (ORDER BY weight, src, tgt) AS k FROM w), m AS (SELECT k, src, tgt FROM e UNION ALL SELECT k, tgt, src FROM e),
+reach(k, node) AS (SELECT k, src FROM e UNION SELECT reach.k, m.tgt FROM reach JOIN m ON m.src = reach.node AND m.k < reach.k)
+SELECT src, tgt, round(weight, 6) AS weight FROM e WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.k = e.k AND reach.node = e.tgt)""")
 def spanning_forest(spark, sf):
     e = graph.exp_weights(knn_edges(spark, sf), points(spark, sf))
     return graph.spanning_forest(e).select("src", "tgt", r6("weight").alias("weight"))
 
 
-@query()
+@query("SELECT vec_id AS node, CAST((row_number() OVER (ORDER BY md5('1/' || CAST(vec_id AS VARCHAR)), vec_id) - 1) % 5 AS INTEGER) AS fold FROM embeddings")
 def random_folds(spark, sf):
     return graph.random_folds(points(spark, sf).select("node"), 5)
 

@@ -19,6 +19,26 @@ def test_query_runs(spark, sf, name):
     assert df.count() > 0 and not [c for c in df.columns if df.where(f"`{c}` IS NULL").limit(1).count()]
 
 
+def test_voronoi_trees_are_the_shortest(spark, sf):
+    """The trees of all samples against Prim's algorithm over all pairs of points."""
+    import numpy as np
+    from loomgraph.plans.catalog import points
+
+    rows, want = points(spark, sf).collect(), {}
+    for k in {r["topic"] for r in rows}:
+        xy = np.array([(r["x"], r["y"]) for r in rows if r["topic"] == k])
+        far, total = np.hypot(*(xy - xy[0]).T), 0.0
+        left = set(range(1, len(xy)))
+        while left:
+            i = min(left, key=lambda j: far[j])
+            total += far[i]
+            left.discard(i)
+            far = np.minimum(far, np.hypot(*(xy - xy[i]).T))
+        want[k] = (len(xy) - 1, total)
+    got = {r["sample_id"]: (r["edges"], r["total"]) for r in QUERIES["voronoi_tree_length"](spark, sf).collect()}
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-4 for k in want)
+
+
 def test_plain_topics_follow_the_languages(spark):
     from itertools import permutations
 
