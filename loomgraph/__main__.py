@@ -1,4 +1,4 @@
-"""Command line: python -m loomgraph {simulate,regions,baskets,choose-k,survival} ... ; see --help of each."""
+"""Command line: python -m loomgraph {simulate,regions,baskets,choose-k,survival,post-process} ... ; see --help of each."""
 
 from __future__ import annotations
 
@@ -33,7 +33,7 @@ def write_methods(counts: DataFrame, edges: DataFrame, k: int, methods: list[str
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="loomgraph")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("simulate", "regions", "baskets", "choose-k", "survival"):
+    for name in ("simulate", "regions", "baskets", "choose-k", "survival", "post-process"):
         s = sub.add_parser(name)
         s.add_argument("--out", required=True)
         if name == "simulate":
@@ -51,7 +51,8 @@ def main(argv: list[str] | None = None) -> None:
                 s.add_argument(x, required=True)
         else:
             s.add_argument("--folder", required=True)
-            s.add_argument("--meta", required=name == "survival")
+            s.add_argument("--meta", required=name in ("survival", "post-process"))
+            s.add_argument("--main", default="graph", choices=pipelines.METHODS)
             s.add_argument("--phi", type=float, default=0.1)
             s.add_argument("--folds", type=int, default=5)
     a = p.parse_args(argv)
@@ -73,6 +74,17 @@ def main(argv: list[str] | None = None) -> None:
         elif a.command == "choose-k":
             for m in a.methods:
                 io.write_csv(pipelines.choose_k(counts, edges, units, a.k, a.folds, m), f"{a.out}/{m}")
+        elif a.command == "post-process":
+            w, topics, paths = pipelines.align_models(counts, edges, a.k, tuple(a.methods), a.main)
+            io.write_factors(w, f"{a.out}/w")
+            io.write_factors(topics, f"{a.out}/a")
+            io.write_csv(paths, f"{a.out}/paths")
+            meta = io.read_region_meta(spark, a.meta)
+            heaviest = w.join(units, "doc_id").select("method", "k", "region_id", argmax(F.col("w")).alias("topic"))
+            for k in sorted(set(a.k)):
+                for m in a.methods:
+                    own = heaviest.where((F.col("method") == m) & (F.col("k") == k)).select("region_id", "topic")
+                    io.write_csv(pipelines.survival_table(own, meta, k), f"{a.out}/survival/{m}-{k}")
         else:
             meta = io.read_region_meta(spark, a.meta)
             for k in a.k:

@@ -73,6 +73,14 @@ def vocabulary(counts: DataFrame, size: int) -> DataFrame:
     return top.select("term", (F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1).alias("term_id"))
 
 
+def whole_vocabulary(counts: DataFrame, most: int) -> DataFrame:
+    """(term, term_id) of all terms, as a written table; an error where there are more than `most`, as no term is left out unasked."""
+    vocab = materialise(vocabulary(counts, most + 1), "vocabulary")
+    if vocab.count() > most:
+        raise ValueError(f"more than {most} terms: cut the vocabulary first, or raise the bound")
+    return vocab
+
+
 def wide(counts: DataFrame, terms: list[str], *keys: str) -> DataFrame:
     """One column for each of the given terms, zeros filled in."""
     return counts.groupBy(*keys).pivot("term", terms).agg(F.sum("n")).na.fill(0, terms)

@@ -23,9 +23,14 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """Each pair once, src < tgt, without self-loops."""
+    """Each pair once, src < tgt, without self-loops; of rows of one pair that differ, the one whose other columns are greatest."""
     rest = [c for c in edges.columns if c not in ("src", "tgt")]
-    return edges.where("src <> tgt").select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), *rest).dropDuplicates(["src", "tgt"])
+    pairs = edges.where("src <> tgt").select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), *rest)
+    if not rest:
+        return pairs.distinct()
+    if len(rest) == 1:
+        return pairs.groupBy("src", "tgt").agg(F.max(rest[0]).alias(rest[0]))
+    return pairs.groupBy("src", "tgt").agg(F.max(F.struct(*rest)).alias("_rest")).select("src", "tgt", *[F.col("_rest")[c].alias(c) for c in rest])
 
 
 def unit_square(coords: DataFrame) -> DataFrame:

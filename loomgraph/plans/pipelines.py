@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -47,14 +48,17 @@ def preprocess_baskets(baskets: DataFrame, mapping: DataFrame, neighbours: DataF
     return counts.select("doc_id", "term", "n"), edges.withColumn("weight", F.lit(1.0))
 
 
-def fit_method(method: str, counts: DataFrame, edges: DataFrame | None, k: int, sample: DataFrame | None = None, **options) -> tuple[DataFrame, np.ndarray, DataFrame, float]:
-    """(doc, w), K x p topics, the vocabulary, and seconds. sample: (doc_id, sample_id) for the spatial LDA; one sample by default."""
+def fit_method(method: str, counts: DataFrame, edges: DataFrame | None, k: int, sample: DataFrame | None = None, most_terms: int = 4000, **options) -> tuple[DataFrame, np.ndarray, DataFrame, float]:
+    """(doc, w), K x p topics, the vocabulary, and seconds. sample: (doc_id, sample_id) for the spatial LDA; one sample by default.
+
+    More than `most_terms` terms are an error ("plain" and "graph" have a bound of their own): topics are held on the driver.
+    """
     began = time.time()
     if method in ("plain", "graph"):
         m = GraphTopics(k, method, **options).fit(counts, edges)
         return m.w, m.a, m.vocab, time.time() - began
     counts = materialise(counts, "counts")
-    vocab = C.vocabulary(counts, 4000).persist()
+    vocab = C.whole_vocabulary(counts, most_terms)
     if method == "topicscore":
         w, a = topicscore.fit(C.normalise(counts), vocab, k, **options)
         return materialise(w, "w"), a, vocab, time.time() - began
@@ -83,14 +87,14 @@ def compare(counts: DataFrame, edges: DataFrame, k: int, coords: DataFrame | Non
     return spark.createDataFrame(rows, "method string, k int, metric string, value double")
 
 
-def choose_k(counts: DataFrame, edges: DataFrame, units: DataFrame, ks: list[int], folds: int = 5, method: str = "plain", fit: Callable | None = None, **options) -> DataFrame:
+def choose_k(counts: DataFrame, edges: DataFrame, units: DataFrame, ks: list[int], folds: int = 5, method: str = "plain", fit: Callable | None = None, most_terms: int = 4000, **options) -> DataFrame:
     """(k, a, b, l1_dist, cos_sim, cos_sim_ratio) of each pair of folds: topics fitted on different regions should agree.
 
     units: (doc_id, region_id); regions are dealt into folds. Fits of different folds run as concurrent jobs.
     """
     spark = counts.sparkSession
     dealt = materialise(units.join(graph.random_folds(units.select(F.col("region_id").alias("node")).distinct(), folds).withColumnRenamed("node", "region_id"), "region_id").select("doc_id", "fold"), "fold-units")
-    terms = [r["term"] for r in C.vocabulary(counts, 4000).orderBy("term").collect()]
+    terms = [r["term"] for r in C.whole_vocabulary(counts, most_terms).orderBy("term").collect()]
     place = {t: i for i, t in enumerate(terms)}
 
     def one(k: int, f: int) -> np.ndarray | None:
@@ -115,6 +119,34 @@ def choose_k(counts: DataFrame, edges: DataFrame, units: DataFrame, ks: list[int
     return spark.createDataFrame(rows, "k int, a int, b int, l1_dist double, cos_sim double, cos_sim_ratio double")
 
 
+def align_models(counts: DataFrame, edges: DataFrame, ks: list[int], methods: tuple[str, ...] = ("graph", "plain"), main: str = "graph", most_terms: int = 4000, **options: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Factors of all methods and K in one order of topics: (method, k, doc_id, w), (method, k, topic, term, a), (method, k, paths, broken).
+
+    Topics of the main method follow those of the K before; at each K, the other methods follow the main one. The third
+    table counts, for each method, the paths of topics that go on from one K to the next, and those that break.
+    """
+    if main not in methods:
+        raise ValueError(f"{main} is not among the methods")
+    spark, ks = counts.sparkSession, sorted(set(ks))
+    terms = [r["term"] for r in C.whole_vocabulary(counts, most_terms).orderBy("term").collect()]
+    place, weights, models = {t: i for i, t in enumerate(terms)}, {}, {}
+    for m in methods:
+        for k in ks:
+            weights[m, k], a, vocab, _ = fit_method(m, counts, edges, k, **options.get(m, {}))
+            models[m, k] = np.zeros((k, len(terms)))
+            for r in vocab.collect():
+                models[m, k][:, place[r["term"]]] = a[:, r["term_id"]]
+    orders = {(main, k): o for k, o in zip(ks, align.consistent_orders([models[main, k] for k in ks]), strict=True)}
+    for m, k in models:
+        if m != main:
+            match = align.mapping(models[m, k], models[main, k][orders[main, k]])
+            orders[m, k] = [int(match[:, j].argmax()) for j in range(k)]
+    w = reduce(DataFrame.unionByName, [d.select(F.lit(m).alias("method"), F.lit(k).alias("k"), "doc_id", F.array(*[F.col("w")[old] for old in orders[m, k]]).alias("w")) for (m, k), d in weights.items()])
+    rows = [(m, k, i, terms[j], float(models[m, k][old, j])) for (m, k), o in orders.items() for i, old in enumerate(o) for j in range(len(terms))]
+    paths = [(m, r["k"], r["paths"], r["broken"]) for m in methods for r in align.topic_paths([models[m, k] for k in ks])]
+    return w, spark.createDataFrame(rows, "method string, k int, topic int, term string, a double"), spark.createDataFrame(paths, "method string, k int, paths int, broken int")
+
+
 def survival_table(topics: DataFrame, meta: DataFrame, k: int) -> DataFrame:
     """(region_id, Topic0.., outcome columns): shares of the heaviest topics of each region, joined with its outcome."""
     return metrics.shares(topics, "region_id", "topic", list(range(k))).join(meta, "region_id")

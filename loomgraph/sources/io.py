@@ -92,8 +92,11 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], **par
 
 
 def write_factors(df: DataFrame, path: str, by: tuple[str, ...] = ("method", "k")) -> None:
-    """Aligned factors, one folder for each method and K, so that readers prune instead of trusting file order."""
-    df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    """Aligned factors, one folder for each method and K, so that readers prune instead of trusting file order.
+
+    Only the folders of the methods and K in df are replaced; others at the path stay.
+    """
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:

@@ -371,6 +371,39 @@ def test_alignment_undoes_a_rotation_of_rows():
     assert align.topic_paths([a[:2], a])[0]["paths"] == 2
 
 
+def test_models_of_all_methods_share_one_order(corpus, spark):
+    _, _, counts = corpus
+    counts = counts.select("doc_id", "term", "n")
+    none = spark.createDataFrame([], "src long, tgt long, weight double")
+    w, topics, paths = pipelines.align_models(counts, none, [3, 2], ("lda", "plain"), "plain")
+    a = {}
+    for r in topics.collect():
+        a.setdefault((r["method"], r["k"]), np.zeros((r["k"], 24)))[r["topic"], int(r["term"][1:])] = r["a"]
+    for k in (2, 3):
+        s = align.unit_rows(a["lda", k]) @ align.unit_rows(a["plain", k]).T
+        best = max(itertools.permutations(range(k)), key=lambda o: sum(s[i, j] for i, j in enumerate(o)))
+        assert list(best) == list(range(k))
+    s = align.unit_rows(a["plain", 2]) @ align.unit_rows(a["plain", 3]).T
+    assert s[0, 0] + s[1, 1] >= max(s[0, i] + s[1, j] for i, j in itertools.permutations(range(3), 2)) - 1e-9
+    own, found, vocab, _ = pipelines.fit_method("lda", counts, none, 3)
+    term = {r["term_id"]: int(r["term"][1:]) for r in vocab.collect()}
+    order = [next(o for o in range(3) if all(abs(found[o, j] - a["lda", 3][i, term[j]]) < 1e-9 for j in term)) for i in range(3)]
+    moved = {r["doc_id"]: r["w"] for r in w.where("method = 'lda' AND k = 3").collect()}
+    assert len(moved) == 300 and all(np.allclose(moved[r["doc_id"]], [r["w"][o] for o in order]) for r in own.collect())
+    assert {(r["method"], r["k"]) for r in paths.collect()} == {("lda", 3), ("plain", 3)}
+    with pytest.raises(ValueError, match="terms"):
+        pipelines.fit_method("lda", counts, none, 2, most_terms=23)
+    assert C.whole_vocabulary(counts, 24).count() == 24
+
+
+def test_repeated_edges_keep_the_greatest_row(spark):
+    rows = [(2, 1, 0.5, "a"), (1, 2, 0.7, "b"), (1, 2, 0.7, "a"), (3, 3, 9.0, "z"), (4, 1, None, None)]
+    e = spark.createDataFrame(rows, "src long, tgt long, weight double, kind string").repartition(4)
+    assert sorted(graph.undirected(e).collect(), key=lambda r: r["tgt"]) == [(1, 2, 0.7, "b"), (1, 4, None, None)]
+    assert sorted(graph.undirected(e.drop("kind")).collect(), key=lambda r: r["tgt"]) == [(1, 2, 0.7), (1, 4, None)]
+    assert sorted(graph.undirected(e.select("src", "tgt")).collect()) == [(1, 2), (1, 4)]
+
+
 def test_auc_km_and_cox_by_hand(spark):
     s = spark.createDataFrame([(0.1, 0), (0.4, 1), (0.4, 0), (0.8, 1)], "score double, label int")
     assert survival.auc(s).first()["auc"] == (2 + 1.5) / 4

@@ -90,6 +90,11 @@ def test_command_line(spark, regions, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/w/plain").count() == 5
     main(["survival", "--folder", regions, "--meta", f"{regions}/meta.csv", "--out", f"{tmp_path}/surv", "--k", "2", "--methods", "plain", "--least", "1"])
     assert spark.read.option("header", True).csv(f"{tmp_path}/surv/plain-2").columns[:3] == ["region_id", "Topic0", "Topic1"]
+    main(["regions", "--folder", regions, "--out", f"{tmp_path}/two", "--k", "1", "2", "--methods", "plain", "--least", "1"])
+    assert {r["k"] for r in spark.read.parquet(f"{tmp_path}/two/w/plain").collect()} == {1, 2}
+    main(["post-process", "--folder", regions, "--meta", f"{regions}/meta.csv", "--out", f"{tmp_path}/post", "--k", "1", "2", "--methods", "plain", "lda", "--main", "plain", "--least", "1"])
+    assert {(r["method"], r["k"]) for r in spark.read.parquet(f"{tmp_path}/post/w").select("method", "k").collect()} == {("plain", 1), ("plain", 2), ("lda", 1), ("lda", 2)}
+    assert spark.read.option("header", True).csv(f"{tmp_path}/post/survival/lda-2").columns[:3] == ["region_id", "Topic0", "Topic1"]
 
 
 def test_plans_push_down_and_prune(spark, sf):
