@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.running import number_rows
 from loomgraph.schemas import require
 from loomgraph.shared import materialise
 
+#: Terms up to which a vocabulary is numbered by one task, and broadcast.
+FEW_TERMS = 1 << 14
+
 
 def tokens(text: Column, least: int = 2) -> Column:
     """Lower-cased runs of letters of at least `least` characters."""
@@ -73,6 +77,16 @@ def vocabulary(counts: DataFrame, size: int) -> DataFrame:
     return top.select("term", (F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1).alias("term_id"))
 
 
+def all_terms(counts: DataFrame) -> tuple[DataFrame, int]:
+    """(term, term_id) of all terms, the commonest first, ties by term, as a written table, and how many there are; any number."""
+    totals = materialise(counts.groupBy("term").agg(F.sum("n").alias("total")), "terms")
+    n = totals.count()
+    if n <= FEW_TERMS:
+        return materialise(vocabulary(totals.withColumnRenamed("total", "n"), n), "vocabulary"), n
+    numbered = number_rows(totals.withColumn("_order", -F.col("total")), "_order", "term", name="term_id")
+    return materialise(numbered.select("term", F.col("term_id").cast("int").alias("term_id")), "vocabulary"), n
+
+
 def whole_vocabulary(counts: DataFrame, most: int) -> DataFrame:
     """(term, term_id) of all terms, as a written table; an error where there are more than `most`, as no term is left out unasked."""
     vocab = materialise(vocabulary(counts, most + 1), "vocabulary")

@@ -421,3 +421,66 @@ def test_logistic_recovers_coefficients(spark):
     y = rng.random(2000) < 1 / (1 + np.exp(-(0.5 + 1.5 * x)))
     b = survival.logistic(spark.createDataFrame(list(zip(x.tolist(), y.astype(int).tolist(), strict=True)), "x double, label int"), ["x"])
     assert np.allclose(b, [0.5, 1.5], atol=0.25)
+
+
+# any vocabulary
+
+
+def projector_distance(a, b):
+    return np.linalg.norm(a @ a.T - b @ b.T)
+
+
+def test_matrix_free_vectors_equal_the_gram_route(corpus, spark):
+    _, _, counts = corpus
+    vocab, p = C.all_terms(counts)
+    sparse = linalg.rows(C.normalise(counts), vocab).cache()
+    g, sums, n = linalg.gram(sparse, p)
+    assert np.allclose(linalg.product(sparse, np.eye(p)[:, :5]), g[:, :5])
+    found, rows = linalg.column_sums(sparse, p)
+    assert rows == n and np.allclose(found, sums)
+    for less in (None, sums / 60):
+        m = g if less is None else g - np.diag(less)
+        want, val = linalg.top_eigen(m, 4)
+        vec, got = linalg.leading(sparse, 4, p, less, extra=2)
+        assert projector_distance(want, vec) < 1e-6 and np.allclose(got, val, rtol=1e-9)
+
+
+def test_matrix_free_vectors_of_brands(spark, sf):
+    from loomgraph.plans.catalog import brands
+
+    x = C.normalise(brands(spark, "/root/testdata/sf0.01"))
+    vocab, p = C.all_terms(brands(spark, "/root/testdata/sf0.01"))
+    sparse = linalg.rows(x, vocab).cache()
+    g, _, _ = linalg.gram(sparse, p)
+    for k in (1, 4):
+        assert projector_distance(linalg.top_eigen(g, k)[0], linalg.leading(sparse, k, p, extra=1)[0]) < 1e-6
+
+
+def test_matrix_free_basis_cut_back_and_low_rank(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((120, 60)) * np.linspace(1, 3, 60)
+    sparse = spark.createDataFrame([(i, list(range(60)), row.tolist()) for i, row in enumerate(x)], "doc_id long, idx array<int>, val array<double>").cache()
+    want, val = linalg.top_eigen(x.T @ x, 3)
+    vec, got = linalg.leading(sparse, 3, 60, extra=1, held=60 * 20)
+    assert projector_distance(want, vec) < 1e-6 and np.allclose(got, val)
+    flat = spark.createDataFrame([(i, [0, 7], [1.0, 2.0]) for i in range(5)], "doc_id long, idx array<int>, val array<double>")
+    vec, got = linalg.leading(flat, 3, 10)
+    assert np.allclose(got, [25, 0, 0], atol=1e-9) and np.allclose(np.abs(vec[[0, 7], 0]), np.array([1, 2]) / 5**0.5)
+
+
+def test_model_with_200000_terms(spark):
+    """Two blocks of 100,000 terms: the documents of each block have one topic, and no term is left out."""
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"))
+    at = (F.col("doc_id") % 2) * 100_000 + F.pmod(F.xxhash64("doc_id", "j"), F.lit(100_000))
+    drawn = docs.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(49)))).select("doc_id", at.alias("t"))
+    common = docs.withColumn("t", 200_000 + F.col("doc_id") % 2)  # a term of each block that all its documents hold
+    whole = spark.range(200_000).select((F.col("id") // 100_000 + 2 * (F.col("id") % 2000)).alias("doc_id"), F.col("id").alias("t"))
+    counts = drawn.unionByName(common.select("doc_id", "t")).unionByName(whole).groupBy("doc_id", F.format_string("t%06d", "t").alias("term")).agg(F.count("*").alias("n"))
+    model = GraphTopics(2).fit(counts)
+    assert model.a.shape == (2, 200_002) and model.vocab.count() == 200_002
+    topics = {r["doc_id"]: r["topic"] for r in model.topics().collect()}
+    assert len({topics[i] for i in range(0, 4000, 2)}) == 1 and len({topics[i] for i in range(1, 4000, 2)}) == 1 and topics[0] != topics[1]
+    assert model.terms().count() == 400_004
+    exact = model.v[:, 0] @ linalg.product(linalg.rows(C.normalise(counts), model.vocab, small=False), model.v[:, :1])[:, 0]
+    assert abs(exact - model.values[0] ** 2) < 1e-9
