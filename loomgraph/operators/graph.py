@@ -56,47 +56,91 @@ def exp_weights(edges: DataFrame, coords: DataFrame, phi: float = 0.1) -> DataFr
     return with_ends(edges, coords, "x", "y").select("src", "tgt", F.exp(-phi * squared_distance()).alias("weight"))
 
 
-def nearest(coords: DataFrame, k: int = 1) -> DataFrame:
+def _curve(x_cuts: list[float], y_cuts: list[float], x: Column, y: Column) -> Column:
+    """The place of a point on the Z-curve over the quantiles of x and y, so that dense and empty regions take equal parts of it."""
+
+    @F.pandas_udf("long")
+    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = np.zeros(len(xs), np.int64)
+        for k, (cuts, v) in enumerate(((x_cuts, xs), (y_cuts, ys))):
+            at = np.searchsorted(np.asarray(cuts), v.to_numpy(float)).astype(np.int64)
+            for bit in range(int(len(cuts)).bit_length()):
+                out |= (at >> bit & 1) << (2 * bit + k)
+        return pd.Series(out)
+
+    return run(x, y)
+
+
+def _gap(a: str, b: str, axis: str, far: bool) -> Column:
+    """Least (or greatest) distance along an axis of two boxes, whose columns begin with a and b."""
+    lo = lambda s: F.col(f"{s}{axis}0")
+    hi = lambda s: F.col(f"{s}{axis}1")
+    if far:
+        return F.greatest(hi(b) - lo(a), hi(a) - lo(b))
+    return F.greatest(F.lit(0.0), lo(b) - hi(a), lo(a) - hi(b))
+
+
+def _between(a: str, b: str, far: bool) -> Column:
+    return F.sqrt(F.pow(_gap(a, b, "x", far), 2) + F.pow(_gap(a, b, "y", far), 2))
+
+
+def nearest(coords: DataFrame, k: int = 1, leaf: int | None = None, fan: int = 16) -> DataFrame:
     """(src, tgt, rank, distance): each node's k nearest other nodes, ties by id.
 
     Nodes at one place form a site, which keeps its k + 1 smallest ids, so a crowd at one place is never paired with
-    itself. Sites meet the sites of the cells around theirs; those whose neighbours may lie farther out try again with
-    twice the reach.
+    itself. Sites are numbered along a Z-curve over the quantiles of both axes; runs of `leaf` of them are the leaves of a
+    tree, runs of `fan` nodes the nodes above, so its depth follows from the count whatever the places are. Each leaf goes
+    down the tree by joins, keeping the nodes that may hold a neighbour: those no farther than the least distance within
+    which others surely hold k + 1 sites. A site meets the sites of the leaves kept that its own leaf's sites do not rule out.
     """
     coords = coords.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").select("node", "x", "y")
+    leaf = leaf or 2 * (k + 1)
     rank = F.row_number().over(Window.partitionBy("x", "y").orderBy("node"))
     few = coords.withColumn("r", rank).where(F.col("r") <= k + 1)
     sites = materialise(few.groupBy("x", "y").agg(F.sort_array(F.collect_list("node")).alias("ids")), "sites")
-    box = sites.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.count("*")).first()
-    if not box[4]:
+    probs = [i / 256 for i in range(1, 256)]
+    box = sites.agg(F.count("*").alias("n"), *[F.percentile_approx(c, probs, 10_000).alias(c) for c in ("x", "y")]).first()
+    if not box["n"]:
         return coords.select(F.col("node").alias("src"), F.col("node").alias("tgt"), F.lit(1).alias("rank"), F.lit(0.0).alias("distance")).limit(0)
-    extent = max(box[2] - box[0], box[3] - box[1]) or 1.0
-    cells = max(1, int(np.sqrt(box[4] / (k + 1))))
-    side = extent / cells
-    at = lambda c, low: F.floor((F.col(c) - low) / side).cast("int")
-    sites = sites.withColumns({"cx": at("x", box[0]), "cy": at("y", box[1])})
-    other = sites.select(F.col("x").alias("tx"), F.col("y").alias("ty"), "ids", F.col("cx").alias("jx"), F.col("cy").alias("jy"))
-    todo, done, reach = sites.select("x", "y", "cx", "cy"), [], 1
-    while True:
-        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
-        asked = todo.withColumn("o", F.explode(steps)).select("x", "y", (F.col("cx") + F.col("o.i")).alias("jx"), (F.col("cy") + F.col("o.j")).alias("jy"))
-        d = F.round(F.sqrt(F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2)), DIGITS)
-        met = asked.join(other, ["jx", "jy"]).select("x", "y", d.alias("distance"), F.explode("ids").alias("tgt"))
-        best = F.row_number().over(Window.partitionBy("x", "y").orderBy("distance", "tgt"))
-        top = materialise(met.withColumn("r", best).where(F.col("r") <= k + 1).drop("r"), "knn")
-        whole = reach >= cells
-        full = top.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
-        full = full.where(F.lit(True) if whole else (F.col("n") > k) & (F.col("far") <= reach * side * (1 - 1e-9))).select("x", "y")
-        done.append(top.join(full, ["x", "y"], "left_semi"))
-        todo = materialise(todo.join(full, ["x", "y"], "left_anti"), "knn-todo")
-        if whole or not todo.take(1):
-            break
-        reach *= 2
-    near = reduce(DataFrame.unionByName, done)
+    curve = sites.withColumn("z", _curve(box["x"], box["y"], F.col("x"), F.col("y")))
+    placed = number_rows(curve, "z", "x", "y", name="pos").select("x", "y", "ids", F.floor(F.col("pos") / leaf).alias("leaf"))
+    placed = materialise(placed, "sites-placed")
+    boxes = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n")]
+    leaves = materialise(placed.groupBy("leaf").agg(*boxes), "leaves")
+    levels, count = [leaves.withColumnRenamed("leaf", "id")], -(-box["n"] // leaf)
+    while count > fan:
+        up = levels[-1].groupBy(F.floor(F.col("id") / fan).alias("id")).agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.max, "x1"), (F.min, "y0"), (F.max, "y1"), (F.sum, "n"))])
+        levels.append(up)
+        count = -(-count // fan)
+    own = leaves.select("leaf", *[F.col(c).alias(f"a_{c}") for c in ("x0", "x1", "y0", "y1")])
+    held = lambda level: level.select("id", *[F.col(c).alias(f"b_{c}") for c in ("x0", "x1", "y0", "y1")], F.col("n").alias("b_n"))
+    met = own.crossJoin(F.broadcast(held(levels[-1])))  # at most `fan` nodes on the right
+    for level in [*reversed(levels[:-1]), None]:
+        # the least distance within which nodes that lie there whole hold enough sites
+        met = met.withColumns({"near": _between("a_", "b_", False), "far": _between("a_", "b_", True)})
+        sure = F.sum("b_n").over(Window.partitionBy("leaf").orderBy("far").rangeBetween(Window.unboundedPreceding, 0))
+        met = met.withColumn("sure", F.when(sure >= k + 1, F.col("far")))
+        reach = F.coalesce(F.min("sure").over(Window.partitionBy("leaf")), F.lit(float("inf")))
+        met = met.withColumn("reach", reach).where(F.col("near") <= F.col("reach") * (1 + 1e-12) + 2 * 10.0**-DIGITS)
+        if level is not None:
+            below = held(level).withColumn("up", F.floor(F.col("id") / fan))
+            met = met.select("leaf", *own.columns[1:], F.col("id").alias("up")).join(below, "up")
+    pairs = materialise(met.select("leaf", F.col("id").alias("other"), *[f"b_{c}" for c in ("x0", "x1", "y0", "y1")]), "leaf-pairs")
+
+    d = F.round(F.sqrt(F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2)), DIGITS)
+    asked = placed.select("leaf", "x", "y")
+    other = placed.select(F.col("leaf").alias("other"), F.col("x").alias("tx"), F.col("y").alias("ty"), "ids")
+    best = F.row_number().over(Window.partitionBy("x", "y").orderBy("distance", "tgt"))
+    top = lambda met: met.withColumn("r", best).where(F.col("r") <= k + 1).drop("r")
+    first = top(asked.join(other.withColumnRenamed("other", "leaf"), "leaf").select("x", "y", d.alias("distance"), F.explode("ids").alias("tgt")))
+    far = first.groupBy("x", "y").agg(F.count("*").alias("c"), F.max("distance").alias("far")).select("x", "y", F.when(F.col("c") > k, F.col("far")).alias("far"))
+    site = asked.join(far, ["x", "y"], "left").withColumns({"s_x0": F.col("x"), "s_x1": F.col("x"), "s_y0": F.col("y"), "s_y1": F.col("y")})
+    open_ = site.join(pairs, "leaf").where(F.col("far").isNull() | (_between("s_", "b_", False) <= F.col("far") * (1 + 1e-12) + 2 * 10.0**-DIGITS)).select("x", "y", "other")
+    near = top(open_.join(other, "other").select("x", "y", d.alias("distance"), F.explode("ids").alias("tgt")))
     lists = near.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("distance", "tgt"))).alias("near"))
-    own = coords.join(lists, ["x", "y"])
+    mine = coords.join(lists, ["x", "y"])
     kept = F.slice(F.filter("near", lambda v: v["tgt"] != F.col("node")), 1, k)
-    return own.select(F.col("node").alias("src"), F.posexplode(kept).alias("p", "v")).select("src", F.col("v.tgt").alias("tgt"), (F.col("p") + 1).alias("rank"), F.col("v.distance").alias("distance"))
+    return materialise(mine.select(F.col("node").alias("src"), F.posexplode(kept).alias("p", "v")).select("src", F.col("v.tgt").alias("tgt"), (F.col("p") + 1).alias("rank"), F.col("v.distance").alias("distance")), "knn")
 
 
 def rbf_graph(coords: DataFrame, k: int = 5, phi: float = 0.1) -> DataFrame:
@@ -130,21 +174,49 @@ def neighbourhood(anchors: DataFrame, points: DataFrame, radius: float, features
     return met.join(points, [*keys, "node"]).groupBy(*keys, "anchor").agg(*features)
 
 
-def shared_counts(items: DataFrame, size: int, top: int = 5, neighbours: DataFrame | None = None) -> DataFrame:
-    """(src, tgt, shared, similarity, rank): each node's `top` most similar nodes by shared tokens, c / (size - c).
+def shared_counts(items: DataFrame, size: int, top: int = 5, neighbours: DataFrame | None = None, held: int = 1000) -> DataFrame:
+    """(src, tgt, shared, similarity, rank): each node's `top` most similar nodes by shared tokens, c / (size - c), ties by tgt.
 
-    items: (node, token[, group]); neighbours: (group, other) pairs of groups that may meet. Tokens meet by an equal
-    join, so nodes without a shared token have no edge.
+    items: (node, token[, group]); neighbours: (group, other) pairs of groups that may meet. Nodes without a shared token
+    have no edge. Tokens of at most `held` nodes meet by an equal join, so the work is linear in the rows. More frequent
+    ones are read last and never joined with themselves: a pair met already asks how many of them it shares only if that can
+    bring it among the `top`, and a node for which they alone could make a better pair meets, of the nodes with one and the
+    same set of frequent tokens, those with the smallest ids, as no other of them can come before these.
     """
-    items = items.dropDuplicates(["node", "token"])
-    a = items.withColumnsRenamed({"node": "src", "group": "src_group"})
-    b = items.withColumnsRenamed({"node": "tgt", "group": "tgt_group"})
-    if neighbours is not None:
-        a = a.join(neighbours.withColumnsRenamed({"group": "src_group", "other": "tgt_group"}), "src_group")
-        met = a.join(b, ["token", "tgt_group"])
-    else:
-        met = a.join(b, "token")
-    shared = met.where("src <> tgt").groupBy("src", "tgt").agg(F.count("*").alias("shared"))
+    own = items.select("node", "token", *(["group"] if neighbours is not None else [F.lit(0).alias("group")])).dropDuplicates(["node", "token"])
+    own = materialise(own, "shared-items")
+    many = own.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > held).select("token")
+    many = materialise(many, "shared-frequent")
+    some = bool(many.take(1))
+    rare = own.join(many, "token", "left_anti") if some else own
+    allowed = None if neighbours is None else neighbours.select(F.col("group").alias("src_group"), F.col("other").alias("tgt_group")).distinct()
+
+    def meeting(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+        a, b = left.withColumnsRenamed({"node": "src", "group": "src_group"}), right.withColumnsRenamed({"node": "tgt", "group": "tgt_group"})
+        return a.join(b, by) if allowed is None else a.join(allowed, "src_group").join(b, [by, "tgt_group"])
+
+    shared = meeting(rare, rare, "token").where("src <> tgt").groupBy("src", "tgt").agg(F.count("*").alias("shared"))
+    if some:
+        shared = materialise(shared, "shared-rare")
+        often = own.join(many, "token", "left_semi").groupBy("node", "group").agg(F.sort_array(F.collect_list("token")).alias("often"))
+        often = materialise(often, "shared-often")
+        size_of = often.select(F.col("node").alias("src"), F.size("often").alias("more"))
+        place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("shared"), "tgt"))
+        least = shared.withColumn("r", place).where(F.col("r") == top).select("src", F.col("shared").alias("least"))
+        # nodes whose frequent tokens alone may bring a node among their best
+        open_ = often.join(least.withColumnRenamed("src", "node"), "node", "left").withColumn("least", F.coalesce("least", F.lit(0))).where(F.size("often") >= F.col("least"))
+        head = F.row_number().over(Window.partitionBy("group", "often").orderBy("node"))
+        heads = often.withColumn("r", head).where(F.col("r") <= top + 1)
+        kinds = materialise(heads.groupBy("group", "often").agg(F.collect_list("node").alias("nodes")), "shared-kinds")
+        met = meeting(open_.select("node", "group", "least", F.explode("often").alias("token")), kinds.select(F.struct("group", "often").alias("node"), "group", "nodes", F.explode("often").alias("token")), "token")
+        alone = met.groupBy("src", "tgt").agg(F.count("*").alias("c"), F.first("least").alias("least"), F.first("nodes").alias("nodes")).where(F.col("c") >= F.col("least"))
+        alone = alone.select("src", F.explode("nodes").alias("tgt")).where("src <> tgt").join(shared.select("src", "tgt"), ["src", "tgt"], "left_anti").withColumn("shared", F.lit(0).cast("long"))
+        # of the pairs met, those that stay among the best whatever the others share
+        bound = shared.join(least, "src", "left").join(size_of, "src", "left").where(F.col("shared") + F.coalesce("more", F.lit(0)) >= F.coalesce("least", F.lit(0))).select("src", "tgt", "shared")
+        each = bound.unionByName(alone)
+        for end in ("src", "tgt"):
+            each = each.join(often.select(F.col("node").alias(end), F.col("often").alias(f"often_{end}")), end, "left")
+        shared = each.select("src", "tgt", (F.col("shared") + F.coalesce(F.size(F.array_intersect("often_src", "often_tgt")), F.lit(0))).cast("long").alias("shared"))
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("shared"), "tgt"))
     return shared.withColumn("rank", rank).where(F.col("rank") <= top).withColumn("similarity", F.col("shared") / (F.lit(size) - F.col("shared")))
 

@@ -484,3 +484,86 @@ def test_model_with_200000_terms(spark):
     assert model.terms().count() == 400_004
     exact = model.v[:, 0] @ linalg.product(linalg.rows(C.normalise(counts), model.vocab, small=False), model.v[:, :1])[:, 0]
     assert abs(exact - model.values[0] ** 2) < 1e-9
+
+
+# neighbours by count, shared tokens by bounds
+
+
+def brute_nearest(points, k):
+    out = {}
+    for i, (x, y) in points.items():
+        d = sorted((round(math.sqrt((x - a) ** 2 + (y - b) ** 2), 9), j) for j, (a, b) in points.items() if j != i)
+        out[i] = d[:k]
+    return out
+
+
+@pytest.mark.parametrize(("k", "leaf"), [(1, None), (5, None), (3, 2), (4, 50)])
+def test_nearest_of_any_shape_equals_brute_force(spark, k, leaf):
+    rng = np.random.default_rng(k)
+    parts = [rng.random((150, 2)), rng.normal(size=(80, 2)) * 1e-4 + 0.5, np.array([[1e6, 1e6], [-3e5, 0.2], [1e6, 1e6 + 1]]), np.stack([np.linspace(0, 1, 40), np.full(40, 0.25)], 1), np.tile([[0.3, 0.3]], (k + 4, 1)), rng.integers(0, 4, (30, 2)) / 4]
+    xy = np.concatenate(parts)
+    points = {int(i): tuple(map(float, p)) for i, p in zip(rng.permutation(len(xy)), xy, strict=True)}
+    df = spark.createDataFrame([(i, *p) for i, p in points.items()], "node long, x double, y double").repartition(3)
+    got = {}
+    for r in graph.nearest(df, k, leaf, fan=4).orderBy("src", "rank").collect():
+        got.setdefault(r["src"], []).append((r["distance"], r["tgt"]))
+    want = brute_nearest(points, k)
+    assert {i: [j for _, j in v] for i, v in got.items()} == {i: [j for _, j in v] for i, v in want.items()}
+    assert all(math.isclose(a[0], b[0], rel_tol=1e-14, abs_tol=1e-9) for i in want for a, b in zip(got[i], want[i], strict=True))
+
+
+def test_nearest_pairs_do_not_grow_with_an_outlier(spark):
+    """The leaf pairs that are met, counted with and without one far point: two more leaves, not all of them."""
+    from loomgraph import shared
+
+    rng = np.random.default_rng(3)
+    rows = [(i, *map(float, p)) for i, p in enumerate(rng.random((3000, 2)))]
+    met = []
+    for more in ([], [(9999, 1e6, 1e6)]):
+        graph.nearest(spark.createDataFrame(rows + more, "node long, x double, y double"), 5).count()
+        path = [p for _, p in shared._WRITTEN if "leaf-pairs" in p][-1]
+        met.append(spark.read.parquet(path).count())
+    assert met[1] <= 1.3 * met[0] and met[0] < 3000 / 12 * 60
+
+
+def brute_shared(items, top, size, allowed=None):
+    sets, group = {}, {}
+    for node, token, g in items:
+        sets.setdefault(node, set()).add(token)
+        group[node] = g
+    out = []
+    for u in sets:
+        c = sorted((-len(sets[u] & sets[v]), v) for v in sets if v != u and sets[u] & sets[v] and (allowed is None or (group[u], group[v]) in allowed))
+        out += [(u, v, -n, i + 1) for i, (n, v) in enumerate(c[:top])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("held", [2, 8, 1000])
+def test_shared_tokens_with_tokens_that_all_hold(spark, seed, held):
+    rng = np.random.default_rng(seed)
+    items = []
+    for node in range(70):
+        g = int(rng.integers(3))
+        items += [(node, "all", g)] * int(rng.integers(1, 3))
+        items += [(node, f"often{j}", g) for j in range(3) if rng.random() < 0.4]
+        items += [(node, f"t{int(rng.zipf(1.5)) % 60}", g) for _ in range(int(rng.integers(0, 6)))]
+    df = spark.createDataFrame(items, "node long, token string, group long")
+    got = sorted((r["src"], r["tgt"], r["shared"], r["rank"]) for r in graph.shared_counts(df, 100, 3, held=held).collect())
+    assert got == brute_shared(items, 3, 100)
+    pairs = [(0, 1), (1, 0), (2, 2), (0, 1)]
+    near = spark.createDataFrame(pairs, "group long, other long")
+    got = sorted((r["src"], r["tgt"], r["shared"], r["rank"]) for r in graph.shared_counts(df, 100, 3, near, held).collect())
+    assert got == brute_shared(items, 3, 100, set(pairs))
+
+
+def test_a_token_of_all_nodes_makes_no_pairs_of_all(spark):
+    """3,000 nodes share one token; the rows that meet on it stay linear."""
+    df = spark.range(3000).select(F.col("id").alias("node"), F.explode(F.array(F.lit("all"), F.concat(F.lit("t"), (F.col("id") / 2).cast("long")))).alias("token"))
+    made = graph.shared_counts(df, 10_000, 2, held=100)
+    rows = {r["src"]: [] for r in made.select("src").distinct().collect()}
+    for r in made.collect():
+        rows[r["src"]].append((r["rank"], r["tgt"], r["shared"]))
+    assert sorted(rows[10]) == [(1, 11, 2), (2, 0, 1)] and sorted(rows[0]) == [(1, 1, 2), (2, 2, 1)] and len(rows) == 3000
+    kinds = spark.createDataFrame([(i, "all") for i in range(50)], "node long, token string")
+    assert graph.shared_counts(kinds, 10, 2, held=3).count() == 100
