@@ -7,7 +7,8 @@ tree packed by the counts is searched for the sets that can still share enough,
 One tree over all sets would meet nearly all of its nodes for each query, as unrelated texts of one length have like
 counts. So trees are built where sets can be alike at all: linked sets share one of their first shingles in a global order
 (frequent ones last), rows meet on those shingles by equal joins, trees of coarse points find what may be linked, and the
-clusters of that are searched and verified with fine points. Links between members of one component need not be found twice,
+clusters of that are searched and verified with fine points. Sets too large for coarse points to tell apart share several
+of their first shingles where they are linked, and are met by their number. Links between members of one component need not be found twice,
 so a tree forgets what has been reached: a family of near copies costs a search for each member, not for each pair.
 """
 
@@ -29,6 +30,8 @@ from .simhash import _named, _words, shingles, stars
 WIDTH, ALIKE = 4, (85, 100)
 #: Groups of the points that meet by shingle, and of those within a cluster.
 COARSE, FINE = 64, 256
+#: Shingles from which a set is met by the number of shared keys, and up to how many such sets of a key are counted pair by pair.
+LONG, COUNTED = 1000, 64
 #: Sets in a leaf and nodes in a node.
 LEAF, FAN = 16, 8
 #: A shingle counts as frequent from so many texts; the most frequent so many are known to every task. Which shingles come
@@ -66,14 +69,20 @@ def unpacked(data: list[bytes], groups: int) -> np.ndarray:
     return out
 
 
+def in_common(n, alike: tuple[int, int] = ALIKE):
+    """How many of the first shingles two linked sets share, of which one has n: more for larger sets (a tenth of what it may lack)."""
+    num, den = alike
+    return np.maximum(1, (n + (-n * num // den) + 1) // 10)
+
+
 def first_shingles(own: np.ndarray, frequent: np.ndarray, alike: tuple[int, int] = ALIKE) -> np.ndarray:
-    """As many of a set's first shingles (the frequent ones last) as any linked set must share one of; none: no other set can be linked."""
+    """So many of a set's first shingles (the frequent ones last) that any linked set shares in_common() of them; none: no other set can be linked."""
     num, den = alike
     n = len(own)
     least = -(-n * num // den)
     if least == n and n * den // num == n:
         return own[:0]
-    take = n - least + 1
+    take = n - least + int(in_common(n, alike))
     if not len(frequent):
         return own[:take]
     at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
@@ -206,38 +215,69 @@ def connected(sets: list[np.ndarray], alike: tuple[int, int] = ALIKE) -> np.ndar
     return root
 
 
+def _pairs_of_runs(start: np.ndarray, run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places within each run, a chunk at a time."""
+    first = np.repeat(start, run) + np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
+    times = np.repeat(start + run, run) - first - 1
+    ends, lo = np.cumsum(times), 0
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK, side="right")))
+        k = times[lo:hi]
+        p = np.repeat(first[lo:hi], k)
+        yield p, p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(k) - k, k)
+        lo = hi
+
+
 def _meetings(rows: DataFrame, alike: tuple[int, int]) -> DataFrame:
-    """(a, b): stars of the sets of each key that may be linked. rows: (key, node, n, counts), at most HELD of a key."""
+    """(a, b): stars of the sets of each key that may be linked. rows: (key, node, n, counts), at most HELD of a key.
 
-    def near(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    Pairs of which no set is LONG pass by their points. The others pass if they share enough keys: those of up to COUNTED
+    such sets are counted; a key of more of them joins those of like sizes.
+    """
+    num, den = alike
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
         key, node, size = (pdf[c].to_numpy(np.int64) for c in ("key", "node", "n"))
-        counts = unpacked(pdf["counts"].tolist(), COARSE)
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        start = np.flatnonzero(new)
-        run = np.diff(np.append(start, len(key)))
+        out = []
+
+        def runs(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at = np.flatnonzero(keep)
+            new = np.ones(len(at), bool)
+            new[1:] = key[at[1:]] != key[at[:-1]]
+            start = np.flatnonzero(new)
+            return at, start, np.diff(np.append(start, len(at)))
+
+        # short sets, by points: small keys all at once, large ones by trees
+        at, start, run = runs(size <= LONG)
+        counts = unpacked(pdf["counts"].iloc[at].tolist(), COARSE)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        # keys of one leaf: all pairs of it at once
-        small = np.flatnonzero(new)[run <= LEAF]
-        ends = np.repeat(start + run, run)
-        first = np.flatnonzero(np.isin(np.repeat(start, run), small))
-        times = ends[first] - first - 1
-        cuts = np.searchsorted(np.cumsum(times), np.arange(0, times.sum() + CHUNK, CHUNK), side="right") if len(times) else np.zeros(1, int)
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if lo == hi:
-                continue
-            p = np.repeat(first[lo:hi], times[lo:hi])
-            q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(times[lo:hi]) - times[lo:hi], times[lo:hi])
-            ok = np.minimum(counts[p], counts[q]).sum(1) >= needed(size[p], size[q], alike)
-            a.append(node[p[ok]])
-            b.append(node[q[ok]])
-        for at, n in zip(start[run > LEAF], run[run > LEAF], strict=True):
-            root = linked(counts[at : at + n], size[at : at + n], alike)
+        for p, q in _pairs_of_runs(start[run <= LEAF], run[run <= LEAF]):
+            ok = np.minimum(counts[p], counts[q]).sum(1) >= needed(size[at[p]], size[at[q]], alike)
+            a.append(node[at[p[ok]]])
+            b.append(node[at[q[ok]]])
+        for lo, n in zip(start[run > LEAF], run[run > LEAF], strict=True):
+            root = linked(counts[lo : lo + n], size[at[lo : lo + n]], alike)
             own = np.flatnonzero(root != np.arange(n))
-            a.append(node[at + own])
-            b.append(node[at + root[own]])
+            a.append(node[at[lo + own]])
+            b.append(node[at[lo + root[own]]])
+        # long ones, and those that may be linked with them, by the number of keys
+        at, start, run = runs(size * den >= LONG * num)
+        for p, q in _pairs_of_runs(start[run <= COUNTED], run[run <= COUNTED]):
+            x, y = at[p], at[q]
+            low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+            ok = (high > LONG) & (low * den >= high * num)
+            out.append(pd.DataFrame({"a": np.maximum(node[x[ok]], node[y[ok]]), "b": np.minimum(node[x[ok]], node[y[ok]]), "least": in_common(low[ok], alike)}))
+        for lo, n in zip(start[run > COUNTED], run[run > COUNTED], strict=True):
+            own = at[lo : lo + n][np.argsort(size[at[lo : lo + n]], kind="stable")]
+            ok = size[own[:-1]] * den >= size[own[1:]] * num  # a chain through sizes joins all that are alike in size
+            a.append(node[own[1:][ok]])
+            b.append(node[own[:-1][ok]])
         a, b = np.concatenate(a), np.concatenate(b)
-        return stars(a.view(np.uint64), b.view(np.uint64)) if len(a) else (a.view(np.uint64), b.view(np.uint64))
+        if len(a):
+            u, v = stars(a.view(np.uint64), b.view(np.uint64))
+            out.append(pd.DataFrame({"a": u.view(np.int64), "b": v.view(np.int64), "least": np.zeros(len(u), np.int64)}))
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "least": np.zeros(0, np.int64)})
+        return pd.concat([none, *out]).groupby(["a", "b", "least"], as_index=False, sort=False).size()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -247,13 +287,12 @@ def _meetings(rows: DataFrame, alike: tuple[int, int]) -> DataFrame:
                 continue
             whole = int(np.searchsorted(pdf["key"].to_numpy(), pdf["key"].iloc[-1]))  # the last key may go on
             held = pdf.iloc[whole:]
-            u, v = near(pdf.iloc[:whole])
-            yield pd.DataFrame({"a": u.view(np.int64), "b": v.view(np.int64)})
+            yield near(pdf.iloc[:whole])
         if held is not None:
-            u, v = near(held)
-            yield pd.DataFrame({"a": u.view(np.int64), "b": v.view(np.int64)})
+            yield near(held)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
+    met = rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, least long, size long")
+    return met.groupBy("a", "b").agg(F.min("least").alias("least"), F.sum("size").alias("size")).where("size >= least").select("a", "b")
 
 
 def _banded(rows: DataFrame, alike: tuple[int, int]) -> DataFrame:
@@ -295,7 +334,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             for x in texts:
                 s = shingles(_words(x), width)
                 keys = first_shingles(s, late, alike)
-                out.append((_named(s), len(s), packed(points(s, COARSE)) if len(keys) else b"", keys.view(np.int64)))
+                out.append((_named(s), len(s), packed(points(s, COARSE)) if len(keys) and len(s) <= LONG else b"", keys.view(np.int64)))
             yield pd.DataFrame(out, columns=["node", "n", "counts", "keys"])
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
@@ -343,14 +382,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     found = materialise(verify(once), "jaccard-links")
     roots = components(found)
     if placed.where("blocks > 1").take(1):
-        # what the blocks and hubs have not joined to the largest group of its cluster meets all blocks of the cluster
+        # what the blocks and hubs have not joined to the largest group of its cluster meets all blocks of the cluster, part by part
         roots = materialise(roots, "jaccard-roots")
         wide = placed.where("blocks > 1").join(roots.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
         most = wide.groupBy("root", "own").count().groupBy("root").agg(F.max(F.struct("count", "own")).alias("m")).select("root", F.col("m.own").alias("own"))
-        apart = materialise(wide.join(most, ["root", "own"], "left_anti").select("root", "node", "least", "blocks"), "jaccard-apart")
-        again = apart.select("root", "node", "least", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        affected = wide.join(apart.select("root").distinct(), "root", "left_semi").select("root", "node", "least", "block")
-        twice = again.unionByName(affected).distinct().select("root", "node", "least", F.concat_ws(" ", "root", "block").alias("task"))
+        apart = materialise(wide.join(most, ["root", "own"], "left_anti").select("root", "node", "least", "bytes", "blocks"), "jaccard-apart")
+        parts = apart.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / cluster_nodes), F.ceil(F.sum("bytes") / cluster_bytes), F.lit(1)).cast("int").alias("parts"))
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        again = apart.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).select("root", "node", "least", upto("blocks").alias("block"), "part")
+        affected = wide.join(parts, "root").select("root", "node", "least", "block", upto("parts").alias("part"))
+        twice = again.unionByName(affected).distinct().select("root", "node", "least", F.concat_ws(" ", "root", "block", "part").alias("task"))
         found = materialise(found.unionByName(verify(twice)).distinct(), "jaccard-links")
         roots = components(found)
     each = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))

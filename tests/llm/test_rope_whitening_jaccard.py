@@ -284,3 +284,29 @@ def test_jaccard_odd_rows(spark):
         [("1", 0, "1"), ("2", 0, "2"), ("None", 1, "None"), ("3", 3, "3"), ("4", 1, "4"), ("4", 1, "4"), ("9", 1, "4"), ("5", 0, "5"), ("6", 1, "6"), ("7", 1, "6"), ("None", 1, "6"), ("8", 1, "8"), ("8", 1, "8")]
     )
     assert jaccard.similar(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_jaccard_of_long_sets_by_their_keys(spark, monkeypatch):
+    """With sets of 30 shingles counted as long, every path still gives the components of all pairs."""
+    monkeypatch.setattr(jaccard, "LONG", 30)
+    for counted in (2, 64):
+        monkeypatch.setattr(jaccard, "COUNTED", counted)
+        texts = corpus(40 + counted)
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar(df, held=6).collect()} == brute_components(texts)
+
+
+def test_jaccard_linked_sets_share_as_many_keys_as_counted():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        n = int(rng.integers(6, 900))
+        drop = int(rng.integers(0, max(1, int(0.16 * n))))
+        own = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        other = np.unique(np.concatenate([own[rng.permutation(len(own))[drop:]], rng.integers(0, 1 << 60, int(rng.integers(0, 5))).astype(np.uint64)]))
+        common = len(np.intersect1d(own, other))
+        if 100 * common < 85 * (len(own) + len(other) - common):
+            continue
+        late = np.sort(rng.choice(np.union1d(own, other), n // 3, replace=False))
+        a, b = jaccard.first_shingles(own, late), jaccard.first_shingles(other, late)
+        if len(own) != len(other) or set(own) != set(other):
+            assert len(np.intersect1d(a, b)) >= jaccard.in_common(min(len(own), len(other)))
