@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.simplex import ilr
-from loomgraph.operators.running import running
+from loomgraph.operators.running import number_rows, running
+from loomgraph.shared import materialise, release
 
 
 def auc(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -40,22 +42,73 @@ def kaplan_meier(rows: DataFrame, time: str = "time", event: str = "event", *gro
     return risk.select(*groups, time, "at_risk", "events", F.exp(F.sum(step).over(w)).alias("survival"))
 
 
-def logrank_cutpoint(rows: DataFrame, value: str, time: str = "time", event: str = "event", least: float = 0.1, cuts: int = 50) -> DataFrame:
-    """One row: the cut among at most `cuts` quantiles between the outer shares `least` whose log-rank statistic is greatest.
+def hazards(rows: DataFrame, time: str = "time", event: str = "event") -> DataFrame:
+    """(at, hazard, spread, square): at each distinct time, sums over the event times up to it of d/n, d(n-d)/(n(n-1)) and that by n."""
+    by = rows.groupBy(F.col(time).alias("at")).agg(F.sum(F.col(event).cast("long")).alias("d"), F.count("*").alias("c"))
+    risk = running(by, ["at"], ["c"], descending=True).withColumn("n", F.col("before_c") + F.col("c"))
+    d, n = F.col("d").cast("double"), F.col("n").cast("double")
+    a = F.when(F.col("n") > 1, d * (n - d) / (n * (n - 1))).otherwise(0.0)
+    own = risk.select("at", (d / n).alias("h"), a.alias("a"), (a / n).alias("b"))
+    return running(own, ["at"], ["h", "a", "b"]).select("at", (F.col("before_h") + F.col("h")).alias("hazard"), (F.col("before_a") + F.col("a")).alias("spread"), (F.col("before_b") + F.col("b")).alias("square"))
 
-    Each row meets each candidate cut, whose number is bounded, and only the sums by (cut, time) go on.
+
+def _later_pairs(rank: np.ndarray, value: np.ndarray, count: np.ndarray, block: int = 256) -> np.ndarray:
+    """For rows in order: the sum of value[min(rank of the row, rank of an earlier one)] over the earlier rows.
+
+    rank: places among the distinct times; value: one number for each of these, rising; count: earlier rows of each place.
+    Rows are taken in blocks: those before the block come from running sums, those within by pairs.
+    """
+    out, count = np.zeros(len(rank)), count.astype(float)
+    for lo in range(0, len(rank), block):
+        own = rank[lo : lo + block]
+        below, above = np.cumsum(count * value) - count * value, np.cumsum(count[::-1])[::-1]
+        both = value[np.minimum(own[:, None], own[None, :])]
+        out[lo : lo + block] = below[own] + above[own] * value[own] + np.tril(both, -1).sum(1)
+        np.add.at(count, own, 1.0)
+    return out
+
+
+def logrank_scan(rows: DataFrame, value: str, time: str = "time", event: str = "event", strip: int = 100_000) -> DataFrame:
+    """(cut, n_low, n, o, v): for every distinct value, the rows up to it, all rows, and observed less expected events and variance of the log-rank test.
+
+    Observed less expected is a running sum over the rows in the order of value, of the event less the cumulative hazard.
+    The variance holds the square of the number at risk, a sum over pairs of rows of a rising function of the earlier of
+    their times: rows are dealt into strips by value; a strip knows of those before it the counts at each distinct time, and
+    adds up the pairs within it in blocks. Distinct times have to fit a task. Nulls take no part.
     """
-    probs = [least + (1 - 2 * least) * i / (cuts - 1) for i in range(cuts)]
-    edges = rows.agg(F.percentile_approx(value, probs, 100_000).alias("c")).select(F.explode(F.array_distinct("c")).alias("cut"))
-    low = (F.col(value) <= F.col("cut")).cast("long")
-    met = rows.select(value, time, F.col(event).cast("long").alias("_e")).crossJoin(F.broadcast(edges))
-    at = met.groupBy("cut", time).agg(F.sum("_e").alias("d"), F.count("*").alias("n"), F.sum(F.col("_e") * low).alias("d1"), F.sum(low).alias("n1"))
-    w = Window.partitionBy("cut").orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
-    risk = at.select("cut", "d", "d1", F.sum("n").over(w).alias("n"), F.sum("n1").over(w).alias("n1")).where("d > 0")
-    share = F.col("n1") / F.col("n")
-    var = F.when(F.col("n") > 1, F.col("d") * share * (1 - share) * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0)
-    sums = risk.groupBy("cut").agg(F.sum(F.col("d1") - F.col("d") * share).alias("o"), F.sum(var).alias("v"))
-    return sums.where("v > 0").select("cut", (F.col("o") * F.col("o") / F.col("v")).alias("statistic")).orderBy(F.desc("statistic"), "cut").limit(1)
+    known = rows.select(F.col(value).cast("double").alias("cut"), F.col(time).alias("at"), F.col(event).cast("long").alias("e")).where("cut IS NOT NULL AND NOT isnan(cut) AND at IS NOT NULL AND e IS NOT NULL")
+    known = materialise(known, "logrank-rows")
+    steps = materialise(number_rows(hazards(known, "at", "e"), "at", name="rank"), "logrank-times")
+    each = number_rows(known.join(steps, "at"), "cut", "at", "e", name="pos")  # rows that are alike in all three may change places
+    each = materialise(each.withColumn("strip", F.floor(F.col("pos") / strip)), "logrank-each")
+    held = materialise(each.groupBy("strip", "rank").agg(F.count("*").alias("c"), F.first("square").alias("square")), "logrank-strips")
+    # the counts in the strips before: strips times distinct times
+    own = held.select(F.col("strip").alias("own")).distinct()
+    later = own.join(held, F.col("own") > F.col("strip")).groupBy("own", "rank").agg(F.sum("c").alias("c"), F.first("square").alias("square"))
+    later, times = materialise(later.withColumnRenamed("own", "strip"), "logrank-before"), steps.count()
+
+    def pairs(key: tuple, pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        value, count = np.zeros(times), np.zeros(times)
+        for part in (before, pdf):
+            value[part["rank"].to_numpy(np.int64)] = part["square"].to_numpy(float)
+        # places without rows here or before need a value no greater than the next one's; nothing is asked of them
+        count[before["rank"].to_numpy(np.int64)] = before["c"].to_numpy(float)
+        return pd.DataFrame({"pos": pdf["pos"].to_numpy(np.int64), "pairs": _later_pairs(pdf["rank"].to_numpy(np.int64), value, count)})
+
+    found = each.groupBy("strip").cogroup(later.groupBy("strip")).applyInPandas(pairs, "pos long, pairs double")
+    found = materialise(found, "logrank-pairs")
+    own = each.join(found, "pos").select("cut", "pos", (F.col("e") - F.col("hazard")).alias("o"), (F.col("spread") - F.col("square") - 2 * F.col("pairs")).alias("v"))
+    by = own.groupBy("cut").agg(F.sum("o").alias("o"), F.sum("v").alias("v"), F.count("*").alias("c"))
+    sums = running(by, ["cut"], ["o", "v", "c"])
+    return sums.select("cut", (F.col("before_c") + F.col("c")).alias("n_low"), F.lit(known.count()).alias("n"), (F.col("before_o") + F.col("o")).alias("o"), (F.col("before_v") + F.col("v")).alias("v"))
+
+
+def logrank_cutpoint(rows: DataFrame, value: str, time: str = "time", event: str = "event", least: float = 0.1) -> DataFrame:
+    """One row: the cut, among all distinct values that leave at least the share `least` of rows on either side, whose log-rank statistic is greatest; ties to the smallest."""
+    fits = (F.col("n_low") >= least * F.col("n")) & (F.col("n") - F.col("n_low") >= least * F.col("n")) & (F.col("v") > 1e-9)
+    found = logrank_scan(rows, value, time, event).where(fits).select("cut", (F.col("o") * F.col("o") / F.col("v")).alias("statistic"))
+    return found.orderBy(F.desc(F.round("statistic", 9)), "cut").limit(1)
 
 
 def dichotomised(rows: DataFrame, value: str, cut: float, name: str = "group") -> DataFrame:
@@ -102,6 +155,55 @@ def cox(x: np.ndarray, time: np.ndarray, event: np.ndarray, ridge: float = 1e-6,
     return beta
 
 
+def cox_sums(rows: DataFrame, features: list[str], beta: np.ndarray, time: str = "time", event: str = "event") -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and information of the partial likelihood (Breslow ties) at beta.
+
+    Rows are summed by time first; the sums over risk sets are running totals over ranges of times, latest first. Only the
+    two small results reach the driver.
+    """
+    k = len(features)
+    x = [F.col(f).cast("double") for f in features]
+    w = F.exp(sum((c * float(b) for c, b in zip(x, beta, strict=True)), F.lit(0.0)))
+    e = F.col(event).cast("double")
+    both = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = [F.sum(w).alias("s0"), F.sum(e).alias("d")]
+    sums += [F.sum(w * x[i]).alias(f"s_{i}") for i in range(k)] + [F.sum(e * x[i]).alias(f"x_{i}") for i in range(k)]
+    sums += [F.sum(w * x[i] * x[j]).alias(f"s_{i}_{j}") for i, j in both]
+    by = rows.groupBy(F.col(time).alias("at")).agg(*sums)
+    held = ["s0", *[f"s_{i}" for i in range(k)], *[f"s_{i}_{j}" for i, j in both]]
+    risk = running(by, ["at"], held, descending=True).where("d > 0")
+    total = {c: F.col(f"before_{c}") + F.col(c) for c in held}
+    mean = [total[f"s_{i}"] / total["s0"] for i in range(k)]
+    out = risk.agg(*[F.sum(F.col(f"x_{i}") - F.col("d") * mean[i]) for i in range(k)], *[F.sum(F.col("d") * (total[f"s_{i}_{j}"] / total["s0"] - mean[i] * mean[j])) for i, j in both]).first()
+    g, h = np.array([v or 0.0 for v in out[:k]]), np.zeros((k, k))
+    for (i, j), v in zip(both, out[k:], strict=True):
+        h[i, j] = h[j, i] = v or 0.0
+    return g, h
+
+
+def cox_model(rows: DataFrame, features: list[str], time: str = "time", event: str = "event", ridge: float = 1e-6, rounds: int = 25) -> DataFrame:
+    """(name, value, error): proportional-hazards coefficients of a table of any size and their standard errors, by Newton's method.
+
+    Features are centred and scaled for the iterations. Rows with a null in a feature, time or event take no part; a feature
+    that does not vary has the coefficient 0 if ridge is positive.
+    """
+    known = rows.select(*[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)], F.col(time).alias("at"), F.col(event).cast("long").alias("e")).na.drop()
+    k = len(features)
+    m = known.agg(*[F.avg(f"x{i}") for i in range(k)], *[F.stddev_pop(f"x{i}") for i in range(k)]).first()
+    mean, size = [v or 0.0 for v in m[:k]], [v if v else 1.0 for v in m[k:]]
+    scaled = materialise(known.select(*[((F.col(f"x{i}") - float(mean[i])) / float(size[i])).alias(f"x{i}") for i in range(k)], "at", "e"), "cox")
+    names, beta = [f"x{i}" for i in range(k)], np.zeros(k)
+    for _ in range(rounds):
+        g, h = cox_sums(scaled, names, beta, "at", "e")
+        step = np.linalg.solve(h + ridge * np.eye(k), g - ridge * beta)
+        beta = beta + step * min(1.0, 2 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-9:
+            break
+    error = np.sqrt(np.diag(np.linalg.inv(cox_sums(scaled, names, beta, "at", "e")[1] + ridge * np.eye(k))))
+    release(scaled)
+    return rows.sparkSession.createDataFrame([(f, float(beta[i] / size[i]), float(error[i] / size[i])) for i, f in enumerate(features)], "name string, value double, error double")
+
+
 def ilr_columns(regions: DataFrame, topics: list[str], prefix: str = "z") -> DataFrame:
     """regions with the log-ratio coordinates of their topic shares, z1..z(K-1)."""
     z = regions.withColumn("_z", ilr(F.array(*[F.col(t).cast("double") for t in topics]), len(topics)))

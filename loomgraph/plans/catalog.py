@@ -486,12 +486,42 @@ def dichotomise(spark, sf):
     return survival.dichotomised(outcomes(spark, sf), "spent", 1_000_000.0, "half").groupBy("grp", "half").agg(F.count("*").alias("n"), F.sum("event").alias("events"))
 
 
-@query()
+@query(f"""WITH {OUTCOMES}, z AS (SELECT count(*) AS n FROM s), c AS (SELECT spent AS cut, count(*) AS here FROM s GROUP BY spent), f AS (SELECT cut FROM (SELECT cut, sum(here) OVER (ORDER BY cut) AS low FROM c), z WHERE low >= 0.1 * n AND n - low >= 0.1 * n),
+r AS (SELECT cut, time, sum(event) AS d, sum(CASE WHEN spent <= cut THEN event ELSE 0 END) AS d1, count(*) AS c, sum(CASE WHEN spent <= cut THEN 1 ELSE 0 END) AS c1 FROM f, s GROUP BY cut, time),
+k AS (SELECT cut, d, d1, CAST(sum(c) OVER w AS DOUBLE) AS n, CAST(sum(c1) OVER w AS DOUBLE) AS n1 FROM r WINDOW w AS (PARTITION BY cut ORDER BY time DESC)),
+x AS (SELECT cut, sum(d1 - d * n1 / n) AS o, sum(CASE WHEN n > 1 THEN d * n1 / n * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0 END) AS v FROM k WHERE d > 0 GROUP BY cut)
+SELECT round(cut, 2) AS cut, round(o * o / v, 6) AS statistic FROM x WHERE v > 1e-9 ORDER BY round(o * o / v, 9) DESC, cut LIMIT 1""")
 def logrank_cut(spark, sf):
-    return survival.logrank_cutpoint(outcomes(spark, sf), "spent").select("cut", r6("statistic").alias("statistic"))
+    return survival.logrank_cutpoint(outcomes(spark, sf), "spent").select(F.round("cut", 2).alias("cut"), r6("statistic").alias("statistic"))
 
 
-@query()
+def _newton(steps: int, start: str, step: str) -> str:
+    """CTEs n0..n{steps}: each round of Newton's method as a query of the one before."""
+    return f"n0 AS ({start})" + "".join(f", n{i + 1} AS ({step.replace('PREVIOUS', f'n{i}')})" for i in range(steps))
+
+
+COX_STEP = """SELECT max(b) + sum(e1 - d * s1 / s0) / sum(d * (s2 / s0 - s1 * s1 / (s0 * s0))) AS b, sum(d * (s2 / s0 - s1 * s1 / (s0 * s0))) AS h FROM (
+SELECT max(b) AS b, sum(event) AS d, sum(event * x) AS e1, sum(sum(exp(b * x))) OVER w AS s0, sum(sum(exp(b * x) * x)) OVER w AS s1, sum(sum(exp(b * x) * x * x)) OVER w AS s2 FROM a, PREVIOUS GROUP BY time WINDOW w AS (ORDER BY time DESC))"""
+
+
+@query(f"""WITH {OUTCOMES}, l AS (SELECT time, event, ln(spent) AS x FROM s), m AS (SELECT avg(x) AS mean, stddev_pop(x) AS size FROM l), a AS (SELECT time, event, (x - mean) / size AS x FROM l, m),
+{_newton(9, "SELECT CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS h", COX_STEP)}
+SELECT 'log_spent' AS name, round(b / size, 6) AS value, round(1 / sqrt(h) / size, 6) AS error FROM n9, m""")
+def cox_spending(spark, sf):
+    """Coefficient of the logarithm of what customers spent on the month of their first order, and its standard error."""
+    rows = outcomes(spark, sf).withColumn("log_spent", F.log("spent"))
+    m = survival.cox_model(rows, ["log_spent"], ridge=0.0)
+    return m.select("name", r6("value").alias("value"), r6("error").alias("error"))
+
+
+LOGISTIC_STEP = """SELECT b0 + (g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01) AS b0, b1 + (g1 * h00 - g0 * h01) / (h00 * h11 - h01 * h01) AS b1 FROM (
+SELECT max(b0) AS b0, max(b1) AS b1, sum(y - p) - 1e-6 * max(b0) AS g0, sum((y - p) * x) - 1e-6 * max(b1) AS g1, sum(p * (1 - p)) + 1e-6 AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) + 1e-6 AS h11
+FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM a, PREVIOUS))"""
+
+
+@query(f"""WITH a AS (SELECT ln(n_chars + 1) AS x, CAST(quality AS DOUBLE) AS y FROM documents JOIN labels USING (doc_id)),
+{_newton(12, "SELECT CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1", LOGISTIC_STEP)}
+SELECT 'intercept' AS name, round(b0, 6) AS value FROM n12 UNION ALL SELECT 'length', round(b1, 6) FROM n12""")
 def logistic_shares(spark, sf):
     x = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id").select(F.log(F.col("n_chars") + 1).alias("length"), F.col("quality").alias("label"))
     b = survival.logistic(x, ["length"])
@@ -602,10 +632,11 @@ def vocabulary_top(spark, sf):
     return C.vocabulary(doc_tokens(spark, sf), 200)
 
 
-@query("SELECT DISTINCT p_brand AS term FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_suppkey = 1)")
+@query("SELECT DISTINCT p_type AS term FROM part WHERE p_type NOT IN (SELECT p_type FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_suppkey = 1)")
 def unmapped_terms(spark, sf):
-    held = brands(spark, sf).where("doc_id = 1").select("term")
-    return t(spark, sf, "part").select(F.col("p_brand").alias("term")).distinct().join(held, "term", "left_anti")
+    """Part types that the first supplier never delivered."""
+    held = t(spark, sf, "lineitem").where("l_suppkey = 1").select(F.col("l_partkey").alias("p_partkey")).join(t(spark, sf, "part"), "p_partkey").select(F.col("p_type").alias("term"))
+    return t(spark, sf, "part").select(F.col("p_type").alias("term")).distinct().join(held, "term", "left_anti")
 
 
 @query("""WITH n AS (SELECT o_custkey AS cell_id, count(*) AS total FROM orders GROUP BY 1 HAVING count(*) >= 12)

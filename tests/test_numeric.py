@@ -567,3 +567,48 @@ def test_a_token_of_all_nodes_makes_no_pairs_of_all(spark):
     assert sorted(rows[10]) == [(1, 11, 2), (2, 0, 1)] and sorted(rows[0]) == [(1, 1, 2), (2, 2, 1)] and len(rows) == 3000
     kinds = spark.createDataFrame([(i, "all") for i in range(50)], "node long, token string")
     assert graph.shared_counts(kinds, 10, 2, held=3).count() == 100
+
+
+# outcomes of tables of any size
+
+
+def brute_scan(value, time, event):
+    out = {}
+    for cut in np.unique(value):
+        low, o, v = value <= cut, 0.0, 0.0
+        for at in np.unique(time[event > 0]):
+            risk = time >= at
+            n, n1, d, d1 = risk.sum(), (risk & low).sum(), event[time == at].sum(), event[(time == at) & low].sum()
+            o += d1 - d * n1 / n
+            v += d * n1 / n * (1 - n1 / n) * (n - d) / (n - 1) if n > 1 else 0.0
+        out[float(cut)] = (int(low.sum()), o, v)
+    return out
+
+
+@pytest.mark.parametrize("strip", [7, 40, 1000])
+def test_logrank_of_every_cut_equals_the_test_at_each(spark, strip):
+    rng = np.random.default_rng(strip)
+    value, time, event = rng.integers(0, 60, 150) / 4, rng.integers(0, 30, 150), (rng.random(150) < 0.6).astype(int)
+    rows = [(float(v), int(t), int(e)) for v, t, e in zip(value, time, event, strict=True)] + [(None, 3, 1), (1.0, None, 1), (1.0, 2, None)]
+    got = survival.logrank_scan(spark.createDataFrame(rows, "value double, time long, event int").repartition(4), "value", strip=strip).collect()
+    want = brute_scan(value, time, event)
+    assert {r["cut"] for r in got} == set(want)
+    for r in got:
+        n, o, v = want[r["cut"]]
+        assert r["n_low"] == n and r["n"] == 150 and abs(r["o"] - o) < 1e-9 and abs(r["v"] - v) < 1e-9
+
+
+def test_cox_of_a_table_equals_the_array_solver(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1000, 3)) * [1, 5, 0.1] + [0, 3, 0]
+    time = np.ceil(10 * rng.exponential(np.exp(-(x @ [0.8, -0.1, 2.0]))))
+    event = (rng.random(1000) < 0.7).astype(int)
+    rows = [(*map(float, a), float(t), int(e)) for a, t, e in zip(x, time, event, strict=True)] + [(None, 1.0, 1.0, 1.0, 1)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, time double, event int").repartition(3)
+    got = survival.cox_model(df, ["a", "b", "c"], ridge=0.0).collect()
+    want = survival.cox(x, time, event, ridge=0.0)
+    assert [r["name"] for r in got] == ["a", "b", "c"] and np.allclose([r["value"] for r in got], want, atol=1e-7)
+    g, h = survival.cox_sums(df.na.drop(), ["a", "b", "c"], want)
+    assert np.abs(g).max() < 1e-5 and np.allclose([r["error"] for r in got], np.sqrt(np.diag(np.linalg.inv(h))), rtol=1e-5)
+    flat = survival.cox_model(df.withColumn("a", F.lit(1.0)), ["a"]).first()
+    assert flat["value"] == 0.0
