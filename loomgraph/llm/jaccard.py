@@ -304,23 +304,21 @@ def _banded(rows: DataFrame, alike: tuple[int, int]) -> DataFrame:
     return each.join(heads, ["key", "band"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE, frequent: int = FREQUENT, held: int = HELD, cluster_nodes: int = CLUSTER_NODES, cluster_bytes: int = CLUSTER_BYTES) -> DataFrame:
-    """(id_col, n_shingles, node, component_id): one row for each row of docs.
+def node_links(own: DataFrame, width: int = WIDTH, alike: tuple[int, int] = ALIKE, most: int | None = None, frequent: int = FREQUENT, held: int = HELD, cluster_nodes: int = CLUSTER_NODES, cluster_bytes: int = CLUSTER_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (id, text): signs (id, bytes, node, n), the sets with an id (node, least id), and (node, root) of those that are linked.
 
-    node names the row's set of shingles of `width` words; component_id is the smallest id reachable over pairs of sets that
-    share at least alike[0] / alike[1] of their union, itself included. A text with fewer words is one shingle; null and
-    wordless texts have the empty set, which is linked with nothing: their component_id is their own id. Rows of one set are
-    linked whatever their ids. A row without an id takes the component of the rows with its set, where one has an id; else its
-    component_id is null. Texts of any length are read whole. Columns other than the two named take no part. No rows: no
-    rows. Shingles are compared by 64-bit hashes.
+    See similar(); most: sets of more shingles take no part.
     """
-    spark = docs.sparkSession
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    spark = own.sparkSession
+
+    def keys_of(text: str | None, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = shingles(_words(text), width)
+        return s, first_shingles(s, late, alike) if most is None or len(s) <= most else s[:0]
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = np.zeros(0, np.uint64)
         for pdf in batches:
-            keys = [first_shingles(shingles(_words(x), width), none, alike) for x in pdf["text"]]
+            keys = [keys_of(x, none)[1] for x in pdf["text"]]
             found, n = np.unique(np.concatenate([none, *keys]), return_counts=True)
             yield pd.DataFrame({"key": found.view(np.int64), "n": n.astype(np.int64)})
 
@@ -332,8 +330,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         for texts in batches:
             out = []
             for x in texts:
-                s = shingles(_words(x), width)
-                keys = first_shingles(s, late, alike)
+                s, keys = keys_of(x, late)
                 out.append((_named(s), len(s), packed(points(s, COARSE)) if len(keys) and len(s) <= LONG else b"", keys.view(np.int64)))
             yield pd.DataFrame(out, columns=["node", "n", "counts", "keys"])
 
@@ -394,6 +391,21 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         twice = again.unionByName(affected).distinct().select("root", "node", "least", F.concat_ws(" ", "root", "block", "part").alias("task"))
         found = materialise(found.unionByName(verify(twice)).distinct(), "jaccard-links")
         roots = components(found)
+    return signs, nodes, roots
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE, frequent: int = FREQUENT, held: int = HELD, cluster_nodes: int = CLUSTER_NODES, cluster_bytes: int = CLUSTER_BYTES) -> DataFrame:
+    """(id_col, n_shingles, node, component_id): one row for each row of docs.
+
+    node names the row's set of shingles of `width` words; component_id is the smallest id reachable over pairs of sets that
+    share at least alike[0] / alike[1] of their union, itself included. A text with fewer words is one shingle; null and
+    wordless texts have the empty set, which is linked with nothing: their component_id is their own id. Rows of one set are
+    linked whatever their ids. A row without an id takes the component of the rows with its set, where one has an id; else its
+    component_id is null. Texts of any length are read whole. Columns other than the two named take no part. No rows: no
+    rows. Shingles are compared by 64-bit hashes.
+    """
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    signs, nodes, roots = node_links(own, width, alike, None, frequent, held, cluster_nodes, cluster_bytes)
     each = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of = each.join(each.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     out = signs.select("id", "node", "n").join(of, "node", "left")

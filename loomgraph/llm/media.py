@@ -1,9 +1,9 @@
 """Copies among images by local descriptors: multiscale corners, orientation-normalised binary tests, Hamming tables, geometric consensus.
 
 Images are binary columns in the PGM format (P5, 8 bits). Images of the same bytes are described once, and images whose
-corners mostly agree in place and descriptor with those of an earlier one are represented by it, so that neither copies
-nor near copies among the images multiply the work. Two corners are candidates if their descriptors agree on one of four
-32-bit windows (the tables, joined on window and value). A query image and a representative that share candidates are
+corners agree in good part in place and descriptor with those of an earlier one are represented by it as far as these
+corners go, so that neither copies nor near copies among the images multiply the work; other corners stay their own. Two
+corners are candidates if their descriptors agree on one of four 32-bit windows (the tables, joined on window and value). A query image and a representative that share candidates are
 compared in full: corners within a Hamming distance vote for a turn, a scale and a shift, a similarity is fitted to the
 votes that agree, and the corners that it maps onto each other are counted.
 """
@@ -161,19 +161,22 @@ def windows(d: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def agreeing(a: np.ndarray, b: np.ndarray, within: int) -> float:
-    """Share of a's corners that have one of b at the same place and level, within a Hamming distance."""
-    if not len(a):
-        return 0.0
-    hits = 0
+def agreed(a: np.ndarray, b: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of corners of a and b at the same place and level, within a Hamming distance."""
+    out = [(np.zeros(0, int), np.zeros(0, int))]
     step = max(1, (1 << 18) // max(len(b), 1))
     for at in range(0, len(a), step):
         x = a[at : at + step, None]
         same = (np.abs(x["y"] - b["y"]) <= 1.5) & (np.abs(x["x"] - b["x"]) <= 1.5) & (x["level"] == b["level"])
         i, j = np.nonzero(same)
         ok = np.bitwise_count(a["d"][at + i] ^ b["d"][j]).sum(1) <= within
-        hits += len(np.unique(i[ok]))
-    return hits / len(a)
+        out.append((at + i[ok], j[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def agreeing(a: np.ndarray, b: np.ndarray, within: int) -> float:
+    """Share of a's corners that have one of b at the same place and level, within a Hamming distance."""
+    return len(np.unique(agreed(a, b, within)[0])) / len(a) if len(a) else 0.0
 
 
 def matched(q: np.ndarray, known: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +189,8 @@ def matched(q: np.ndarray, known: np.ndarray, within: int) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def consensus(q: np.ndarray, known: np.ndarray) -> tuple[int, float, float, float, float] | None:
-    """Of matched corners (row by row): how many the best similarity maps onto each other, its turn (degrees), scale, dx and dy.
+def consensus(q: np.ndarray, known: np.ndarray) -> tuple[int, float, float, float, float, np.ndarray] | None:
+    """Of matched corners (row by row): how many the best similarity maps onto each other, its turn (degrees), scale, dx and dy, and which rows.
 
     Each match votes for a similarity about its own corner; the matches that agree with the votes most agreed with fit one
     by least squares, which is fitted again to the matches that it maps well. Corners at one place count once. None: no fit.
@@ -226,15 +229,15 @@ def consensus(q: np.ndarray, known: np.ndarray) -> tuple[int, float, float, floa
         else:
             count = min(len(np.unique(np.rint(z[k] / 4))), len(np.unique(np.rint(u[k] / 4))))
             if count and (best is None or count > best[0]):
-                best = (count, float(np.degrees(np.angle(fit)) % 360), float(abs(fit)), float(shift.real), float(shift.imag))
+                best = (count, float(np.degrees(np.angle(fit)) % 360), float(abs(fit)), float(shift.real), float(shift.imag), np.flatnonzero(k))
     return best
 
 
-def compared(q: np.ndarray, known: np.ndarray, within: int = 20, inliers: int = 5, share: float = 0.1) -> tuple[int, float, float, float, float] | None:
-    """consensus() of all corners of q and known, if at least `inliers` corners and that share of q's agree."""
+def compared(q: np.ndarray, known: np.ndarray, within: int = 20, inliers: int = 5, share: float = 0.1) -> tuple[int, float, float, float, float, np.ndarray] | None:
+    """consensus() of all corners of q and known, and the corners of known that agree, if at least `inliers` corners and that share of q's do."""
     i, j = matched(q, known, within)
     found = consensus(q[i], known[j]) if len(i) >= inliers else None
-    return found if found and found[0] >= max(inliers, share * len(q)) else None
+    return (*found[:5], np.unique(j[found[5]])) if found and found[0] >= max(inliers, share * len(q)) else None
 
 
 def classes(images: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
@@ -316,45 +319,89 @@ def copies(images: DataFrame, queries: DataFrame, within: int = 20, inliers: int
     """Which images each query image is a copy of. Both tables: (id, image); further columns take no part.
 
     Rows of kind `pair`: query_class, class, and the corners that agree (inliers), with the turn (degrees), scale, dx
-    and dy of the similarity that maps the image onto the query. Rows of kind `image` and `query`: the class of each row of
-    either table, so neither copies nor near copies are expanded into pairs: a query's class holds its rows of the same
-    bytes, an image's class the images that one of them represents (see represented()). Null ids and null images take no
-    part; images that cannot be read or have no corners are in a class but in no pair. Of repeated ids each row has its
-    class. Pairs of equal id are reported like any other. Ties go to the smaller id. Images of any size are described
-    whole, one batch of equal sizes at a time. No rows: no rows.
+    and dy of the similarity that maps the image onto the query, and which corners of the image they are (agree). Rows of
+    kind `image` and `query`: the class of each row of either table, so neither copies nor near copies are expanded into
+    pairs: a query's class holds its rows of the same bytes, an image's class the images that one of them represents (see
+    represented()); agree then lists the corners of the representative that the image shares. A query that is a copy of a
+    representative is one of those members of its class that share enough of the corners of the pair. A member has corners of
+    its own as well, through which any query meets it that no copy of its representative is: such a pair names the member
+    itself as class. Null ids and null images take no part; images that cannot be read or have no corners are in a class but
+    in no pair. Of repeated ids each row has its class. Pairs of equal id are reported like any other. Ties go to the smaller
+    id. Images of any size are described whole, one batch of equal sizes at a time. No rows: no rows.
     """
     image_ids, known = classes(images, "images")
     query_ids, asked = classes(queries, "queries")
     known, asked = materialise(known, "media-known"), materialise(asked, "media-asked")
     of = materialise(represented(known, within, same), "media-classes")
-    held = materialise(known.join(of.where(F.col("exact") == F.col("class")), "exact").select("class", "corners"), "media-held")
+    held = known.join(of.where(F.col("exact") == F.col("class")), "exact").select("class", "corners", F.col("class").alias("root"))
+    held = materialise(held, "media-held")
+
+    @F.pandas_udf("rest binary, agree array<int>")
+    def parted(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        """The corners of an image that its representative lacks, and the corners of the representative that it shares."""
+        out = []
+        for x, y in zip(a, b, strict=True):
+            own = np.frombuffer(x, CORNER)
+            i, j = agreed(own, np.frombuffer(y, CORNER), within)
+            out.append((np.delete(own, np.unique(i)).tobytes(), np.unique(j).astype(np.int32)))
+        return pd.DataFrame(out, columns=["rest", "agree"])
+
+    members = known.join(of.where(F.col("exact") != F.col("class")).withColumnRenamed("class", "root"), "exact").join(held.select("root", F.col("corners").alias("b")), "root")
+    members = materialise(members.select(F.col("exact").alias("class"), "root", "corners", parted("corners", "b").alias("p")).select("class", "root", "corners", "p.*"), "media-members")
 
     asked = asked.withColumnRenamed("exact", "query_class")
     table = materialise(tabled(asked, "query_class").withColumnsRenamed({"d0": "q0", "d1": "q1", "pose": "q_pose"}), "media-table")
     distance = F.bit_count(F.col("q0").bitwiseXOR(F.col("d0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("d1")))
-    # only corners whose key some query has are shuffled
-    own = matching(tabled(held, "class").drop("corner"), table.select("key").distinct(), "key", "left_semi")
-    met = own.join(table, "key").where(distance <= VOTE_WITHIN)
-    # votes for a turn (in bins of 45 degrees that overlap by half) and a step in scale
-    turn = (F.col("q_pose") - F.col("pose")).bitwiseAND(255)
-    bins = F.array(F.shiftright(turn, 5), F.shiftright(turn + 16, 5).bitwiseAND(7) + 8)
-    met = met.select("query_class", "class", "corner", (F.shiftright("q_pose", 8) - F.shiftright("pose", 8)).alias("step"), F.explode(bins).alias("bin"))
-    met = met.groupBy("query_class", "class", "step", "bin").agg(F.countDistinct("corner").alias("votes")).where(F.col("votes") >= VOTES).select("query_class", "class").distinct()
-
-    @F.pandas_udf("inliers int, turn double, scale double, dx double, dy double")
+    keys = table.select("key").distinct()
+
+    def candidates(index: DataFrame, done: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+        """(query_class, class) with votes for a turn (in bins of 45 degrees that overlap by half) and a step in scale.
+
+        done: (query_class, roots) of pairs left out; near: (query_class, root) of pairs whose members need one vote of their own only.
+        """
+        own = matching(tabled(index, "class").drop("corner"), keys, "key", "left_semi")  # only corners whose key some query has are shuffled
+        if done is None:
+            met = own.join(table, "key").where(distance <= VOTE_WITHIN)
+        else:
+            own = own.join(index.select("class", "root"), "class")
+            asks = table.join(done, "query_class", "left").withColumn("roots", F.coalesce("roots", F.array().cast(f"array<{kind}>"))).withColumnRenamed("key", "asked_key")
+            met = own.join(asks, (F.col("key") == F.col("asked_key")) & ~F.array_contains("roots", F.col("root"))).where(distance <= VOTE_WITHIN)
+        turn = (F.col("q_pose") - F.col("pose")).bitwiseAND(255)
+        bins = F.array(F.shiftright(turn, 5), F.shiftright(turn + 16, 5).bitwiseAND(7) + 8)
+        root = [] if done is None else ["root"]
+        met = met.select("query_class", "class", *root, "corner", (F.shiftright("q_pose", 8) - F.shiftright("pose", 8)).alias("step"), F.explode(bins).alias("bin"))
+        met = met.groupBy("query_class", "class", *root, "step", "bin").agg(F.countDistinct("corner").alias("votes"))
+        if near is not None:
+            met = met.join(near.withColumn("near", F.lit(1)), ["query_class", "root"], "left")
+            met = met.withColumn("votes", F.col("votes") + F.coalesce("near", F.lit(0)) * (VOTES - 1))
+        met = met.where(F.col("votes") >= VOTES)
+        return materialise(met.select("query_class", "class").distinct(), "media-met")
+
+    @F.pandas_udf("inliers int, turn double, scale double, dx double, dy double, agree array<int>")
     def fitted(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(a, b, strict=True):
             found = compared(np.frombuffer(x, CORNER), np.frombuffer(y, CORNER), within, inliers, share)
-            out.append(found or (0, 0.0, 1.0, 0.0, 0.0))
-        return pd.DataFrame(out, columns=["inliers", "turn", "scale", "dx", "dy"]).astype({"inliers": "int32"})
-
-    both = materialise(met, "media-met").join(asked.withColumnRenamed("corners", "a"), "query_class").join(held.withColumnRenamed("corners", "b"), "class")
-    best = both.select("query_class", "class", fitted("a", "b").alias("m")).where(F.col("m.inliers") > 0)
-    id_type = images.schema["id"].dataType.simpleString()
-    pairs = best.select(F.lit("pair").alias("kind"), F.lit(None).cast(id_type).alias("id"), "query_class", "class", "m.inliers", F.round("m.turn", 3).alias("turn"), F.round("m.scale", 4).alias("scale"), F.round("m.dx", 3).alias("dx"), F.round("m.dy", 3).alias("dy"))
-    rows = image_ids.join(of, "exact").select(F.lit("image").alias("kind"), "id", F.lit(None).cast(id_type).alias("query_class"), "class")
-    rows = rows.unionByName(query_ids.select(F.lit("query").alias("kind"), "id", F.col("exact").alias("query_class"), F.lit(None).cast(id_type).alias("class")))
+            out.append((*found[:5], found[5].astype(np.int32)) if found else (0, 0.0, 1.0, 0.0, 0.0, np.zeros(0, np.int32)))
+        return pd.DataFrame(out, columns=["inliers", "turn", "scale", "dx", "dy", "agree"]).astype({"inliers": "int32"})
+
+    def verified(met: DataFrame, index: DataFrame) -> DataFrame:
+        both = met.join(asked.withColumnRenamed("corners", "a"), "query_class").join(index.select("class", "root", F.col("corners").alias("b")), "class")
+        return materialise(both.select("query_class", "class", "root", fitted("a", "b").alias("m")).where(F.col("m.inliers") > 0), "media-pairs")
+
+    kind = images.schema["id"].dataType.simpleString()
+    first = candidates(held)
+    best = verified(first, held)
+    if members.take(1):
+        done = best.groupBy("query_class").agg(F.collect_set("root").alias("roots"))
+        rest = members.select("class", "root", F.col("rest").alias("corners"))
+        # what a representative shows in part may be whole in a member that has the other part
+        near = first.join(best.select("query_class", "class"), ["query_class", "class"], "left_anti").withColumnRenamed("class", "root")
+        best = best.unionByName(verified(candidates(rest, done, near), members))
+    pairs = best.select(F.lit("pair").alias("kind"), F.lit(None).cast(kind).alias("id"), "query_class", "class", "m.inliers", F.round("m.turn", 3).alias("turn"), F.round("m.scale", 4).alias("scale"), F.round("m.dx", 3).alias("dx"), F.round("m.dy", 3).alias("dy"), "m.agree")
+    shared = members.select(F.col("class").alias("exact"), "agree")
+    rows = image_ids.join(of, "exact").join(shared, "exact", "left").select(F.lit("image").alias("kind"), "id", F.lit(None).cast(kind).alias("query_class"), "class", "agree")
+    rows = rows.unionByName(query_ids.select(F.lit("query").alias("kind"), "id", F.col("exact").alias("query_class"), F.lit(None).cast(kind).alias("class")), allowMissingColumns=True)
     return pairs.unionByName(rows, allowMissingColumns=True)
 
 

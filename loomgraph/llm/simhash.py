@@ -9,12 +9,14 @@ into blocks, to each of which its probes go.
 
 near_duplicates() links fingerprints of shingles. near_copies() links texts whose shingle sets are at least `least`
 alike: it searches fingerprints of the texts' distinct words, which one edit moves far less than those of shingles, and a
-wide shingle fingerprint discards what is not alike; the clusters so found are verified on the sets themselves.
+wide shingle fingerprint discards what is not alike; the clusters so found are verified on the sets themselves. One edit of
+a short text moves its fingerprints far, so texts of few shingles are joined exactly as well (jaccard.node_links).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 from math import comb
 
@@ -41,6 +43,8 @@ CHUNK, TASK_ROWS = 1 << 20, 4_000_000
 LARGE = 4096
 #: Near copies: words in a shingle, least share of shingles in common, and the bits by which fingerprints of words and of shingles may differ.
 WIDTH, SIMILARITY, WORD_BITS, SHINGLE_BITS = 5, 0.8, 10, 21
+#: Shingles up to which all texts alike a text are found by an exact join.
+SHORT = 60
 #: Nodes and bytes of text of a cluster that one task verifies; larger clusters are dealt into blocks.
 CLUSTER_NODES, CLUSTER_BYTES = 1000, 1 << 25
 #: Least values that a sketch keeps, and the share of equal ones below which a pair is not verified: at 0.8 alike,
@@ -387,14 +391,17 @@ def grouped(sets: list[np.ndarray], sides: np.ndarray | None = None, least: floa
     return root
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, width: int = WIDTH, tau: int = WORD_BITS, wide: int = SHINGLE_BITS, held: int = HELD, cluster_nodes: int = CLUSTER_NODES, cluster_bytes: int = CLUSTER_BYTES) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, width: int = WIDTH, tau: int = WORD_BITS, wide: int = SHINGLE_BITS, held: int = HELD, cluster_nodes: int = CLUSTER_NODES, cluster_bytes: int = CLUSTER_BYTES, short: int = SHORT) -> DataFrame:
     """(id_col, node, root, component_id): one row for each row of docs whose id is not null.
 
     node names the row's set of shingles of `width` words and root its group; component_id is the smallest id reachable over pairs of sets
-    that share `least` or more of their shingles, itself included. Null and wordless texts have the empty set, which is
+    that share `least` or more of their shingles, itself included: of all such pairs of which a set has `short` or fewer, of
+    the others those whose fingerprints are near. Null and wordless texts have the empty set, which is
     like itself only. Texts of any length are read whole. Columns other than the two named take no part. No rows: no rows.
     """
 
+    from . import jaccard  # which takes shingles from here
+
     @F.pandas_udf("node long, fp long, s long, pair long")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -439,7 +446,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
     texts = matching(known, placed.select(id_col).distinct(), id_col, "left_semi")
-    found = materialise(placed.join(texts, id_col).groupBy("task").applyInPandas(verified, "a long, b long"), "simhash-links")
+    found = placed.join(texts, id_col).groupBy("task").applyInPandas(verified, "a long, b long")
+    if short:
+        alike = Fraction(least).limit_denominator(1000)
+        _, _, exact = jaccard.node_links(known.withColumnRenamed(id_col, "id"), width, (alike.numerator, alike.denominator), int(short / alike))
+        found = found.unionByName(exact.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    found = materialise(found, "simhash-links")
     roots = components(found)
     own = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")

@@ -379,3 +379,51 @@ def test_pipeline_keeps_the_users_columns(spark, sf):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0, name
+
+
+def patched(rng, base, share, size=72):
+    """A picture of which the upper `share` is that of the base, the rest its own."""
+    own = media.draw(rng.normal(size=size))
+    own[: int(len(own) * share)] = base[: int(len(base) * share)]
+    return own
+
+
+def test_media_loses_no_pair_to_a_representative(spark):
+    """Templates that share 20 to 80 % of a picture: every pair of a query and an image, representatives or not, that a comparison
+    of all their corners finds is a pair row, or the row of its class with enough of the corners that the image shares."""
+    rng = np.random.default_rng(3)
+    pictures = []
+    for share in (0.2, 0.4, 0.5, 0.6, 0.8):
+        base = media.draw(rng.normal(size=72))
+        pictures += [base, *(patched(rng, base, share) for _ in range(3))]
+    crops = []
+    for k, p in enumerate(pictures):
+        h = len(p)
+        crops += [p[h // 2 :], p[: h // 2]] if k % 4 else [p[h // 2 :]]
+    data = [media.encode(p) for p in pictures]
+    images = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(data)], "id long, image binary")
+    queries = spark.createDataFrame([(1000 + i, bytearray(media.encode(x))) for i, x in enumerate(crops)], "id long, image binary")
+    got = media.copies(images, queries).collect()
+    of = {r["id"]: (r["class"], set(r["agree"] or [])) for r in got if r["kind"] == "image"}
+    asked = {r["id"]: r["query_class"] for r in got if r["kind"] == "query"}
+    pairs = {(r["query_class"], r["class"]): set(r["agree"]) for r in got if r["kind"] == "pair"}
+    assert any(k != c for k, (c, _) in of.items())  # some are represented
+    known = [media.corners(x) for x in data]
+    total = lost = 0
+    for i, x in enumerate(crops):
+        q = media.corners(media.encode(x))
+        for k, own in enumerate(known):
+            if m := media.compared(q, own):
+                total += 1
+                root, shared = of[k]
+                at = asked[1000 + i]
+                direct = (at, k) in pairs
+                through = (at, root) in pairs and (k == root or len(pairs[at, root] & shared) >= 0.5 * m[0])
+                lost += not (direct or through)
+    assert total > len(crops) and lost <= 0.02 * total
+    for alone in (False, True):  # the lower half of an image whose upper half an earlier one has, with and without that one
+        base = media.draw(np.random.default_rng(9).normal(size=72))
+        second = patched(np.random.default_rng(10), base, 0.5)
+        table = [(2, second)] if alone else [(1, base), (2, second)]
+        found = media.copies(spark.createDataFrame([(i, bytearray(media.encode(p))) for i, p in table], "id long, image binary"), spark.createDataFrame([(7, bytearray(media.encode(second[len(second) // 2 :])))], "id long, image binary")).collect()
+        assert (7, 2) in {(r["query_class"], r["class"]) for r in found if r["kind"] == "pair"}

@@ -605,3 +605,34 @@ def test_sentencepiece_odd_rows(odd):
     back = spiece.decoded(ids.drop("text"), path).collect()
     assert sorted((r["text"] or "") for r in back) == sorted((r["text"] or "") for r in odd.collect())
     assert spiece.encoded(odd.limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize(("words", "edit"), [(8, "append"), (10, "append"), (12, "append"), (14, "last"), (16, "last"), (60, "append 8"), (25, "append 4")])
+def test_near_dedup_keeps_one_of_each_short_pair(spark, words, edit):
+    """400 pairs of natural word frequencies at 0.8 or more: exactly one of each is left."""
+    from corpus_pipeline import near_dedup
+
+    rng = np.random.default_rng(words)
+    draw = lambda n: [f"w{x}" for x in rng.zipf(1.3, n) % 50_000]
+    texts = []
+    while len(texts) < 800:
+        base = [f"t{len(texts)}", *draw(words - 1)]  # a word of its own keeps pairs apart
+        if edit.startswith("append"):
+            near = base + draw(int(edit.split()[-1]) if " " in edit else 1)
+        else:
+            near = base[:-1] + ["changed"]
+        a, b = near_sets(" ".join(base)), near_sets(" ".join(near))
+        if a == b or len(a & b) < 0.8 * len(a | b):
+            continue
+        texts += [" ".join(base), " ".join(near)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, edges = [near_sets(x) for x in texts], []
+    by = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            by.setdefault(x, []).append(i)
+    for i, j in {(i, j) for v in by.values() for i in v for j in v if j < i}:
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            edges.append((i, j))
+    root = by_links(range(len(texts)), edges)
+    assert near_dedup(spark, docs, "").count() == len(set(root.values())) <= 400
