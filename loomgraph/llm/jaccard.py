@@ -305,7 +305,7 @@ def _banded(rows: DataFrame, alike: tuple[int, int]) -> DataFrame:
 
 
 def node_links(own: DataFrame, width: int = WIDTH, alike: tuple[int, int] = ALIKE, most: int | None = None, frequent: int = FREQUENT, held: int = HELD, cluster_nodes: int = CLUSTER_NODES, cluster_bytes: int = CLUSTER_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of (id, text): signs (id, bytes, node, n), the sets with an id (node, least id), and (node, root) of those that are linked.
+    """Of (id, text): signs (id, bytes, node, n), the sets with an id (node, least id), and links (a, b) that span the components.
 
     See similar(); most: sets of more shingles take no part.
     """
@@ -323,7 +323,8 @@ def node_links(own: DataFrame, width: int = WIDTH, alike: tuple[int, int] = ALIK
             yield pd.DataFrame({"key": found.view(np.int64), "n": n.astype(np.int64)})
 
     often = own.select("text").mapInPandas(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= frequent)
-    late = np.sort(np.array([r["key"] for r in often.orderBy(F.desc("n"), "key").limit(FREQUENT_KEYS).select("key").collect()], np.int64).view(np.uint64))
+    late = often.orderBy(F.desc("n"), "key").limit(FREQUENT_KEYS).select("key").toArrow()["key"].to_numpy()
+    late = np.sort(late.astype(np.int64).view(np.uint64))
 
     @F.pandas_udf("node long, n long, counts binary, keys array<long>")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -377,10 +378,9 @@ def node_links(own: DataFrame, width: int = WIDTH, alike: tuple[int, int] = ALIK
     texts = matching(own.where("id IS NOT NULL").select(F.col("id").alias("least"), "text"), clusters.select("least").distinct(), "least", "left_semi")
     verify = lambda where: where.join(texts, "least").groupBy("task").applyInPandas(verified, "a long, b long")
     found = materialise(verify(once), "jaccard-links")
-    roots = components(found)
     if placed.where("blocks > 1").take(1):
         # what the blocks and hubs have not joined to the largest group of its cluster meets all blocks of the cluster, part by part
-        roots = materialise(roots, "jaccard-roots")
+        roots = materialise(components(found), "jaccard-roots")
         wide = placed.where("blocks > 1").join(roots.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
         most = wide.groupBy("root", "own").count().groupBy("root").agg(F.max(F.struct("count", "own")).alias("m")).select("root", F.col("m.own").alias("own"))
         apart = materialise(wide.join(most, ["root", "own"], "left_anti").select("root", "node", "least", "bytes", "blocks"), "jaccard-apart")
@@ -390,8 +390,7 @@ def node_links(own: DataFrame, width: int = WIDTH, alike: tuple[int, int] = ALIK
         affected = wide.join(parts, "root").select("root", "node", "least", "block", upto("parts").alias("part"))
         twice = again.unionByName(affected).distinct().select("root", "node", "least", F.concat_ws(" ", "root", "block", "part").alias("task"))
         found = materialise(found.unionByName(verify(twice)).distinct(), "jaccard-links")
-        roots = components(found)
-    return signs, nodes, roots
+    return signs, nodes, found
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, alike: tuple[int, int] = ALIKE, frequent: int = FREQUENT, held: int = HELD, cluster_nodes: int = CLUSTER_NODES, cluster_bytes: int = CLUSTER_BYTES) -> DataFrame:
@@ -405,7 +404,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     rows. Shingles are compared by 64-bit hashes.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    signs, nodes, roots = node_links(own, width, alike, None, frequent, held, cluster_nodes, cluster_bytes)
+    signs, nodes, found = node_links(own, width, alike, None, frequent, held, cluster_nodes, cluster_bytes)
+    roots = components(found)
     each = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of = each.join(each.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     out = signs.select("id", "node", "n").join(of, "node", "left")

@@ -450,7 +450,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if short:
         alike = Fraction(least).limit_denominator(1000)
         _, _, exact = jaccard.node_links(known.withColumnRenamed(id_col, "id"), width, (alike.numerator, alike.denominator), int(short / alike))
-        found = found.unionByName(exact.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        found = found.unionByName(exact)
     found = materialise(found, "simhash-links")
     roots = components(found)
     own = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
