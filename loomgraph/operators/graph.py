@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import components
-from loomgraph.operators.running import number_rows
-from loomgraph.shared import materialise
+from loomgraph.operators.running import number_rows, running
+from loomgraph.shared import materialise, release
 
 #: Distances that agree to so many digits are ties, and ids decide.
 DIGITS = 9
@@ -231,19 +231,95 @@ def component_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return with_isolated(nodes, components(edges.select(F.col("src").alias("a"), F.col("tgt").alias("b"))))
 
 
-def hops(edges: DataFrame, nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """(node, root, hop): breadth-first distance from each component's least node, one join a level."""
+def packed(sizes: DataFrame, limit: int) -> DataFrame:
+    """(root, part): components (root, count) dealt into groups of less than `limit` nodes besides their first component."""
+    dealt = running(sizes.select("root", F.col("count").cast("long").alias("count")), ["root"], ["count"])
+    return materialise(dealt.select("root", F.floor(F.col("before_count") / limit).cast("long").alias("part")), "packed")
+
+
+def _levels(n: int, src: np.ndarray, tgt: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Breadth-first distance of each node from the nearest of the start nodes."""
+    a, b = np.concatenate([src, tgt]), np.concatenate([tgt, src])
+    order = np.argsort(a, kind="stable")
+    b, first = b[order], np.searchsorted(a[order], np.arange(n + 1))
+    hop, front, level = np.full(n, -1, np.int32), start, 0
+    while len(front):
+        hop[front] = level
+        size = first[front + 1] - first[front]
+        at = np.repeat(first[front], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        front = np.unique(b[at])
+        front = front[hop[front] < 0]
+        level += 1
+    return hop
+
+
+def hops(edges: DataFrame, nodes: DataFrame, roots: DataFrame | None = None, largest: int = 200_000) -> DataFrame:
+    """(node, root, hop): breadth-first distance from each component's least node.
+
+    Components of up to `largest` nodes are walked in tasks, packed by size. In larger ones, chains of nodes with two
+    neighbours are cut out first, by pointers that double in each round, so a round of the walk crosses a whole chain; the
+    walk takes as many rounds as the paths have branching nodes.
+    """
     roots = materialise(component_of(edges, nodes) if roots is None else roots, "roots")
-    both = materialise(both_ways(edges.select("src", "tgt")).where("src <> tgt").distinct(), "edges")
-    # a neighbour of a level lies on it, on the one before or on the next
-    before, front, levels = None, materialise(roots.where("node = root").withColumn("hop", F.lit(0)), "front"), []
+    own = materialise(undirected(edges.select("src", "tgt")), "edges")
+    sizes = materialise(roots.groupBy("root").count(), "sizes")
+    parts = packed(sizes.where(F.col("count") <= largest), largest)
+    held = materialise(roots.join(parts, "root"), "held")
+    linked = materialise(own.join(held.select(F.col("node").alias("src"), "part"), "src").select("part", "src", "tgt"), "linked")
+    kind = roots.schema["node"].dataType.simpleString()
+
+    def walked(pdf: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"node": [], "root": [], "hop": []})
+        pdf = pdf.sort_values("node")
+        ids = pdf["node"].to_numpy()
+        hop = _levels(len(ids), np.searchsorted(ids, e["src"].to_numpy()), np.searchsorted(ids, e["tgt"].to_numpy()), np.flatnonzero((pdf["node"] == pdf["root"]).to_numpy()))
+        return pd.DataFrame({"node": ids, "root": pdf["root"].to_numpy(), "hop": hop})
+
+    small = held.groupBy("part").cogroup(linked.groupBy("part")).applyInPandas(walked, f"node {kind}, root {kind}, hop int")
+    large = roots.join(sizes.where(F.col("count") > largest).select("root"), "root").select("node", "root")
+    if not sizes.where(F.col("count") > largest).take(1):
+        return materialise(small, "hops")
+    return materialise(small.unionByName(_hops_by_chains(own, materialise(large, "large"))), "hops")
+
+
+def _hops_by_chains(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """hops() of (node, root) by rounds of joins; edges: each pair once."""
+    both = both_ways(edges).join(roots.select(F.col("node").alias("src")), "src", "left_semi")
+    both = materialise(both, "both")
+    degree = both.groupBy(F.col("src").alias("node")).count()
+    inner = materialise(degree.join(roots, "node").where("count = 2 AND node <> root").select("node"), "inner")
+    # a dart leaves a node of a chain for a neighbour; it goes on from there unless that is no node of a chain
+    marked = both.join(inner.select(F.col("node").alias("src"), F.lit(True).alias("from_inner")), "src", "left").join(inner.select(F.col("node").alias("tgt"), F.lit(True).alias("to_inner")), "tgt", "left")
+    marked = materialise(marked.select("src", "tgt", F.col("from_inner").isNotNull().alias("from_inner"), F.col("to_inner").isNotNull().alias("to_inner")), "marked")
+    darts = marked.where("from_inner")
+    onward = darts.select(F.col("src").alias("tgt"), F.col("tgt").alias("beyond"))
+    going = darts.where("to_inner").join(onward, "tgt").where("beyond <> src").select("src", "tgt", F.col("tgt").alias("at"), F.col("beyond").alias("to"), F.lit(1).cast("long").alias("far"), F.lit(None).cast(edges.schema["src"].dataType).alias("end"))
+    done = darts.where("NOT to_inner").select("src", "tgt", F.lit(None).cast(edges.schema["src"].dataType).alias("at"), F.lit(None).cast(edges.schema["src"].dataType).alias("to"), F.lit(1).cast("long").alias("far"), F.col("tgt").alias("end"))
+    now = materialise(going.unionByName(done), "darts")
+    while now.where("end IS NULL").take(1):
+        next_ = now.select(F.col("src").alias("at"), F.col("tgt").alias("to"), F.col("at").alias("at2"), F.col("to").alias("to2"), F.col("far").alias("far2"), F.col("end").alias("end2"))
+        step = now.where("end IS NULL").join(next_, ["at", "to"]).select("src", "tgt", F.col("at2").alias("at"), F.col("to2").alias("to"), (F.col("far") + F.col("far2")).alias("far"), F.col("end2").alias("end"))
+        new = materialise(step.unionByName(now.where("end IS NOT NULL")), "darts")
+        release(now)
+        now = new
+    # chains as edges of their length, besides the edges between other nodes
+    pairs = now.select("src", F.struct("end", "far").alias("e"), "tgt").groupBy("src").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    chains = pairs.select(F.col("e")[0]["end"].alias("a"), F.col("e")[1]["end"].alias("b"), (F.col("e")[0]["far"] + F.col("e")[1]["far"]).alias("far"))
+    direct = marked.where("NOT from_inner AND NOT to_inner").select(F.col("src").alias("a"), F.col("tgt").alias("b"), F.lit(1).cast("long").alias("far"))
+    links = chains.unionByName(chains.select(F.col("b").alias("a"), F.col("a").alias("b"), "far")).unionByName(direct)
+    links = materialise(links.groupBy("a", "b").agg(F.min("far").alias("far")), "links")
+    known = materialise(roots.where("node = root").select("node", F.lit(0).cast("long").alias("hop")), "known")
+    front = known
     while front.take(1):
-        levels.append(front)
-        step = front.select(F.col("node").alias("src"), "root").join(both, "src").select(F.col("tgt").alias("node"), "root").distinct()
-        for known in (front, before):
-            step = step.join(known.select("node"), "node", "left_anti") if known is not None else step
-        before, front = front, materialise(step.withColumn("hop", F.lit(len(levels))), "front")
-    return materialise(reduce(DataFrame.unionByName, levels, front), "hops")
+        step = front.withColumnRenamed("node", "a").join(links, "a").groupBy(F.col("b").alias("node")).agg(F.min(F.col("hop") + F.col("far")).alias("new"))
+        better = materialise(step.join(known, "node", "left").where("hop IS NULL OR new < hop").select("node", F.col("new").alias("hop")), "better")
+        front, before = better, known
+        known = materialise(known.join(better.select("node"), "node", "left_anti").unionByName(better), "known")
+        release(before)
+    ends = now.join(known.withColumnRenamed("node", "end"), "end").groupBy(F.col("src").alias("node")).agg(F.min(F.col("hop") + F.col("far")).alias("hop"))
+    found = known.join(inner, "node", "left_anti").unionByName(ends)
+    return roots.join(found, "node").select("node", "root", F.col("hop").cast("int").alias("hop"))
 
 
 def tree_folds(edges: DataFrame, nodes: DataFrame, folds: int = 5) -> DataFrame:

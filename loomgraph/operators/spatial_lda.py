@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,19 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.special import digamma, dirichlet_expectation, gammaln, trigamma
-from loomgraph.operators import fusion, lda
-from loomgraph.shared import materialise
+from loomgraph.operators import fusion, graph, lda
+from loomgraph.operators.running import number_rows
+from loomgraph.shared import materialise, release
 
 
-def dirichlet_newton(r: np.ndarray, logs: np.ndarray, rho: float, start: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Rows tau that minimise sum lnG(tau) - lnG(sum tau) - tau . logs + rho/2 |tau - r|^2, tau > 0.
+def dirichlet_newton(r: np.ndarray, logs: np.ndarray, rho: float | np.ndarray, start: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Rows tau that minimise sum lnG(tau) - lnG(sum tau) - tau . logs + rho/2 |tau - r|^2, tau > 0; rho: one, or one for each row.
 
     The Hessian is a diagonal plus a constant, so Newton's step has a closed form; steps are halved until they descend.
     """
     tau = np.maximum(start, 1e-3)
+    rho = np.reshape(rho, (-1, 1))
 
     def value(t: np.ndarray) -> np.ndarray:
-        return gammaln(t).sum(1) - gammaln(t.sum(1)) - (t * logs).sum(1) + rho / 2 * ((t - r) ** 2).sum(1)
+        return gammaln(t).sum(1) - gammaln(t.sum(1)) - (t * logs).sum(1) + (rho / 2 * (t - r) ** 2).sum(1)
 
     now = value(tau)
     for _ in range(rounds):
@@ -76,20 +79,103 @@ class SpatialLda:
     w: DataFrame
 
 
-def update_priors(weights: DataFrame, edges: DataFrame, sample: str, doc: str, k: int, **options) -> DataFrame:
-    """(sample, doc, prior) from (sample, doc, w: gamma) and (sample, src, tgt, weight); each sample is one task's group."""
-    kinds = {c: weights.schema[c].dataType.simpleString() for c in (sample, doc)}
+def admm_large(weights: DataFrame, edges: DataFrame, k: int, penalty: float = 0.25, rho: float = 0.25, rounds: int = 400, tol: float = 1e-5) -> DataFrame:
+    """(node, prior) as admm() gives them at its end, for components of any size: consensus ADMM over edge rows.
+
+    weights: (node, w: gamma); edges: (src, tgt, weight), each once. Each edge holds a copy of the priors at its ends, pulled
+    together by soft thresholding; each node solves its likelihood against the mean of its copies. A round is two joins and
+    one aggregation; it ends when neither the priors nor the copies move by more than tol, or after `rounds`. Every five
+    rounds the step is doubled or halved if one of the two moves far more than the other.
+    """
+    schema = f"node {weights.schema['node'].dataType.simpleString()}, w array<double>, tau array<double>"
+
+    def newton(rho: float):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    g, tau, r = (np.array(pdf[c].to_list()).reshape(-1, k) for c in ("w", "tau", "mean"))
+                    pdf["tau"] = list(dirichlet_newton(r, dirichlet_expectation(g), rho * pdf["degree"].to_numpy(float), tau))
+                yield pdf[["node", "w", "tau"]]
+
+        return run
+
+    def each(f, *cols: str):
+        return F.array(*[f(*[F.col(c)[i] for c in cols]) for i in range(k)])
+
+    total = F.aggregate("w", F.lit(0.0), lambda s, v: s + v)
+    nodes = materialise(weights.select("node", "w", F.transform("w", lambda v: F.greatest(v / total, F.lit(1e-2))).alias("tau")), "admm-nodes")
+    zero = F.array(*[F.lit(0.0)] * k)
+    at = lambda n, end: n.select(F.col("node").alias(end), F.col("tau").alias(f"t_{end}"))
+    own = edges.select("src", "tgt", "weight").where("src <> tgt")
+    held = materialise(own.join(at(nodes, "src"), "src").join(at(nodes, "tgt"), "tgt").select("src", "tgt", "weight", F.col("t_src").alias("z_src"), F.col("t_tgt").alias("z_tgt"), zero.alias("u_src"), zero.alias("u_tgt")), "admm-edges")
+    before = held
+    for it in range(rounds):
+        copies = [held.select(F.col(e).alias("node"), each(lambda z, u: z - u, f"z_{e}", f"u_{e}").alias("r")) for e in ("src", "tgt")]
+        sums = copies[0].unionByName(copies[1]).groupBy("node").agg(F.count("*").alias("degree"), *[F.avg(F.col("r")[i]).alias(f"m{i}") for i in range(k)])
+        asked = nodes.join(sums, "node", "left").select("node", "w", "tau", F.coalesce("degree", F.lit(0)).alias("degree"), F.array(*[F.coalesce(F.col(f"m{i}"), F.lit(0.0)) for i in range(k)]).alias("mean"))
+        new = materialise(asked.mapInPandas(newton(rho), schema), "admm-nodes")
+        met = held.join(at(new, "src"), "src").join(at(new, "tgt"), "tgt")
+        ahead = lambda t, z, u: 1.6 * t - 0.6 * z + u  # noqa: E731  over-relaxed
+        met = met.withColumns({"a": each(ahead, "t_src", "z_src", "u_src"), "b": each(ahead, "t_tgt", "z_tgt", "u_tgt")})
+        pull = 2 * penalty / rho * F.col("weight")
+        met = met.withColumn("half", each(lambda a, b: F.signum(a - b) * F.greatest(F.abs(a - b) - pull, F.lit(0.0)) / 2, "a", "b"))
+        met = met.withColumns({"n_src": each(lambda a, b, h: (a + b) / 2 + h, "a", "b", "half"), "n_tgt": each(lambda a, b, h: (a + b) / 2 - h, "a", "b", "half")})
+        most = lambda other: F.greatest(*[F.abs(F.col(f"n_{e}")[i] - F.col(f"{other}_{e}")[i]) for e in ("src", "tgt") for i in range(k)])
+        step = met.select("src", "tgt", "weight", F.col("n_src").alias("z_src"), F.col("n_tgt").alias("z_tgt"), each(lambda a, n: a - n, "a", "n_src").alias("u_src"), each(lambda b, n: b - n, "b", "n_tgt").alias("u_tgt"), most("z").alias("moved"), most("t").alias("apart"))
+        after = materialise(step, "admm-edges")
+        release(nodes)
+        release(before)
+        before = after
+        nodes, held = new, after.drop("moved", "apart")
+        if it % 5 == 4:
+            moved, apart = (v or 0.0 for v in after.agg(F.max("moved"), F.max("apart")).first())
+            if max(moved, apart) <= tol:
+                break
+            grow = 2.0 if apart > 4 * rho * moved else 0.5 if rho * moved > 4 * apart else 1.0
+            if grow != 1.0:
+                rho *= grow
+                held = held.withColumns({c: F.transform(c, lambda v, g=grow: v / g) for c in ("u_src", "u_tgt")})
+    out = materialise(nodes.select("node", F.transform("tau", lambda v: F.greatest(v, F.lit(1e-3))).alias("prior")), "admm-priors")
+    release(nodes)
+    release(before)
+    return out
 
-    def run(nodes: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if not len(nodes):
-            return pd.DataFrame({sample: [], doc: [], "prior": []})
-        nodes = nodes.sort_values(doc)
-        ids, g = nodes[doc].to_numpy(), np.array(nodes["w"].to_list()).reshape(-1, k)
-        e = e[e["src"].isin(ids) & e["tgt"].isin(ids)]
-        xi = admm(g, np.searchsorted(ids, e["src"].to_numpy()), np.searchsorted(ids, e["tgt"].to_numpy()), e["weight"].to_numpy(float), **options)
-        return pd.DataFrame({sample: nodes[sample].to_numpy(), doc: ids, "prior": list(xi)})
 
-    return weights.groupBy(sample).cogroup(edges.groupBy(sample)).applyInPandas(run, f"{sample} {kinds[sample]}, {doc} {kinds[doc]}, prior array<double>")
+def update_priors(weights: DataFrame, edges: DataFrame, sample: str, doc: str, k: int, largest: int = 50_000, **options) -> DataFrame:
+    """(sample, doc, prior) from (sample, doc, w: gamma) and (sample, src, tgt, weight).
+
+    The problem falls apart into the connected components of the samples' graphs: those of up to `largest` documents are
+    solved in tasks, packed by size; larger ones as rows (admm_large). No sample has to fit a task.
+    """
+    nodes = materialise(weights.select(F.struct(F.col(sample), F.col(doc)).alias("key"), "w"), "spatial-nodes")
+    names = materialise(number_rows(nodes.select("key"), "key", name="node"), "spatial-names")
+    end = lambda e: names.select(F.col("node").alias(f"n_{e}"), F.col(f"key.{sample}").alias(sample), F.col(f"key.{doc}").alias(e))
+    own = edges.join(end("src"), [sample, "src"]).join(end("tgt"), [sample, "tgt"]).select(F.col("n_src").alias("src"), F.col("n_tgt").alias("tgt"), "weight")
+    own = materialise(graph.undirected(own), "spatial-edges")
+    roots = materialise(graph.component_of(own, names), "spatial-roots")
+    sizes = materialise(roots.groupBy("root").count(), "spatial-sizes")
+    parts = graph.packed(sizes.where(F.col("count") <= largest), largest)
+    gamma = materialise(nodes.join(names, "key").select("node", "w"), "spatial-gamma")
+    held = materialise(gamma.join(roots, "node").join(parts, "root").select("part", "root", "node", "w"), "spatial-held")
+    linked = own.join(held.select(F.col("node").alias("src"), "part", "root"), "src").select("part", "root", "src", "tgt", "weight")
+    linked = materialise(linked, "spatial-linked")
+
+    def run(pdf: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"node": np.zeros(0, np.int64), "prior": []})]
+        by = dict(tuple(e.groupby("root"))) if len(e) else {}
+        for root, own in pdf.sort_values("node").groupby("root"):
+            ids, g, pairs = own["node"].to_numpy(), np.array(own["w"].to_list()).reshape(-1, k), by.get(root, e.iloc[:0])
+            at = [np.searchsorted(ids, pairs[c].to_numpy()) for c in ("src", "tgt")]
+            out.append(pd.DataFrame({"node": ids, "prior": list(admm(g, *at, pairs["weight"].to_numpy(float), **options))}))
+        return pd.concat(out)
+
+    found = held.groupBy("part").cogroup(linked.groupBy("part")).applyInPandas(run, "node long, prior array<double>")
+    big = sizes.where(F.col("count") > largest).select("root")
+    if big.take(1):
+        rest = materialise(roots.join(big, "root").select("node"), "spatial-rest")
+        apart = admm_large(gamma.join(rest, "node"), own.join(rest.withColumnRenamed("node", "src"), "src"), k, **{c: v for c, v in options.items() if c == "penalty"})
+        found = found.unionByName(apart)
+    return names.join(found, "node").select(F.col(f"key.{sample}").alias(sample), F.col(f"key.{doc}").alias(doc), "prior")
 
 
 def train(sparse: DataFrame, edges: DataFrame, k: int, p: int, sample: str = "sample_id", doc: str = "doc_id", rounds: int = 3, lda_rounds: int = 5, spatial: bool = True, seed: int = 0, **options) -> SpatialLda:

@@ -612,3 +612,57 @@ def test_cox_of_a_table_equals_the_array_solver(spark):
     assert np.abs(g).max() < 1e-5 and np.allclose([r["error"] for r in got], np.sqrt(np.diag(np.linalg.inv(h))), rtol=1e-5)
     flat = survival.cox_model(df.withColumn("a", F.lit(1.0)), ["a"]).first()
     assert flat["value"] == 0.0
+
+
+# walks and priors of graphs of any size
+
+
+def test_hops_by_chains_equal_levels(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + i + 1) for i in range(40)] + [(1000, 1040), (1010, 1030), (5, 700), (700, 701), (701, 290)]
+    rows += [(2000 + int(a), 2000 + int(b)) for a, b in rng.integers(0, 60, (90, 2))] + [(3000, 3001), (3, 3)]
+    perm = {x: int(p) for x, p in zip(sorted({x for r in rows for x in r}), rng.permutation(5000), strict=False)}
+    edges = spark.createDataFrame([(perm[a], perm[b]) for a, b in rows], "src long, tgt long").repartition(3)
+    nodes = spark.createDataFrame([(p,) for p in perm.values()] + [(9999,)], "node long")
+    near = {}
+    for a, b in rows:
+        near.setdefault(perm[a], set()).add(perm[b])
+        near.setdefault(perm[b], set()).add(perm[a])
+    want = {9999: (9999, 0)}
+    for start in sorted(near):
+        if start in want:
+            continue
+        front, level = {start}, 0
+        while front:
+            want |= {x: (start, level) for x in front}
+            front = {y for x in front for y in near[x] if y not in want}
+            level += 1
+    for largest in (200_000, 2):
+        assert {r["node"]: (r["root"], r["hop"]) for r in graph.hops(edges, nodes, largest=largest).collect()} == want
+
+
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    import loomgraph.operators.graph as g
+
+    written = []
+    whole = g.materialise
+    monkeypatch.setattr(g, "materialise", lambda df, tag: written.append(tag) or whole(df, tag))
+    path = spark.range(9999).select(F.col("id").alias("src"), (F.col("id") + 1).alias("tgt"))
+    roots = spark.range(10_000).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root"))
+    got = g.hops(path, roots.select("node"), roots, largest=100)
+    assert written.count("darts") + written.count("better") < 30
+    assert got.where("hop = node").count() == 10_000
+
+
+def test_priors_of_large_components_equal_those_of_tasks(spark):
+    rng = np.random.default_rng(4)
+    gamma = rng.random((9, 2)) * 5 + 0.3
+    edges = [(0, 1), (1, 2), (2, 3), (0, 3), (3, 4), (5, 6)]
+    weights = spark.createDataFrame([("a", 100 + i, g.tolist()) for i, g in enumerate(gamma)], "sample_id string, doc_id long, w array<double>").coalesce(1)
+    e = spark.createDataFrame([("a", 100 + i, 100 + j, 1.0 + i / 10) for i, j in edges], "sample_id string, src long, tgt long, weight double").coalesce(1)
+    want = spatial_lda.admm(gamma, np.array([i for i, _ in edges]), np.array([j for _, j in edges]), np.array([1.0 + i / 10 for i, _ in edges]), rounds=3000)
+    for largest in (50, 2):
+        got = spatial_lda.update_priors(weights, e, "sample_id", "doc_id", 2, largest, rounds=3000)
+        found = {r["doc_id"]: r["prior"] for r in got.collect()}
+        apart = np.abs(np.array([found[100 + i] for i in range(9)]) - want)
+        assert apart[:7].max() < 2e-4 and apart.max() < 1e-3  # without an edge, Newton's own tolerance
