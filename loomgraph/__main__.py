@@ -1,4 +1,4 @@
-"""Command line: python -m loomgraph {simulate,regions,baskets,choose-k,survival,post-process} ... ; see --help of each."""
+"""Command line: python -m loomgraph {simulate,regions,baskets,samples,choose-k,survival,post-process} ... ; see --help of each."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.simplex import argmax
 from loomgraph.plans import pipelines
-from loomgraph.sources import io
+from loomgraph.sources import io, samples
 
 
 def regions_input(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -33,7 +33,7 @@ def write_methods(counts: DataFrame, edges: DataFrame, k: int, methods: list[str
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="loomgraph")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("simulate", "regions", "baskets", "choose-k", "survival", "post-process"):
+    for name in ("simulate", "regions", "baskets", "samples", "choose-k", "survival", "post-process"):
         s = sub.add_parser(name)
         s.add_argument("--out", required=True)
         if name == "simulate":
@@ -55,6 +55,8 @@ def main(argv: list[str] | None = None) -> None:
             s.add_argument("--main", default="graph", choices=pipelines.METHODS)
             s.add_argument("--phi", type=float, default=0.1)
             s.add_argument("--folds", type=int, default=5)
+            if name == "samples":
+                s.add_argument("--sample", nargs="*", help="samples to read; all by default")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
     if a.command == "simulate":
@@ -64,6 +66,12 @@ def main(argv: list[str] | None = None) -> None:
         counts, edges = pipelines.preprocess_baskets(io.read_baskets(spark, a.recipes), io.read_mapping(spark, a.mapping), io.read_mapping(spark, a.neighbours, "group", "other"), least=a.least)
         for k in a.k:
             write_methods(counts, edges, k, a.methods, a.out)
+    elif a.command == "samples":
+        counts, coords, edges = pipelines.preprocess_samples(*samples.read_samples(spark, a.folder, a.sample or None), a.phi, a.least)
+        for k in a.k:
+            w, found = pipelines.analyse_samples(counts, coords, edges, k, tuple(a.methods))
+            w.withColumn("k", F.lit(k)).write.mode("overwrite").partitionBy("method", "sample_id").parquet(f"{a.out}/w/k={k}")
+            io.write_csv(found.withColumn("k", F.lit(k)), f"{a.out}/metrics/k={k}")
     else:
         counts, _, edges = regions_input(spark, a)
         units = counts.select("doc_id", "region_id").distinct()

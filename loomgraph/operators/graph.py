@@ -33,11 +33,12 @@ def undirected(edges: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "tgt").agg(F.max(F.struct(*rest)).alias("_rest")).select("src", "tgt", *[F.col("_rest")[c].alias(c) for c in rest])
 
 
-def unit_square(coords: DataFrame) -> DataFrame:
-    """Coordinates less their minimum, both axes divided by the diagonal of the bounding box."""
-    box = coords.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))  # one row
+def unit_square(coords: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Coordinates less their minimum, both axes divided by the diagonal of the bounding box: that of all rows, or of each of the keys."""
+    box = coords.groupBy(*keys).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     side = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
-    return coords.crossJoin(F.broadcast(box)).withColumns({"x": (F.col("x") - F.col("x0")) / side, "y": (F.col("y") - F.col("y0")) / side}).drop("x0", "y0", "x1", "y1")
+    met = coords.join(box, list(keys)) if keys else coords.crossJoin(F.broadcast(box))  # one row without keys
+    return met.withColumns({"x": (F.col("x") - F.col("x0")) / side, "y": (F.col("y") - F.col("y0")) / side}).drop("x0", "y0", "x1", "y1")
 
 
 def with_ends(edges: DataFrame, nodes: DataFrame, *values: str, key: str = "node") -> DataFrame:

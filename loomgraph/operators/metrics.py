@@ -66,6 +66,29 @@ def chaos(topics: DataFrame, nearest: DataFrame) -> DataFrame:
     same = with_ends(nearest, topics, "topic").where("topic_src = topic_tgt").agg(F.coalesce(F.sum("distance"), F.lit(0.0)).alias("s"))
     return same.crossJoin(topics.agg(F.count("*").alias("n"))).select((1 - F.col("s") / F.col("n")).alias("chaos"))
 
+def by_sample(topics: DataFrame, edges: DataFrame, nearest: DataFrame) -> DataFrame:
+    """(sample_id, metric, value): Moran's I, PAS and CHAOS of every sample at once, as moran(), pas() and chaos() of one give them.
+
+    topics: (sample_id, node, topic); edges: (sample_id, src, tgt, weight), each once; nearest: (sample_id, src, tgt, distance).
+    """
+    size = topics.groupBy("sample_id").agg(F.avg("topic").alias("m"), F.count("*").alias("n"), F.sum(F.col("topic").cast("double") * F.col("topic")).alias("s2"))
+    size = size.select("sample_id", "m", "n", (F.col("s2") - F.col("n") * F.col("m") * F.col("m")).alias("s"))
+    e = with_ends(edges, topics, "topic").join(size.select("sample_id", "m"), "sample_id")
+    cross = F.sum(F.col("weight") * (F.col("topic_src") - F.col("m")) * (F.col("topic_tgt") - F.col("m")))
+    pull = e.groupBy("sample_id").agg(cross.alias("v"), F.sum("weight").alias("w"))
+    differ = (F.col("topic_src") != F.col("topic_tgt")).cast("double")
+    rates = [e.groupBy("sample_id", F.col(end).alias("node")).agg(F.avg(differ).alias(end)) for end in ("src", "tgt")]
+    both = rates[0].join(rates[1], ["sample_id", "node"], "full").select("sample_id", (F.coalesce("src", F.lit(0.0)) + F.coalesce("tgt", F.lit(0.0))).alias("r"))
+    calm = both.groupBy("sample_id").agg((1 - F.avg((F.col("r") >= 0.6).cast("double"))).alias("pas"))
+    same = with_ends(nearest, topics, "topic").where("topic_src = topic_tgt").groupBy("sample_id").agg(F.sum("distance").alias("d"))
+    wide = size.join(pull, "sample_id", "left").join(calm, "sample_id", "left").join(same, "sample_id", "left").select(
+        "sample_id",
+        F.when((F.col("s") > 1e-9) & (F.col("w") > 0), F.col("n") * F.col("v") / (F.col("s") * F.col("w"))).alias("moran"),
+        "pas",
+        (1 - F.coalesce("d", F.lit(0.0)) / F.col("n")).alias("chaos"),
+    )
+    return wide.unpivot("sample_id", ["moran", "pas", "chaos"], "metric", "value")
+
 
 def mismatch(topics: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, rate): share of a node's neighbours with another topic."""

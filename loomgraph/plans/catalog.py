@@ -7,7 +7,9 @@ outcomes. Every float is rounded to six digits on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +22,8 @@ from loomgraph.operators import counts as C
 from loomgraph.operators.running import number_rows
 from loomgraph.plans import pipelines
 from loomgraph.plans.model import GraphTopics
-from loomgraph.shared import materialise, spread
-from loomgraph.sources import io
+from loomgraph.shared import materialise, shared_dir, spread
+from loomgraph.sources import io, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -160,10 +162,13 @@ def value_replace(spark, sf):
     return t(spark, sf, "customer").select(F.col("c_mktsegment").alias("kind")).replace({"AUTOMOBILE": "AUTO", "HOUSEHOLD": "HOUSE"}, subset="kind").distinct()
 
 
-@query("""WITH g AS (SELECT n1.v AS len, n2.v AS n, n3.v AS "K", n4.v AS p FROM (VALUES (10), (30), (100)) n1(v), (VALUES (100), (500)) n2(v), (VALUES (2), (3)) n3(v), (VALUES (20), (30)) n4(v))
+@query("""WITH g AS (SELECT DISTINCT 10 * x AS len, 100 * (y + 1) AS n, k AS "K", p FROM (SELECT DISTINCT l_linenumber AS x FROM lineitem), (SELECT DISTINCT r_regionkey AS y FROM region), (VALUES (2), (3)) n3(k), (VALUES (20), (30)) n4(p))
 SELECT CAST(row_number() OVER (ORDER BY len, n, "K", p) AS BIGINT) AS task_id, CAST(50 AS BIGINT) AS nsim, CAST(len AS BIGINT) AS length, CAST(n AS BIGINT) AS n, CAST("K" AS BIGINT) AS "K", CAST(p AS BIGINT) AS p FROM g""")
 def config_grid(spark, sf):
-    sets = [{"length": [10, 30, 100], "n": [100, 500], "K": [2, 3], "p": [20, 30]}, {"length": [30], "n": [100], "K": [3], "p": [20]}]
+    """Lengths by the line numbers, sizes by the regions that the tables hold."""
+    lines = sorted(r[0] for r in t(spark, sf, "lineitem").select("l_linenumber").distinct().collect())  # a few numbers
+    regions = sorted(r[0] for r in t(spark, sf, "region").select("r_regionkey").distinct().collect())
+    sets = [{"length": [10 * x for x in lines], "n": [100 * (y + 1) for y in regions], "K": [2, 3], "p": [20, 30]}, {"length": [10 * lines[0]], "n": [100], "K": [3], "p": [20]}]
     return io.parameter_grid(spark, sets)
 
 
@@ -434,9 +439,12 @@ def ilr_clr(spark, sf):
     return w.select("doc_id", r6(clr(F.col("w"))[0]).alias("clr1"), r6(ilr(F.col("w"), 3)[0]).alias("ilr1"), r6(ilr(F.col("w"), 3)[1]).alias("ilr2"))
 
 
-@query("SELECT CAST(0 AS INTEGER) AS i, 1e-6 AS lam UNION ALL SELECT CAST(range + 1 AS INTEGER), round(1e-4 * pow(1.2, range), 6) FROM range(29)")
+@query(f"WITH {KNN}, p AS (SELECT sum(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS rough FROM und JOIN pts a ON a.node = src JOIN pts b ON b.node = tgt), g AS (SELECT 0 AS i, 1e-6 AS lam UNION ALL SELECT range + 1, 1e-4 * pow(1.2, range) FROM range(29)) SELECT CAST(i AS INTEGER) AS i, round(lam, 6) AS lam, round(lam * rough, 6) AS penalty FROM g, p")
 def lambda_grid(spark, sf):
-    return spark.createDataFrame(list(enumerate(GraphTopics(2).lambdas())), "i int, lam double").withColumn("lam", r6("lam"))
+    """The penalty that each strength of the search puts on the raw coordinates along the neighbour graph."""
+    e = graph.with_ends(knn_edges(spark, sf), points(spark, sf), "x", "y").agg(F.sum(F.sqrt(graph.squared_distance())).alias("rough"))
+    grid = spark.createDataFrame(list(enumerate(GraphTopics(2).lambdas())), "i int, lam double")
+    return grid.crossJoin(e).select("i", r6("lam").alias("lam"), r6(F.col("lam") * F.col("rough")).alias("penalty"))  # one row on the right
 
 
 # outcomes
@@ -602,7 +610,61 @@ def fold_stability(spark, sf):
 
 @query()
 def simulate_recovery(spark, sf):
-    return pipelines.simulate_trial(spark, N=50, n=200, K=3, p=30, seed=1, methods=("plain", "graph", "lda", "topicscore"), graph={"grid": 6, "step": 3.0, "rounds": 2}, lda={"rounds": 5}).where("metric <> 'time'").withColumn("value", r6("value"))
+    """A simulated corpus of the size of suppliers x brands: as many documents and terms, of the mean length."""
+    b = brands(spark, sf)
+    size = b.agg(F.countDistinct("doc_id").alias("n"), F.countDistinct("term").alias("p")).first()
+    length = int(C.mean_length(b).first()["mean_length"])
+    return pipelines.simulate_trial(spark, N=length, n=size["n"], K=3, p=size["p"], seed=1, methods=("plain", "graph", "lda", "topicscore"), graph={"grid": 6, "step": 3.0, "rounds": 2}, lda={"rounds": 5}).where("metric <> 'time'").withColumn("value", r6("value"))
+
+
+@query(f"WITH {BRANDS_X} SELECT CAST(count(DISTINCT term) AS INTEGER) AS terms, round(sum(x * x), 6) AS energy FROM bx")
+def svd_energy(spark, sf):
+    """All squared singular values of suppliers x brands, found without the matrix of terms x terms: their sum is that of all squares."""
+    b = brands(spark, sf)
+    vocab, p = C.all_terms(b)
+    _, values = linalg.leading(materialise(linalg.rows(C.normalise(b), vocab), "rows"), p, p)
+    return spark.createDataFrame([(p, float(values.sum()))], "terms int, energy double").withColumn("energy", r6("energy"))
+
+
+METHOD_SUMS = " UNION ALL ".join(f"SELECT '{m}' AS method, documents, CAST(documents AS DOUBLE) AS weights, CAST(4 AS DOUBLE) AS topics FROM d" for m in ("plain", "graph", "lda", "spatial_lda", "topicscore"))
+
+
+@query(f"WITH {BRANDS}, d AS (SELECT CAST(count(DISTINCT doc_id) AS BIGINT) AS documents FROM brands) {METHOD_SUMS}")
+def method_invariants(spark, sf):
+    """Of each method's factors: the documents it gives weights to, and the sums of all weights and of all topics, which are shares."""
+    b = materialise(brands(spark, sf), "brands")
+    items = b.select(F.col("doc_id").alias("node"), F.col("term").alias("token"))
+    edges = materialise(graph.undirected(graph.shared_counts(items, 25).select("src", "tgt")).withColumn("weight", F.lit(1.0)), "edges")
+    options = {"graph": {"lam": 0.01, "rounds": 1}, "lda": {"rounds": 2}, "spatial_lda": {"rounds": 1, "lda_rounds": 2}}
+    outs = []
+    for m in pipelines.METHODS:
+        w, a, _, _ = pipelines.fit_method(m, b, edges, 4, **options.get(m, {}))
+        own = w.select(F.aggregate("w", F.lit(0.0), lambda s, v: s + v).alias("s"))
+        outs.append(own.agg(F.lit(m).alias("method"), F.count("*").alias("documents"), r6(F.sum("s")).alias("weights"), F.lit(round(float(a.sum()), 6)).alias("topics")))
+    return reduce(DataFrame.unionByName, outs)
+
+
+CELLS = "cell AS (SELECT node, topic % 3 AS sample_id, x, y FROM pts), box AS (SELECT sample_id, min(x) AS x0, min(y) AS y0, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) AS side FROM cell GROUP BY sample_id), unit AS (SELECT sample_id, node, (x - x0) / side AS x, (y - y0) / side AS y FROM cell JOIN box USING (sample_id))"
+
+
+def _samples(spark, sf):
+    """Three samples of embeddings in a store, of which two are read back."""
+    p = points(spark, sf).withColumn("sample_id", F.col("topic") % 3)
+    of = p.select("node", "sample_id")
+    ends = graph.with_ends(knn_edges(spark, sf), of, "sample_id").where("sample_id_src = sample_id_tgt").select(F.col("sample_id_src").alias("sample_id"), "src", "tgt")
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.posexplode(F.slice("embedding", 3, 8)).alias("i", "v"))
+    counts = e.join(of, "node").select("sample_id", "node", F.concat(F.lit("t"), "i").alias("term"), F.floor(F.abs("v") * 100).cast("long").alias("n")).where("n > 0")
+    path = f"{shared_dir(spark)}/sample-store-{uuid.uuid4().hex}"
+    samples.write_samples(path, counts, p, ends)
+    return samples.read_samples(spark, path, spark.createDataFrame([(0,), (2,)], "sample_id int"))
+
+
+@query(f"WITH {KNN}, {CELLS} SELECT concat(u.sample_id, ':', src) AS src, concat(u.sample_id, ':', tgt) AS tgt, round(exp(-0.1 * (pow(u.x - v.x, 2) + pow(u.y - v.y, 2))), 6) AS weight FROM und JOIN unit u ON u.node = src JOIN unit v ON v.node = tgt WHERE u.sample_id = v.sample_id AND u.sample_id <> 1")
+def sample_edges(spark, sf):
+    """Edges of two of three samples, each normalised to its own unit square, ends in the order of their names."""
+    _, _, edges = pipelines.preprocess_samples(*_samples(spark, sf))
+    swap = F.substring_index("src", ":", -1).cast("long") > F.substring_index("tgt", ":", -1).cast("long")
+    return edges.select(F.when(swap, F.col("tgt")).otherwise(F.col("src")).alias("src"), F.when(swap, F.col("src")).otherwise(F.col("tgt")).alias("tgt"), r6("weight").alias("weight"))
 
 
 @query()

@@ -16,6 +16,7 @@ from loomgraph.functions import linalg
 from loomgraph.functions.simplex import argmax
 from loomgraph.operators import align, graph, lda, metrics, simulate, spatial_lda, topicscore
 from loomgraph.operators import counts as C
+from loomgraph.operators.running import number_rows
 from loomgraph.plans.model import GraphTopics
 from loomgraph.shared import materialise
 
@@ -73,6 +74,47 @@ def fit_method(method: str, counts: DataFrame, edges: DataFrame | None, k: int,
     return s.w, s.model.topics, vocab, time.time() - began
 
 
+def preprocess_samples(counts: DataFrame, coords: DataFrame, edges: DataFrame, phi: float = 0.1, least: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts (doc_id, sample_id, term, n), coordinates and weighted edges of many samples with one node id, {sample_id}:{node}.
+
+    Each sample's coordinates fill its own unit square, weights are exp(-phi d^2) within it. Cells with less than `least`
+    counts, and edges between samples or to cells that are not there, go.
+    """
+    key = ["sample_id", "node"]
+    total = counts.groupBy(*key).agg(F.sum("n").alias("total")).where(F.col("total") >= least).select(*key)
+    square = graph.unit_square(coords, ("sample_id",)).join(total, key, "left_semi")
+    name = lambda c: F.concat_ws(":", "sample_id", c)
+    square = materialise(square.select(name("node").alias("node"), "sample_id", "x", "y"), "sample-coords")
+    pairs = graph.undirected(edges.select(name("src").alias("src"), name("tgt").alias("tgt")))
+    kept = counts.join(total, key, "left_semi").select(name("node").alias("doc_id"), "sample_id", "term", "n")
+    return kept, square, graph.exp_weights(pairs, square, phi)
+
+
+def analyse_samples(counts: DataFrame, coords: DataFrame, edges: DataFrame, k: int, methods: tuple[str, ...] = METHODS, **options: dict) -> tuple[DataFrame, DataFrame]:
+    """One model of each method over all samples' graphs: (method, sample_id, doc_id, w), and (method, sample_id, metric, value).
+
+    counts, coords, edges: as from preprocess_samples(). Metrics of a sample: Moran's I, PAS and CHAOS of the heaviest
+    topics, from its own cells and edges; null where a sample has no edge, or one topic only.
+    """
+    spark = counts.sparkSession
+    samples = counts.select("doc_id", "sample_id").distinct()
+    numbered = number_rows(coords.select("sample_id").distinct(), "sample_id", name="place")
+    # samples lie side by side, farther apart than any two cells of one
+    apart = coords.join(numbered, "sample_id").withColumn("x", F.col("x") + 3 * F.col("place"))
+    near = graph.nearest(apart, 1)
+    own = coords.select("node", "sample_id")
+    near = materialise(graph.with_ends(near, own, "sample_id").where("sample_id_src = sample_id_tgt").select(F.col("sample_id_src").alias("sample_id"), "src", "tgt", "distance"), "sample-near")
+    linked = materialise(edges.join(own.withColumnRenamed("node", "src"), "src"), "sample-edges")
+    outs, rows = [], []
+    for method in methods:
+        extra = options.get(method, {}) | ({"sample": samples} if method == "spatial_lda" else {})
+        w = fit_method(method, counts.select("doc_id", "term", "n"), edges, k, **extra)[0]
+        outs.append(w.join(samples, "doc_id").select(F.lit(method).alias("method"), "sample_id", "doc_id", "w"))
+        topics = materialise(w.select(F.col("doc_id").alias("node"), argmax(F.col("w")).alias("topic")).join(own, "node"), "sample-topics")
+        rows.append(metrics.by_sample(topics, linked, near).select(F.lit(method).alias("method"), "sample_id", "metric", "value"))
+    return reduce(DataFrame.unionByName, outs), reduce(DataFrame.unionByName, rows)
+
+
 def compare(counts: DataFrame, edges: DataFrame, k: int, coords: DataFrame | None = None, methods: tuple[str, ...] = METHODS, **options: dict) -> DataFrame:
     """(method, k, metric, value): seconds, Moran's I, PAS and CHAOS of each method's heaviest topics."""
     spark, rows = counts.sparkSession, []

@@ -108,3 +108,47 @@ def test_plans_push_down_and_prune(spark, sf):
     for name in ("simplex_projection", "row_normalize", "group_median_iqr", "argmax_topic"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().toString()
         assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_samples_are_pruned_and_analysed_together(spark, tmp_path):
+    """A store of three samples: one sample reads one folder, a table of samples prunes when it runs, and each sample's
+    metrics equal those of the sample alone."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from loomgraph.__main__ import main
+    from loomgraph.operators import graph, metrics
+    from loomgraph.plans import pipelines
+    from loomgraph.sources import samples
+
+    rng = np.random.default_rng(2)
+    rows = [(s, i, *map(float, rng.random(2) * (s + 1))) for s in range(3) for i in range(40)]
+    coords = spark.createDataFrame(rows, "sample_id int, node long, x double, y double")
+    counts = spark.createDataFrame([(s, i, f"t{j}", int(rng.integers(1, 9)) + (9 if j == i % 4 else 0)) for s, i, _, _ in rows for j in range(4)], "sample_id int, node long, term string, n long")
+    edges = spark.createDataFrame([(s, i, int(j)) for s, i, _, _ in rows for j in rng.integers(0, 40, 2) if j != i], "sample_id int, src long, tgt long").distinct()
+    path = str(tmp_path / "store")
+    samples.write_samples(path, counts, coords, edges)
+    assert sorted(r[0] for r in samples.sample_names(spark, path).collect()) == [0, 1, 2]
+    one = samples.read_samples(spark, path, [1])
+    assert all({f.split("sample_id=")[1].split("/")[0] for f in df.inputFiles()} == {"1"} or "sample_id#" in df._jdf.queryExecution().executedPlan().toString() for df in one)
+    for df in one:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(sample_id" in plan or "PartitionFilters: [(sample_id" in plan
+        assert {r[0] for r in df.select("sample_id").distinct().collect()} == {1}
+    table = samples.read_samples(spark, path, spark.createDataFrame([(0,), (2,)], "sample_id int").where("sample_id >= 0"))
+    assert [df.select("sample_id").distinct().count() for df in table] == [2, 2, 2]
+    assert table[0].count() == 2 * 160
+
+    c, xy, e = pipelines.preprocess_samples(*samples.read_samples(spark, path))
+    w, found = pipelines.analyse_samples(c, xy, e, 2, ("plain",))
+    got = {(r["sample_id"], r["metric"]): r["value"] for r in found.collect()}
+    for s in range(3):
+        own = w.where(F.col("sample_id") == s).select(F.col("doc_id").alias("node"), (F.array_position("w", F.array_max("w")) - 1).cast("int").alias("topic")).cache()
+        mine = e.where(F.col("src").startswith(f"{s}:"))
+        near = graph.nearest(xy.where(F.col("sample_id") == s), 1)
+        want = {"moran": metrics.moran(own, mine).first()["moran"], "pas": metrics.pas(own, mine).first()["pas"], "chaos": metrics.chaos(own, near).first()["chaos"]}
+        for k, v in want.items():
+            assert (v is None and got[s, k] is None) or abs(got[s, k] - v) < 1e-9
+    main(["samples", "--folder", path, "--sample", "0", "2", "--k", "2", "--methods", "plain", "--out", str(tmp_path / "out"), "--least", "1"])
+    assert spark.read.parquet(str(tmp_path / "out/w/k=2")).select("sample_id").distinct().count() == 2
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/metrics/k=2")).count() == 6
