@@ -2,7 +2,8 @@
 
 The search needs only how many pieces have each length (at most `capacity` numbers), so the driver's work does not
 grow with the documents. It takes the largest length left, enumerates undominated fillings of the room beside it, and
-applies a filling as often as the counts allow; waste bounds prune, the best solution so far is the incumbent. The
+applies a filling as often as the counts allow; waste bounds prune, the best solution so far is the incumbent. What
+is above the lower bound at the end of the search is repaired sequence by sequence, or, if asked for, searched to the end. The
 result is a list of runs (length, first rank) -> (sequence, offset); pieces find theirs by their rank in their length.
 """
 
@@ -168,36 +169,169 @@ def best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[list[
     return path, sum(times for _, times in path)
 
 
-def solve(histogram: dict[int, int], capacity: int, nodes: int = 6000, branch: int = 4) -> tuple[list[Run], int]:
+def _maximal(have: list[int], counts: list[int], room: int, slack: int) -> Iterator[list[int]]:
+    """Every way to fill room from the lengths `have` (falling) that leaves no room for a further piece and wastes at most slack."""
+
+    def go(i: int, room: int, way: list[int], passed: int) -> Iterator[list[int]]:
+        # passed: the least length of which pieces were left although they may fit
+        while i < len(have) and have[i] > room:
+            i += 1
+        if i == len(have):
+            if room <= slack and (not passed or passed > room):
+                yield list(way)
+            return
+        x = have[i]
+        most = min(counts[x], room // x)
+        for k in range(most, -1, -1):
+            yield from go(i + 1, room - k * x, way + [x] * k, x if k < counts[x] else passed)
+
+    yield from go(0, room, [], 0)
+
+
+def exactly(histogram: dict[int, int], capacity: int, best: tuple[list[tuple[list[int], int]], int], bound: int, nodes: int | None = None) -> tuple[list[tuple[list[int], int]], int, bool]:
+    """The best solution and whether it is proved: every maximal filling around the largest piece, one sequence at a time.
+
+    Branches end where the waste so far, or the lower bound of what is left, allows no better solution, and where the same
+    pieces were left before with no more sequences used. nodes: an end to the search; None: none.
+    """
+    total, (path, most) = sum(k * v for k, v in histogram.items()), best
+    start = [0] * (capacity + 1)
+    for k, v in histogram.items():
+        start[k] += v
+    seen: dict[tuple[int, ...], int] = {}
+    done = 0
+    stack: list[tuple[tuple[int, ...], int, int, tuple]] = [(tuple(start), 0, 0, ())]
+    while stack and most > bound:
+        counts, used, waste, so_far = stack.pop()
+        if used + least_sequences({x: n for x, n in enumerate(counts) if n}, capacity) >= most or seen.get(counts, most) <= used:
+            if any(counts) or used >= most:
+                continue
+        if not any(counts):
+            path, most = [(list(x), 1) for x in so_far], used
+            continue
+        done += 1
+        if nodes is not None and done > nodes:
+            return path, most, False
+        seen[counts] = used
+        slack = (most - 1) * capacity - total - waste
+        own = list(counts)
+        have = [x for x in range(capacity, 0, -1) if own[x]]
+        largest = have[0]
+        own[largest] -= 1
+        ways = sorted(_maximal([x for x in have if own[x]], own, capacity - largest, slack), key=sum)
+        for way in ways:  # the fullest comes last, so it is taken first
+            left = list(own)
+            for x in way:
+                left[x] -= 1
+            stack.append((tuple(left), used + 1, waste + capacity - largest - sum(way), (*so_far, (largest, *way))))
+    return path, most, True
+
+
+def _recreated(histogram: dict[int, int], capacity: int, rng: np.random.Generator) -> list[tuple[int, ...]]:
+    """Sequences around the largest piece left, each filled by a random exact pair or triple, else as full as can be."""
+    counts = [0] * (capacity + 1)
+    for k, v in histogram.items():
+        counts[k] += v
+    out = []
+    for largest in range(capacity, 0, -1):
+        while counts[largest]:
+            counts[largest] -= 1
+            room = capacity - largest
+            have = np.flatnonzero(counts[: room + 1])
+            pairs = [(int(b), room - int(b)) for b in have if 2 * b >= room and counts[room - b] > (2 * b == room)] + [(room, 0)] * bool(room and counts[room])
+            way = [x for x in pairs[rng.integers(len(pairs))] if x] if pairs else fullest(counts, [], room) if room else []
+            for x in way:
+                counts[x] -= 1
+            out.append((largest, *way))
+    return out
+
+
+def repaired(path: list[tuple[list[int], int]], capacity: int, bound: int, rounds: int, seed: int = 42) -> tuple[list[tuple[list[int], int]], int]:
+    """A solution of no more sequences: the least full ones and some at random are emptied and filled again, round by round.
+
+    A round counts if it takes fewer sequences, or as many with the waste in fewer of them.
+    """
+    rng, held = np.random.default_rng(seed), {}
+    for pattern, times in path:
+        key = tuple(sorted(pattern, reverse=True))
+        held[key] = held.get(key, 0) + times
+    size = sum(held.values())
+    weight = lambda bins: sum(n * (capacity - sum(x)) ** 2 for x, n in bins.items())
+    for _ in range(rounds):
+        if size <= bound:
+            break
+        open_ = sorted((x for x in held if sum(x) < capacity), key=sum)[: int(rng.integers(2, 24))]
+        taken = {x: min(held[x], 2) for x in open_}
+        names = list(held)
+        for i in rng.integers(len(names), size=int(rng.integers(4, 40))):
+            if taken.get(names[i], 0) < held[names[i]]:
+                taken[names[i]] = taken.get(names[i], 0) + 1
+        pieces: dict[int, int] = {}
+        for x, n in taken.items():
+            for y in x:
+                pieces[y] = pieces.get(y, 0) + n
+        new: dict[tuple[int, ...], int] = {}
+        for x in _recreated(pieces, capacity, rng):
+            new[x] = new.get(x, 0) + 1
+        before, after = sum(taken.values()), sum(new.values())
+        if after < before or after == before and weight(new) >= weight(taken):
+            for x, n in taken.items():
+                held[x] -= n
+                if not held[x]:
+                    del held[x]
+            for x, n in new.items():
+                key = tuple(sorted(x, reverse=True))
+                held[key] = held.get(key, 0) + n
+            size += after - before
+    return [(list(x), n) for x, n in held.items()], size
+
+
+def solve(histogram: dict[int, int], capacity: int, nodes: int | None = 6000, branch: int = 4, rounds: int = 1000) -> tuple[list[Run], int]:
     """Runs that place every piece, and the number of sequences.
 
     The incumbent is best-fit decreasing. The search ends at the lower bound or, once one branch is complete, after
-    `nodes` nodes of at most `branch` fillings each; only the 64 latest branches wait.
+    `nodes` nodes of at most `branch` fillings each; what is above the bound then is repaired for `rounds` rounds (see
+    repaired()). nodes None: the search goes on over all fillings without an end until the solution is proved to be the
+    best (see exactly()), which takes exponential time in the worst case.
     """
     total = sum(k * v for k, v in histogram.items())
     bound = least_sequences(histogram, capacity)
     best: list = list(best_fit(histogram, capacity))
     expanded, complete = 0, False
 
-    def descend(counts: list[int], largest: int, used: int, filled: int, path: list[tuple[list[int], int]]) -> None:
-        """Depth first; the first filling of each node is followed in this loop, the others wait on the stack."""
+    def unrolled(path: tuple | None) -> list[tuple[list[int], int]]:
+        """The steps (pattern, times) of a chain of branches."""
+        out = []
+        while path:
+            path, pattern, times = path
+            out.append((pattern, times))
+        return out[::-1]
+
+    def descend(start: list[int]) -> None:
+        """Depth first; the first filling of each node is followed in this loop, the others wait on the stack as chains of steps."""
         nonlocal expanded, complete
-        stack = [(counts, largest, used, filled, path)]
+        stack: list[tuple | None] = [None]
         while stack:
-            counts, largest, used, filled, path = stack.pop()
+            path = stack.pop()
+            counts, used, filled = start.copy(), 0, 0
+            for pattern, times in unrolled(path):
+                for x in pattern:
+                    counts[x] -= times
+                used, filled = used + times, filled + times * sum(pattern)
+            largest = capacity
             while True:
                 while largest and not counts[largest]:
                     largest -= 1
                 if not largest:
                     complete = True
                     if used < best[1]:
-                        best[:] = [path, used]
+                        best[:] = [unrolled(path), used]
                     break
                 if used + -(-(total - filled) // capacity) >= best[1]:
                     complete = True
                     break  # the waste so far leaves no better solution
                 expanded += 1
-                if expanded > nodes and complete:
+                if expanded > (6000 if nodes is None else nodes) and complete:
                     return
                 counts[largest] -= 1
                 ways = fillings(counts, capacity - largest, branch)
@@ -207,18 +341,11 @@ def solve(histogram: dict[int, int], capacity: int, nodes: int = 6000, branch: i
                     pattern = [largest, *way]
                     times = min(counts[x] // pattern.count(x) for x in set(pattern))
                     moves.append((pattern, times))
-                for pattern, times in reversed(moves[1:]):
-                    other = counts.copy()
-                    for x in pattern:
-                        other[x] -= times
-                    stack.append((other, largest, used + times, filled + times * sum(pattern), [*path, (pattern, times)]))
-                if len(stack) > 64:
-                    del stack[:-64]  # the node budget would not reach the oldest branches
+                stack += [(path, pattern, times) for pattern, times in reversed(moves[1:])]
                 pattern, times = moves[0]
-                counts = counts.copy()
                 for x in pattern:
                     counts[x] -= times
-                used, filled, path = used + times, filled + times * sum(pattern), [*path, (pattern, times)]
+                used, filled, path = used + times, filled + times * sum(pattern), (path, pattern, times)
             if best[1] == bound:
                 return
 
@@ -226,7 +353,11 @@ def solve(histogram: dict[int, int], capacity: int, nodes: int = 6000, branch: i
     for k, v in histogram.items():
         start[k] += v
     if best[1] > bound:
-        descend(start, capacity, 0, 0, [])
+        descend(start)
+    if best[1] > bound and rounds:
+        best = list(repaired(best[0], capacity, bound, rounds))
+    if best[1] > bound and nodes is None:
+        best = list(exactly(histogram, capacity, (best[0], best[1]), bound)[:2])
     runs: list[Run] = []
     at, sequence = [0] * (capacity + 1), 0
     for pattern, times in best[0] or []:

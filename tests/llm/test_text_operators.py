@@ -636,3 +636,55 @@ def test_near_dedup_keeps_one_of_each_short_pair(spark, words, edit):
             edges.append((i, j))
     root = by_links(range(len(texts)), edges)
     assert near_dedup(spark, docs, "").count() == len(set(root.values())) <= 400
+
+
+def fewest(pieces, capacity):
+    """The least number of sequences, by placing the pieces one after the other in every way."""
+    pieces = sorted(pieces, reverse=True)
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for room in sorted({r for r in rooms if r >= pieces[i]}):
+            left = list(rooms)
+            left[left.index(room)] -= pieces[i]
+            place(i + 1, left)
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(3, 60), min_size=1, max_size=9))
+def test_packing_without_an_end_is_the_optimum(pieces):
+    runs, sequences = packing.solve(Counter(pieces), 60, nodes=None)
+    assert sequences == fewest(pieces, 60)
+    assert sum(n for _, _, n, *_ in runs) == len(pieces)
+    path, most, proved = packing.exactly(Counter(pieces), 60, packing.best_fit(Counter(pieces), 60), 0)
+    assert proved and most == sequences == sum(n for _, n in path)
+    assert Counter(x for p, n in path for x in p * n) == Counter(pieces) and all(sum(p) <= 60 for p, _ in path)
+
+
+@pytest.mark.parametrize(("n", "seed"), [(20, 1), (60, 2), (200, 2), (1000, 1)])
+def test_packing_of_triplets_that_fill_every_sequence(n, seed):
+    """Sets of three that fill 1024: the optimum with enough rounds of repair, one sequence more at most without."""
+    rng = random.Random(seed)
+    pieces = []
+    for _ in range(n):
+        a = rng.randint(256, 512)
+        b = rng.randint(256, (1024 - a) * 2 // 3)
+        pieces += [a, b, 1024 - a - b]
+    assert packing.solve(Counter(pieces), 1024, rounds=400)[1] <= n + 1
+    runs, sequences = packing.solve(Counter(pieces), 1024, rounds=3000)
+    assert sequences == n
+    held = [0] * n
+    for length, _, count, first, each, _ in runs:
+        for i in range(count):
+            held[first + i // each] += length
+    assert held == [1024] * n
