@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,9 +85,10 @@ def _by_row(out: np.ndarray, names: list[str]) -> pd.DataFrame:
 
 def _summed(parts: DataFrame, names: list[str], p: int) -> np.ndarray:
     """The p x k sum of the tasks' rows (i, values)."""
-    cells = parts.groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
-    out = np.zeros((p, len(names)))
-    out[cells["i"].to_numpy(np.int64)] = cells[names].to_numpy(float).reshape(-1, len(names))
+    cells = parts.groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    out, at = np.zeros((p, len(names))), cells["i"].to_numpy()
+    for j, c in enumerate(names):
+        out[at, j] = cells[c].to_numpy()
     return out
 
 
@@ -107,25 +109,26 @@ def product(sparse: DataFrame, b: np.ndarray) -> np.ndarray:
     """X'(X B) in one pass over the rows: XB exists one batch at a time, in no table. b: p x l travels with the tasks."""
     names = [f"c{j}" for j in range(b.shape[1])]
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.zeros(b.shape)
-        for pdf in batches:
-            row, col, val = _flat(pdf)
-            if len(row):
-                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                y = np.zeros((len(pdf), b.shape[1]))
-                y[row[first]] = np.add.reduceat(val[:, None] * b[col], first, axis=0)
+        for batch in batches:
+            idx, val = batch.column(0), batch.column(1).flatten().to_numpy()
+            size, col = np.diff(idx.offsets.to_numpy()), idx.flatten().to_numpy()
+            if len(col):
+                row, some = np.repeat(np.arange(len(idx)), size), np.flatnonzero(size)
+                y = np.zeros((len(idx), b.shape[1]))
+                y[some] = np.add.reduceat(val[:, None] * b[col], (np.cumsum(size) - size)[some], axis=0)
                 _add_outer(g, row, col, val, y)
-        yield _by_row(g, names)
+        yield pa.RecordBatch.from_pandas(_by_row(g, names), preserve_index=False)
 
-    return _summed(sparse.select("idx", "val").mapInPandas(partial, "i int, " + ", ".join(f"{c} double" for c in names)), names, len(b))
+    return _summed(sparse.select("idx", "val").mapInArrow(partial, "i int, " + ", ".join(f"{c} double" for c in names)), names, len(b))
 
 
 def column_sums(sparse: DataFrame, p: int) -> tuple[np.ndarray, int]:
     """The sum of each column, and the number of rows."""
-    cells = sparse.select(F.explode(F.arrays_zip("idx", "val")).alias("e")).groupBy("e.idx").agg(F.sum("e.val").alias("v")).toPandas()
+    cells = sparse.select(F.explode(F.arrays_zip("idx", "val")).alias("e")).groupBy("e.idx").agg(F.sum("e.val").alias("v")).toArrow()
     out = np.zeros(p)
-    out[cells["idx"].to_numpy(np.int64)] = cells["v"]
+    out[cells["idx"].to_numpy()] = cells["v"].to_numpy()
     return out, sparse.count()
 
 
@@ -140,19 +143,22 @@ def _orthonormal(block: np.ndarray, basis: np.ndarray, least: float = 1e-10) ->
     return block
 
 
-def leading(sparse: DataFrame, k: int, p: int, less: np.ndarray | None = None, extra: int = 6, tol: float = 1e-9, most: int = 60, held: int = 1 << 25, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def leading(sparse: DataFrame, k: int, p: int, less: np.ndarray | None = None, start: np.ndarray | None = None, extra: int = 6, tol: float = 1e-8, most: int = 60, held: int = 1 << 25, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Leading k eigenvectors (p x k) and values of X'X - diag(less), without the p x p matrix.
 
     Block Lanczos with full orthogonalisation: each round is one pass over the rows, the values and residuals come from the
     small projected matrix, and it ends when every residual is below tol times the gap to the next value, so that the spanned
     space is known to about tol, or at rounding error, where values are equal. A basis of more than `held` numbers is cut
     back to its best vectors. Blocks are k + extra wide; p times that is what a task holds. A space that is exhausted (rank
-    below k) ends it too; residuals above 1e-8 of the greatest value after `most` rounds are an error.
+    below k) ends it too; start: vectors to begin with; residuals above 1e-8 of the greatest value after `most` rounds are an error.
     """
     width = min(p, k + extra)
     rng = np.random.default_rng(seed)
     q, aq = np.zeros((p, 0)), np.zeros((p, 0))
-    block = _orthonormal(rng.normal(size=(p, width)), q)
+    block = rng.normal(size=(p, width))
+    if start is not None:
+        block[:, : min(start.shape[1], width)] = start[:, :width]
+    block = _orthonormal(block, q)
     for _ in range(most):
         w = product(sparse, block)
         if less is not None:

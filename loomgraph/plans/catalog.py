@@ -539,23 +539,24 @@ def logistic_shares(spark, sf):
 # models
 
 
-def _model_tokens(spark, sf, size: int = 200) -> DataFrame:
+def _model_tokens(spark, sf, size: int | None = None) -> DataFrame:
+    """Counts of the documents with ten tokens or more; size: of the commonest terms only, for methods that hold topics x terms densely."""
     tokens = materialise(doc_tokens(spark, sf), "tokens")
-    own = tokens.join(F.broadcast(C.vocabulary(tokens, size).select("term")), "term", "left_semi")  # `size` rows
+    own = tokens if size is None else tokens.join(F.broadcast(C.vocabulary(tokens, size).select("term")), "term", "left_semi")  # `size` rows
     return C.filter_docs(own, 10)
 
 
 @query()
 def plsi_topics(spark, sf):
-    """The flagship: documents' topics by the plain model."""
+    """The flagship: documents' topics by the plain model, over all terms."""
     m = GraphTopics(4).fit(_model_tokens(spark, sf))
     return m.topics().select("doc_id", "topic", r6("weight").alias("weight"))
 
 
-def _located(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _located(spark, sf, size: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Counts and a neighbour graph of the documents that share an id with an embedding."""
     p = points(spark, sf)
-    counts = _model_tokens(spark, sf).join(p.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    counts = _model_tokens(spark, sf, size).join(p.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     nodes = p.join(counts.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi")
     return counts, graph.undirected(graph.rbf_graph(nodes))
 
@@ -577,26 +578,26 @@ def lambda_cv(spark, sf):
 
 @query()
 def lda_topics(spark, sf):
-    w, _, _, _ = pipelines.fit_method("lda", _model_tokens(spark, sf), None, 4, rounds=8)
+    w, _, _, _ = pipelines.fit_method("lda", _model_tokens(spark, sf, 200), None, 4, rounds=8)
     return w.select("doc_id", argmax(F.col("w")).alias("topic"), r6(F.array_max("w")).alias("weight"))
 
 
 @query()
 def spatial_lda_topics(spark, sf):
-    counts, edges = _located(spark, sf)
+    counts, edges = _located(spark, sf, 200)
     w, _, _, _ = pipelines.fit_method("spatial_lda", counts, edges, 3, rounds=2, lda_rounds=3)
     return w.select("doc_id", argmax(F.col("w")).alias("topic"), r6(F.array_max("w")).alias("weight"))
 
 
 @query()
 def topicscore_topics(spark, sf):
-    w, _, _, _ = pipelines.fit_method("topicscore", _model_tokens(spark, sf), None, 4)
+    w, _, _, _ = pipelines.fit_method("topicscore", _model_tokens(spark, sf, 200), None, 4)
     return w.select("doc_id", argmax(F.col("w")).alias("topic"), r6(F.array_max("w")).alias("weight"))
 
 
 @query()
 def method_comparison(spark, sf):
-    counts, edges = _located(spark, sf)
+    counts, edges = _located(spark, sf, 200)
     return pipelines.compare(counts, edges, 3, points(spark, sf), ("plain", "lda"), lda={"rounds": 5}).where("metric <> 'seconds'").withColumn("value", r6("value"))
 
 

@@ -470,12 +470,11 @@ def test_matrix_free_basis_cut_back_and_low_rank(spark):
 
 def test_model_with_200000_terms(spark):
     """Two blocks of 100,000 terms: the documents of each block have one topic, and no term is left out."""
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
     docs = spark.range(4000).select(F.col("id").alias("doc_id"))
     at = (F.col("doc_id") % 2) * 100_000 + F.pmod(F.xxhash64("doc_id", "j"), F.lit(100_000))
     drawn = docs.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(49)))).select("doc_id", at.alias("t"))
     common = docs.withColumn("t", 200_000 + F.col("doc_id") % 2)  # a term of each block that all its documents hold
-    whole = spark.range(200_000).select((F.col("id") // 100_000 + 2 * (F.col("id") % 2000)).alias("doc_id"), F.col("id").alias("t"))
+    whole = spark.range(200_000).select((F.floor(F.col("id") / 100_000) + 2 * (F.col("id") % 2000)).alias("doc_id"), F.col("id").alias("t"))
     counts = drawn.unionByName(common.select("doc_id", "t")).unionByName(whole).groupBy("doc_id", F.format_string("t%06d", "t").alias("term")).agg(F.count("*").alias("n"))
     model = GraphTopics(2).fit(counts)
     assert model.a.shape == (2, 200_002) and model.vocab.count() == 200_002
