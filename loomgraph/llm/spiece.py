@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_result
+from .common import free_names, with_result
 
 MARK = "▁"
 #: Words and pairs that a worker remembers before it starts anew.
@@ -275,7 +275,7 @@ def _in_parts(m: Model, texts: list[str | None], most: int = 12_000_000) -> list
 
 
 def decoded(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """rows with the text of ids_col; null ids: null."""
+    """rows with the text of ids_col; null ids: null, no ids: empty. A column of the name text_col gives way, all others stay."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -286,7 +286,11 @@ def decoded(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "t
 
 
 def digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """docs with n_ids, ids_crc32 (unsigned, of little-endian unsigned 32-bit ids) and round_trip (decoding gives the text)."""
+    """docs with n_ids, ids_crc32 (unsigned, of little-endian unsigned 32-bit ids) and round_trip (decoding gives the text).
+
+    Null and empty texts have no ids and come back as empty. Texts of any length are encoded whole; repeated rows are
+    encoded alike. Input columns of the three names give way, all others stay. No rows: no rows.
+    """
 
     @F.pandas_udf("n_ids long, ids_crc32 long, round_trip boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -295,5 +299,6 @@ def digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             rows = [(len(ids), zlib.crc32(ids.astype("<u4").tobytes()), m.decode(ids.tolist()) == (text or "")) for text, ids in zip(texts, _in_parts(m, list(texts)), strict=True)]
             yield pd.DataFrame(rows, columns=["n_ids", "ids_crc32", "round_trip"])
 
-    held = with_result(docs, found=run(F.col(text_col)))
-    return with_result(held, **{c: F.col(f"found.{c}") for c in ("n_ids", "ids_crc32", "round_trip")}).drop("found")
+    (found,) = free_names(docs, "found")
+    held = docs.withColumn(found, run(F.col(text_col)))
+    return with_result(held, **{c: F.col(f"`{found}`.{c}") for c in ("n_ids", "ids_crc32", "round_trip")}).drop(found)
