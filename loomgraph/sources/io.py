@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph import schemas
+from loomgraph.shared import materialise
 
 
 def stem(kind: str) -> Column:
@@ -57,9 +58,15 @@ def regions(spark: SparkSession, folder: str, kind: str = "coord") -> DataFrame:
 
 
 def read_baskets(spark: SparkSession, path: str) -> DataFrame:
-    """(basket_id, group, tokens) from a JSON array of records with `cuisine` and `ingredients`."""
+    """(basket_id, group, tokens) from JSON arrays of records with `cuisine` and `ingredients`.
+
+    A basket's id is a hash of its file's name and its place in it, so it does not change with other files or partitions.
+    """
     rows = spark.read.schema("cuisine string, ingredients array<string>").option("multiLine", True).json(path)
-    return rows.select(F.monotonically_increasing_id().alias("basket_id"), F.col("cuisine").alias("group"), F.col("ingredients").alias("tokens"))
+    rows = rows.select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"), "cuisine", "ingredients")
+    rows = materialise(rows, "baskets-read")  # a file is read by one task, in order
+    first = rows.groupBy("file").agg(F.min("at").alias("first"))
+    return rows.join(first, "file").select(F.xxhash64("file", F.col("at") - F.col("first")).alias("basket_id"), F.col("cuisine").alias("group"), F.col("ingredients").alias("tokens"))
 
 
 def read_mapping(spark: SparkSession, path: str, key: str = "key", value: str = "value") -> DataFrame:

@@ -49,6 +49,10 @@ def test_baskets(spark, tmp_path):
     counts, edges = pipelines.preprocess_baskets(io.read_baskets(spark, f"{tmp_path}/train.json"), io.read_mapping(spark, f"{tmp_path}/map.json"), io.read_mapping(spark, f"{tmp_path}/near.json", "group", "other"), least=2, top=2)
     assert {r["term"] for r in counts.select("term").distinct().collect()} == {"salt", "i1", "i2", "it mix", "fr mix"}
     assert counts.where("term = 'salt'").agg(F.sum("n")).first()[0] == 20 and edges.count() > 0
+    ids = {r["basket_id"]: r["tokens"] for r in io.read_baskets(spark, f"{tmp_path}/train.json").collect()}
+    (tmp_path / "another.json").write_text(json.dumps(rows[:3]))
+    both = {r["basket_id"]: r["tokens"] for r in io.read_baskets(spark, f"{tmp_path}/[at][nr]*.json").collect()}
+    assert len(ids) == 10 and len(both) == 13 and all(both[k] == v for k, v in ids.items())
 
 
 def test_grid_cache_and_sinks(spark, tmp_path):
