@@ -185,10 +185,10 @@ def shared_counts(items: DataFrame, size: int, top: int = 5, neighbours: DataFra
     same set of frequent tokens, those with the smallest ids, as no other of them can come before these.
     """
     own = items.select("node", "token", *(["group"] if neighbours is not None else [F.lit(0).alias("group")])).dropDuplicates(["node", "token"])
-    own = materialise(own, "shared-items")
     many = own.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > held).select("token")
     many = materialise(many, "shared-frequent")
     some = bool(many.take(1))
+    own = materialise(own, "shared-items") if some else own  # read several times
     rare = own.join(many, "token", "left_anti") if some else own
     allowed = None if neighbours is None else neighbours.select(F.col("group").alias("src_group"), F.col("other").alias("tgt_group")).distinct()
 
