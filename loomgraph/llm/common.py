@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.shared import materialise, release, shared_dir
 
-__all__ = ["first_by_hash", "free_names", "in_fold", "matching", "materialise", "release", "shared_dir", "table", "with_result"]
+__all__ = ["first_by_hash", "free_names", "give_back", "in_fold", "matching", "materialise", "release", "shared_dir", "table", "with_result"]
 
 #: Rows of keys up to which a table of keys is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -50,6 +54,15 @@ def first_by_hash(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
     return near.withColumn(nth, rank).where(F.col(nth) <= n).select(*df.columns)
 
 
+def give_back() -> None:
+    """Hands memory that this process has freed back to the machine: Python workers outlive the tasks, and stages, that filled them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; elsewhere freed pages go back by themselves or stay
+    if trim is not None:
+        trim(0)
+
+
 def matching(df: DataFrame, keys: DataFrame, by: str, how: str) -> DataFrame:
     """df joined (left_semi or left_anti) with a table of keys, which is broadcast if it is counted and found small."""
     keys = materialise(keys, "keys")

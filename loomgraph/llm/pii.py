@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, with_result
+from .common import free_names, give_back, with_result
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -235,12 +235,17 @@ def with_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with the personal data in text_col replaced and length_col, where there is one, brought up to date."""
+    """docs with the personal data in text_col replaced and length_col, where there is one, brought up to date.
+
+    A null text stays null, and its length as it was; repeated rows each get the same result; texts of any length are read
+    whole; all other columns stay, in their order. No rows: no rows.
+    """
 
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([redact(x) for x in texts], dtype=object)
+        give_back()
 
     out = docs.withColumn(text_col, clean(F.col(text_col)))
     if length_col in docs.columns:

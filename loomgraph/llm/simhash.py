@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from loomgraph.operators.components import components
 
-from .common import BROADCAST_ROWS, free_names, matching, materialise, release
+from .common import BROADCAST_ROWS, free_names, give_back, matching, materialise, release
 
 BITS = 64
 SEED = 42
@@ -404,8 +404,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.pandas_udf("node long, fp long, s long, pair long")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()  # of the stage before
         for texts in batches:
             yield pd.DataFrame([sign(x, width) for x in texts], columns=["node", "fp", "s", "pair"], dtype=np.int64)
+        give_back()
 
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("text"))
     signs = materialise(known.select(id_col, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), signed("text").alias("sign")).select(id_col, "bytes", "sign.*"), "simhash-signs")
@@ -432,6 +434,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = placed.select(F.col("least").alias(id_col), "node", "root", task.alias("task"), F.when(whole | (F.col("at.i") == F.col("at.j")), F.lit(-1)).otherwise((F.col("own") == F.col("at.j")).cast("int")).alias("side"))
 
     def verified(pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()  # of the task's groups before
         out = []
         for _, g in pdf.groupby("root", sort=True):
             sets = [shingles(_words(x), width) for x in g["text"]]
