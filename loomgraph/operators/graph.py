@@ -356,11 +356,54 @@ def jump(edges: DataFrame, values: DataFrame) -> DataFrame:
     return total.crossJoin(values.agg(F.count("*").alias("n"))).select((F.col("total") / F.col("n")).alias("jump"))
 
 
-# trees and Voronoi neighbours, one sample at a time
+# trees and Voronoi neighbours of samples
+
+Frame = tuple[float, float, float]  # the middle of a sample's box and its longer side
+
+
+def _triangles(px: np.ndarray, py: np.ndarray, frame: Frame) -> tuple[np.ndarray, np.ndarray]:
+    """Corners, and (x, y, squared radius) of the circles, of the Delaunay triangles of distinct places, added in their order.
+
+    Three corners far outside the frame, numbered from len(px), close the triangulation.
+    """
+    n, (mx, my, span) = len(px), frame
+    span = max(span, 1e-9)
+    qx = np.concatenate([px.astype(float), [mx - 3e3 * span, mx, mx + 3e3 * span]])
+    qy = np.concatenate([py.astype(float), [my - 3e3 * span, my + 3e3 * span, my - 3e3 * span]])
+    xs, ys = qx.tolist(), qy.tolist()
+
+    def circle(a: int, b: int, c: int) -> tuple[float, float, float]:
+        bx, by, cx, cy = xs[b] - xs[a], ys[b] - ys[a], xs[c] - xs[a], ys[c] - ys[a]
+        d = 2 * (bx * cy - by * cx)
+        if d == 0:
+            return xs[a], ys[a], np.inf
+        ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
+        return xs[a] + ux, ys[a] + uy, ux * ux + uy * uy
+
+    # places of removed triangles are taken by new ones; a place without one has radius -1 and is never hit
+    tri, round_ = np.zeros((2 * n + 8, 3), np.int64), np.full((3, 2 * n + 8), -1.0)
+    tri[0], round_[:, 0], used = (n, n + 1, n + 2), circle(n, n + 1, n + 2), 1
+    for i in range(n):
+        c = round_[:, :used]
+        hit = np.flatnonzero((c[0] - xs[i]) ** 2 + (c[1] - ys[i]) ** 2 < c[2] * (1 - 1e-12))
+        edge: dict[tuple[int, int], int] = {}
+        for a, b, d in tri[hit].tolist():
+            for e in ((a, b), (b, d), (a, d)):
+                edge[e] = edge.get(e, 0) + 1
+        new = [sorted((*e, i)) for e, times in edge.items() if times == 1]
+        if used + len(new) > len(tri):
+            tri, round_ = np.concatenate([tri, np.zeros_like(tri)]), np.concatenate([round_, np.full_like(round_, -1.0)], axis=1)
+        at = [*hit.tolist(), *range(used, used + len(new) - len(hit))]
+        round_[2, at[len(new) :]] = -1.0
+        for k, t in zip(at, new, strict=False):
+            tri[k], round_[:, k] = t, circle(*t)
+        used = max(used, used + len(new) - len(hit))
+    live = round_[2, :used] >= 0
+    return tri[:used][live], round_[:, :used].T[live]
 
 
 def delaunay(x: np.ndarray, y: np.ndarray) -> set[tuple[int, int]]:
-    """Neighbour pairs of the Delaunay triangulation (positions), by adding points to triangles; coincident points are linked."""
+    """Neighbour pairs of the Delaunay triangulation (positions); coincident points are linked to the first of them."""
     place: dict[tuple[float, float], int] = {}
     pairs: set[tuple[int, int]] = set()
     own = []
@@ -372,48 +415,123 @@ def delaunay(x: np.ndarray, y: np.ndarray) -> set[tuple[int, int]]:
             own.append(i)
     if len(own) < 2:
         return pairs
-    if len(own) == 2:
-        return pairs | {tuple(sorted(own))}
-    px, py = x.astype(float), y.astype(float)
-    span = max(np.ptp(px), np.ptp(py), 1e-9)
-    mx, my = px.mean(), py.mean()
-    qx = np.concatenate([px, [mx - 3e3 * span, mx, mx + 3e3 * span]])
-    qy = np.concatenate([py, [my - 3e3 * span, my + 3e3 * span, my - 3e3 * span]])
-    n = len(px)
-
-    def circle(t: tuple[int, int, int]) -> tuple[float, float, float]:
-        a, b, c = t
-        bx, by, cx, cy = qx[b] - qx[a], qy[b] - qy[a], qx[c] - qx[a], qy[c] - qy[a]
-        d = 2 * (bx * cy - by * cx)
-        if d == 0:
-            return qx[a], qy[a], np.inf
-        ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
-        return qx[a] + ux, qy[a] + uy, ux * ux + uy * uy
-
-    tri = [(n, n + 1, n + 2)]
-    centre = [circle(tri[0])]
-    for i in own:
-        c = np.array(centre)
-        hit = (c[:, 0] - qx[i]) ** 2 + (c[:, 1] - qy[i]) ** 2 < c[:, 2] * (1 - 1e-12)
-        edge: dict[tuple[int, int], int] = {}
-        for j in np.flatnonzero(hit):
-            a, b, d = tri[j]
-            for e in ((a, b), (b, d), (a, d)):
-                edge[e] = edge.get(e, 0) + 1
-        keep = np.flatnonzero(~hit)
-        tri, centre = [tri[j] for j in keep], [centre[j] for j in keep]
-        for e, times in edge.items():
-            if times == 1:
-                t = tuple(sorted((*e, i)))
-                tri.append(t)
-                centre.append(circle(t))
-    for t in tri:
-        for a, b in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])):
-            if b < n:
-                pairs.add((a, b))
+    px, py = x[own].astype(float), y[own].astype(float)
+    tri, _ = _triangles(px, py, ((px.min() + px.max()) / 2, (py.min() + py.max()) / 2, max(np.ptp(px), np.ptp(py))))
+    for a, b, c in tri.tolist():
+        for u, v in ((a, b), (b, c), (a, c)):
+            if v < len(own):
+                pairs.add((own[u], own[v]))
     return pairs
 
 
+_BOX = ("x0", "x1", "y0", "y1")
+
+
+def _tree_levels(leaves: DataFrame, count: int, fan: int) -> list[DataFrame]:
+    """Boxes (id, s0, s1, x0, x1, y0, y1) of runs of leaves, of runs of those and so on, the last level with `fan` or fewer."""
+    levels = [leaves.select(F.col("leaf").alias("id"), F.col("sample").alias("s0"), F.col("sample").alias("s1"), *_BOX)]
+    while count > fan:
+        outer = [f(c).alias(c) for f, c in ((F.min, "s0"), (F.max, "s1"), (F.min, "x0"), (F.max, "x1"), (F.min, "y0"), (F.max, "y1"))]
+        levels.append(levels[-1].groupBy(F.floor(F.col("id") / fan).alias("id")).agg(*outer))
+        count = -(-count // fan)
+    return levels
+
+
+def _down(asked: DataFrame, levels: list[DataFrame], fan: int, keep) -> DataFrame:
+    """asked, which has a sample, with the ids of the leaves that `keep` leaves over on each level of the tree."""
+    met = asked.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fan - 1).cast("long"))))
+    for k, level in enumerate(reversed(levels)):
+        if k:
+            met = met.withColumn("id", F.explode(F.sequence(F.col("id") * fan, F.col("id") * fan + fan - 1)))
+        met = keep(met.join(level, "id").where("sample BETWEEN s0 AND s1")).select(*asked.columns, "id")
+    return met
+
+
+def tiled_delaunay(coords: DataFrame, tile: int = 512, fan: int = 16) -> DataFrame:
+    """(sample, src, tgt): delaunay() of samples of any size, over many tasks; coords: (sample, node, x, y).
+
+    Sites are numbered along a curve; runs of `tile` of them are tiles, whose boxes form a tree. A tile triangulates its
+    sites and those around its box. A triangle at one of its sites is right if no site lies in its circle; circles that
+    reach beyond what the tile knows go down the tree, the sites found in them are added, and the tile triangulates again,
+    until no circle holds a site. A circle that holds a whole box needs no other box in that round, so wide circles cost a
+    path down the tree. Of four or more sites on one circle, which diagonals are pairs is open. Rows with a null sample, or
+    a null or NaN coordinate, take no part.
+    """
+    coords = coords.where("sample IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").select("sample", "node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    sites = materialise(coords.groupBy("sample", "x", "y").agg(F.min("node").alias("node")), "sites")
+    probs = [i / 256 for i in range(1, 256)]
+    cuts = sites.agg(*[F.percentile_approx(c, probs, 10_000).alias(c) for c in ("x", "y")]).first()
+    curve = sites.withColumn("z", _curve(cuts["x"] or [], cuts["y"] or [], F.col("x"), F.col("y")))
+    numbered = materialise(number_rows(curve, "sample", "z", "x", "y", name="pos").withColumn("run", F.floor(F.col("pos") / tile)), "numbered")
+    box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
+    frame = numbered.groupBy("sample").agg(*[c.alias(f"f{n}") for c, n in zip(box, _BOX, strict=True)])
+    leaves = number_rows(numbered.groupBy("sample", "run").agg(*box, F.count("*").alias("n")), "sample", "run", name="leaf")
+    leaves = materialise(leaves.join(frame, "sample"), "leaves")
+    placed = materialise(numbered.join(leaves.select("sample", "run", "leaf"), ["sample", "run"]).select("leaf", "pos", "x", "y"), "placed")
+    levels = _tree_levels(leaves, leaves.count(), fan)
+
+    # what lies within a quarter of a tile's longer side, unless that is much: then the circles alone ask
+    more = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / 4
+    around = leaves.select("sample", "leaf", (F.col("x0") - more).alias("kx0"), (F.col("x1") + more).alias("kx1"), (F.col("y0") - more).alias("ky0"), (F.col("y1") + more).alias("ky1"))
+    near = materialise(_down(around, levels, fan, lambda m: m.where("x0 <= kx1 AND x1 >= kx0 AND y0 <= ky1 AND y1 >= ky0")), "near")
+    few = near.join(leaves.select(F.col("leaf").alias("id"), "n"), "id").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") <= 32 * tile).select("leaf")
+    near = near.join(few, "leaf").where("id <> leaf")
+    other = placed.select(F.col("leaf").alias("id"), "pos", "x", "y")
+    halo = near.join(other, "id").where("x BETWEEN kx0 AND kx1 AND y BETWEEN ky0 AND ky1").select("leaf", "pos", "x", "y", F.lit(False).alias("own"))
+    held = materialise(placed.withColumn("own", F.lit(True)).unionByName(halo), "held")
+    known = [F.when(F.col("few"), F.col(f"k{c}")).alias(f"k{c}") for c in _BOX]
+    about = materialise(leaves.select("sample", "leaf", *[f"f{c}" for c in _BOX]).join(around.drop("sample"), "leaf").join(few.withColumn("few", F.lit(True)), "leaf", "left").select("sample", "leaf", *[f"f{c}" for c in _BOX], *known), "about")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        pos, own, one = pdf["pos"].to_numpy(), np.append(pdf["own"].to_numpy(bool), [False] * 3), pdf.iloc[0]
+        x0, x1, y0, y1 = (float(one[f"f{c}"]) for c in _BOX)
+        tri, round_ = _triangles(pdf["x"].to_numpy(), pdf["y"].to_numpy(), ((x0 + x1) / 2, (y0 + y1) / 2, max(x1 - x0, y1 - y0)))
+        mine = own[tri].any(1)
+        tri, round_ = tri[mine], round_[mine]
+        ends = np.concatenate([tri[:, [0, 1]], tri[:, [1, 2]], tri[:, [0, 2]]])
+        ends = np.unique(ends[(ends[:, 1] < len(pos)) & own[ends[:, 0]]], axis=0)
+        cx, cy, r = round_[:, 0], round_[:, 1], np.sqrt(round_[:, 2])
+        # beyond the sample's box there is nothing; a tile without a halo knows no box, and NaN compares as false
+        closed = (np.maximum(cx - r, x0) >= one["kx0"]) & (np.minimum(cx + r, x1) <= one["kx1"]) & (np.maximum(cy - r, y0) >= one["ky0"]) & (np.minimum(cy + r, y1) <= one["ky1"])
+        ask = round_[~closed & np.isfinite(r)]
+        none = np.zeros(len(ends))
+        return pd.DataFrame({
+            "leaf": np.int64(one["leaf"]),
+            "a": np.append(pos[ends[:, 0]], np.full(len(ask), -1)), "b": np.append(pos[ends[:, 1]], np.full(len(ask), -1)),
+            "cx": np.append(none, ask[:, 0]), "cy": np.append(none, ask[:, 1]), "r2": np.append(none, ask[:, 2]),
+        })
+
+    def touched(met: DataFrame) -> DataFrame:
+        """Boxes that meet the circle; of those wholly within it, where there are any, the one that is so by most."""
+        gap = lambda lo, hi, c: F.greatest(F.lit(0.0), F.col(lo) - F.col(c), F.col(c) - F.col(hi))
+        far = lambda lo, hi, c: F.greatest(F.abs(F.col(lo) - F.col(c)), F.abs(F.col(hi) - F.col(c)))
+        square = lambda of: F.pow(of("x0", "x1", "cx"), 2) + F.pow(of("y0", "y1", "cy"), 2)
+        within = F.when((F.col("far") < F.col("r2") * (1 - 1e-9)) & F.expr("s0 = s1"), F.struct("far", "id"))
+        least = F.min("within").over(Window.partitionBy("leaf", "cx", "cy", "r2"))
+        return met.where(square(gap) <= F.col("r2")).withColumn("far", square(far)).withColumn("within", within).withColumn("least", least).where("least IS NULL OR least = within")
+
+    edges, active = [], held
+    while True:
+        made = materialise(active.join(about.drop("sample"), "leaf").groupBy("leaf").applyInPandas(run, "leaf long, a long, b long, cx double, cy double, r2 double"), "tiles")
+        asked = made.where("a < 0").select("leaf", "cx", "cy", "r2").distinct().join(about.select("leaf", "sample"), "leaf")
+        inside = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
+        hits = _down(asked, levels, fan, touched).join(other, "id").withColumn("d2", inside).where(F.col("d2") < F.col("r2") * (1 - 1e-12))
+        hits = hits.join(active.select("leaf", "pos"), ["leaf", "pos"], "left_anti")
+        deepest = hits.groupBy("leaf", "cx", "cy", "r2", "id").agg(F.min(F.struct("d2", "pos", "x", "y")).alias("s"))
+        found = materialise(deepest.select("leaf", "s.pos", "s.x", "s.y", F.lit(False).alias("own")).distinct(), "found")
+        again = found.select("leaf").distinct()
+        edges.append(made.where("a >= 0").join(again, "leaf", "left_anti").select("a", "b"))
+        if not found.take(1):
+            break
+        active = materialise(active.join(again, "leaf", "left_semi").unionByName(found), "held")
+    names = numbered.select("pos", "node", "sample")
+    pairs = reduce(DataFrame.unionByName, edges).join(names.toDF("a", "na", "sample"), "a").join(names.drop("sample").toDF("b", "nb"), "b")
+    pairs = pairs.select("sample", F.least("na", "nb").alias("src"), F.greatest("na", "nb").alias("tgt")).distinct()
+    twins = coords.join(sites.withColumnRenamed("node", "first"), ["sample", "x", "y"]).where("node <> first")
+    return materialise(pairs.unionByName(twins.select("sample", F.col("first").alias("src"), F.col("node").alias("tgt"))), "delaunay")
+
+
 def spanning_tree(n: int, edges: list[tuple[float, int, int]]) -> list[int]:
     """Positions in `edges` (length, a, b) of a minimum spanning forest, ties by position."""
     root = list(range(n))
@@ -433,12 +551,15 @@ def spanning_tree(n: int, edges: list[tuple[float, int, int]]) -> list[int]:
     return kept
 
 
-def voronoi_graph(coords: DataFrame, sample: str = "sample_id", tree: bool = True) -> DataFrame:
+def voronoi_graph(coords: DataFrame, sample: str = "sample_id", tree: bool = True, largest: int = 5000, tile: int = 512) -> DataFrame:
     """(sample, src, tgt, distance): Voronoi neighbours in each sample, or only the minimum spanning tree among them.
 
-    A row is also a row of the difference matrix: +1 at src, -1 at tgt. A sample has to fit in one task's memory.
+    A row is also a row of the difference matrix: +1 at src, -1 at tgt. A sample of up to `largest` nodes is one task's;
+    larger ones are triangulated in tiles of `tile` sites (tiled_delaunay) and their trees grown by rounds of joins. Nodes
+    are distinct within a sample; rows with a null sample, or a null or NaN coordinate, take no part.
     """
     types = {f.name: f.dataType.simpleString() for f in coords.schema}
+    coords = coords.where(f"`{sample}` IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").select(sample, "node", "x", "y")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node").reset_index(drop=True)
@@ -449,7 +570,22 @@ def voronoi_graph(coords: DataFrame, sample: str = "sample_id", tree: bool = Tru
             edges = [edges[k] for k in spanning_tree(len(ids), edges)]
         return pd.DataFrame({sample: pdf[sample].iloc[0], "src": [ids[a] for _, a, _ in edges], "tgt": [ids[b] for _, _, b in edges], "distance": [d for d, _, _ in edges]})
 
-    return coords.groupBy(sample).applyInPandas(run, f"{sample} {types[sample]}, src {types['node']}, tgt {types['node']}, distance double")
+    schema = f"{sample} {types[sample]}, src {types['node']}, tgt {types['node']}, distance double"
+    wide = materialise(coords.groupBy(sample).count().where(F.col("count") > largest).select(sample), "wide")
+    if not wide.take(1):
+        return coords.groupBy(sample).applyInPandas(run, schema)
+    small = coords.join(wide, sample, "left_anti").groupBy(sample).applyInPandas(run, schema)
+    large = materialise(coords.join(wide, sample, "left_semi").select(F.col(sample).alias("sample"), "node", "x", "y"), "large")
+    pairs = tiled_delaunay(large, tile)
+    # nodes are distinct within a sample only, so trees grow on numbers
+    numbered = materialise(number_rows(large, "sample", "node", name="at"), "numbered")
+    end = lambda c: numbered.select("sample", F.col("node").alias(c), F.col("at").alias(f"{c}_at"), F.col("x").alias(f"{c}_x"), F.col("y").alias(f"{c}_y"))
+    distance = F.sqrt(F.pow(F.col("src_x") - F.col("tgt_x"), 2) + F.pow(F.col("src_y") - F.col("tgt_y"), 2))
+    found = materialise(pairs.join(end("src"), ["sample", "src"]).join(end("tgt"), ["sample", "tgt"]).withColumn("distance", distance), "pairs")
+    if tree:
+        grown = spanning_forest(found.select(F.col("src_at").alias("src"), F.col("tgt_at").alias("tgt"), F.col("distance").alias("weight")))
+        found = found.join(grown.select(F.col("src").alias("src_at"), F.col("tgt").alias("tgt_at")), ["src_at", "tgt_at"], "left_semi")
+    return small.unionByName(found.select(F.col("sample").alias(sample), "src", "tgt", "distance"))
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:

@@ -186,6 +186,34 @@ def test_delaunay_holds_the_euclidean_tree_and_empty_circles():
     assert graph.delaunay(np.array([0.0, 0.0, 1.0]), np.array([0.0, 0.0, 0.0])) == {(0, 1), (0, 2)}
 
 
+@pytest.mark.parametrize("shape", ["even", "clusters"])
+def test_tiled_delaunay_equals_one_task(spark, shape):
+    """Over many tiles: an even sample; dense clusters far apart, a lone outlier, repeated places, and a second sample."""
+    rng = np.random.default_rng(16)
+    if shape == "even":
+        xy = rng.random((700, 2))
+    else:
+        middles = np.repeat([[0, 0], [40, 3], [41, 3.2], [900, -700]], [300, 250, 100, 1], axis=0)
+        xy = middles + rng.normal(0, 0.4, middles.shape)
+        xy = np.concatenate([xy, xy[:3]])
+    other = rng.random((90, 2)) * 50
+    rows = [("a", i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [("b", i, float(x), float(y)) for i, (x, y) in enumerate(other)]
+    odd = [("a", 9001, None, 1.0), ("a", 9002, 1.0, float("nan")), (None, 9003, 1.0, 1.0)]
+    coords = spark.createDataFrame(rows + odd, "sample string, node long, x double, y double")
+    got = [(r["sample"], r["src"], r["tgt"]) for r in graph.tiled_delaunay(coords, tile=48, fan=4).collect()]
+    want = {(s, i, j) for s, p in (("a", xy), ("b", other)) for i, j in graph.delaunay(p[:, 0], p[:, 1])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_trees_of_wide_samples_equal_those_of_tasks(spark):
+    rng = np.random.default_rng(17)
+    rows = [(s, i, float(x), float(y)) for s, n in (("a", 260), ("b", 150), ("c", 20)) for i, (x, y) in enumerate(rng.random((n, 2)))]
+    coords = spark.createDataFrame(rows, "sample_id string, node long, x double, y double")
+    plain = lambda df: sorted((r["sample_id"], r["src"], r["tgt"], round(r["distance"], 12)) for r in df.collect())
+    assert plain(graph.voronoi_graph(coords, largest=100, tile=64)) == plain(graph.voronoi_graph(coords))
+    assert not graph.voronoi_graph(coords.limit(0)).count() and not graph.tiled_delaunay(coords.withColumnRenamed("sample_id", "sample").limit(0)).count()
+
+
 def test_boruvka_equals_kruskal(spark):
     rng = np.random.default_rng(7)
     edges = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 40, (90, 2)) if a != b})
