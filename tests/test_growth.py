@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from loomgraph.operators import counts as C
+from loomgraph.operators import graph
 from loomgraph.plans import catalog
 
 
@@ -41,3 +42,13 @@ def test_usage_is_one_pass_and_counts_every_document(spark):
     want = {t: v for t, v in want.items() if v > least}
     assert set(got) == set(want) and all(abs(got[t] - want[t]) < 1e-12 for t in want)
 
+
+def test_nearest_deals_rows_by_their_number(spark, monkeypatch):
+    """Few bytes that meet many rows: AQE would leave them to one task."""
+    seen, write = {}, graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, tag: seen.setdefault(tag, plan(df)) and write(df, tag))
+    rng = np.random.default_rng(3)
+    p = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(rng.random((9000, 2)))], "node long, x double, y double")
+    assert graph.nearest(p, 2).count() == 18_000
+    assert re.search(r"hashpartitioning\(leaf#\w+, 3\), REPARTITION_BY_NUM", seen["leaf-pairs"])
+    assert re.search(r"hashpartitioning\(other#\w+, 3\), REPARTITION_BY_NUM", seen["knn"])
