@@ -52,3 +52,23 @@ def test_nearest_deals_rows_by_their_number(spark, monkeypatch):
     assert graph.nearest(p, 2).count() == 18_000
     assert re.search(r"hashpartitioning\(leaf#\w+, 3\), REPARTITION_BY_NUM", seen["leaf-pairs"])
     assert re.search(r"hashpartitioning\(other#\w+, 3\), REPARTITION_BY_NUM", seen["knn"])
+
+
+def test_shared_tokens_meet_without_all_pairs(spark, monkeypatch):
+    """Nodes of 1 to 30 tokens against all pairs; 400 nodes of one token make 400 heads' rows each, not 400 squared."""
+    rng = np.random.default_rng(9)
+    held = {i: set(rng.choice(60, size=int(rng.choice([1, 2, 3, 5, 30], p=[0.2, 0.3, 0.3, 0.15, 0.05])), replace=False).tolist()) for i in range(150)}
+    items = spark.createDataFrame([(i, f"t{x}") for i, s in held.items() for x in s] + [(1000 + i, "crowd") for i in range(400)] + [(None, "t1"), (5, None)], "node long, token string")
+    held |= {1000 + i: {"crowd"} for i in range(400)}
+    seen, few = [], getattr(graph, "_few_shared", None)
+    monkeypatch.setattr(graph, "_few_shared", lambda *a: seen.append(few(*a)) or seen[0], raising=False)
+    got = {}
+    for r in graph.shared_counts(items, 100, 4).collect():
+        got.setdefault(r["src"], {})[r["rank"]] = (r["tgt"], r["shared"])
+    want = {}
+    for i, s in held.items():
+        best = sorted((-len(s & u), j) for j, u in held.items() if j != i and s & u)[:4]
+        if best:
+            want[i] = {k + 1: (j, -c) for k, (c, j) in enumerate(best)}
+    assert got == want
+    assert seen and seen[0].where("src >= 1000").count() <= 400 * 5
