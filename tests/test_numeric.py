@@ -693,3 +693,29 @@ def test_priors_of_large_components_equal_those_of_tasks(spark):
         found = {r["doc_id"]: r["prior"] for r in got.collect()}
         apart = np.abs(np.array([found[100 + i] for i in range(9)]) - want)
         assert apart[:7].max() < 2e-4 and apart.max() < 1e-3  # without an edge, Newton's own tolerance
+
+
+# vectors over the terms as tables
+
+
+def test_model_whose_vectors_are_tables_equals_the_held_one(corpus, spark):
+    _, _, counts = corpus
+    one, other = GraphTopics(3).fit(counts), GraphTopics(3, gram_terms=0, held_terms=0).fit(counts)
+    assert "a" not in other.__dict__ and "v" not in other.__dict__  # nothing of the size of the terms came to the driver
+    left, right = ({(r["topic"], r["term"]): r["a"] for r in m.terms().collect()} for m in (one, other))
+    assert left.keys() == right.keys() and max(abs(left[x] - right[x]) for x in left) < 1e-7
+    assert np.allclose(one.a, other.a, atol=1e-7) and np.allclose(one.v, other.v, atol=1e-7) and np.allclose(one.values, other.values)
+    w = {r["doc_id"]: r["w"] for r in one.w.collect()}
+    assert max(np.abs(np.array(w[r["doc_id"]]) - np.array(r["w"])).max() for r in other.w.collect()) < 1e-6
+
+
+def test_table_vectors_of_low_rank_and_few_terms(spark):
+    from loomgraph.operators import factors
+
+    flat = spark.createDataFrame([(i, t, n) for i in range(5) for t, n in (("a", 1), ("b", 3))], "doc_id long, term string, n long")
+    vocab, p = C.all_terms(flat)
+    x = factors.Tabled(flat, vocab, p, "doc_id")
+    v, values = x.leading(3)
+    assert np.allclose(values, [5 * (1 / 16 + 9 / 16), 0, 0], atol=1e-9)
+    found = {r["term_id"]: r["c"] for r in x.long(v, 3).collect()}
+    assert np.allclose([found[0][0], found[1][0]], np.array([3, 1]) / 10**0.5)
