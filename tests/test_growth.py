@@ -72,3 +72,23 @@ def test_shared_tokens_meet_without_all_pairs(spark, monkeypatch):
             want[i] = {k + 1: (j, -c) for k, (c, j) in enumerate(best)}
     assert got == want
     assert seen and seen[0].where("src >= 1000").count() <= 400 * 5
+
+def test_spanning_forest_contracts_its_edges(spark, monkeypatch):
+    """Ties, nulls, NaN, chains and islands against Kruskal's rule, by rounds and in one task; a round writes at most half the components, and broadcasts nothing."""
+    rng = np.random.default_rng(12)
+    pairs = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 300, (700, 2)).tolist() if a != b} | {(1000 + i, 1001 + i) for i in range(60)}
+    weights = [None, float("nan"), 0.0, 1.0, 2.0, 2.5]
+    rows = [(a, b, float(a) if a >= 1000 else weights[int(rng.integers(6))]) for a, b in sorted(pairs)]
+    edges = spark.createDataFrame(rows, "src long, tgt long, weight double").repartition(3)
+    order = sorted(rows, key=lambda r: (r[2] is not None, r[2] is not None and r[2] != r[2], 0 if r[2] is None or r[2] != r[2] else r[2], r[:2]))
+    want = {order[k][:2] for k in graph.spanning_tree(2000, [(i, a, b) for i, (a, b, _) in enumerate(order)])}
+    seen, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, tag: seen.append((tag, plan(df), write(df, tag))) or seen[-1][2])
+    for held in (200_000, 100, 0):
+        seen.clear()
+        got = graph.spanning_forest(edges, held)
+        assert {(r["src"], r["tgt"]) for r in got.collect()} == want and got.count() == len(want)
+        least = [t.count() for tag, _, t in seen if tag == "mst-least"]
+        assert all(2 * y <= x for x, y in zip(least, least[1:], strict=False)) and bool(least) == (held < 1000)
+        assert not any("Broadcast" in p for _, p, _ in seen)
+    assert graph.spanning_forest(edges.limit(0)).count() == 0
