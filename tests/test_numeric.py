@@ -695,6 +695,25 @@ def test_priors_of_large_components_equal_those_of_tasks(spark):
         assert apart[:7].max() < 2e-4 and apart.max() < 1e-3  # without an edge, Newton's own tolerance
 
 
+def test_priors_by_blocks_with_a_hub_equal_those_of_one_task(spark, monkeypatch):
+    written, whole = [], spatial_lda.materialise
+    monkeypatch.setattr(spatial_lda, "materialise", lambda df, tag: written.append(tag) or whole(df, tag))
+    rng = np.random.default_rng(4)
+    gamma = rng.random((60, 2)) * 5 + 0.3
+    pairs = {(min(i, j), max(i, j)) for i in range(40) for j in ((i + 1) % 40, (i + 7) % 40)} | {(0, i) for i in range(40, 60)} | {(i, i + 1) for i in range(40, 59)}
+    edges = [(i, j, 1.0 + i / 50) for i, j in sorted(pairs)]
+    src, tgt, weight = (np.array(x) for x in zip(*edges, strict=True))
+    want = spatial_lda.admm(gamma, src, tgt, weight, rounds=1000)
+    weights = spark.createDataFrame([(i, g.tolist()) for i, g in enumerate(gamma)], "node long, w array<double>").coalesce(1)
+    e = spark.createDataFrame(edges, "src long, tgt long, weight double").coalesce(1)
+    for held in (1000, 5):  # regions grown in one task, and what is contracted before
+        dealt = spatial_lda._blocks(e, 60, 15, held).groupBy("part").count().collect()
+        assert len(dealt) >= 4 and sum(r["count"] for r in dealt) == len(edges)
+    got = {r["node"]: r["prior"] for r in spatial_lda.admm_large(weights, e, 2, block=60, hub=15, held=5).collect()}
+    assert np.abs(np.array([got[i] for i in range(60)]) - want).max() < 2e-4
+    assert len(got) == 60 and written.count("admm-blocks") <= 61 and len(written) < 200  # a round of joins for each step took hundreds
+
+
 # vectors over the terms as tables
 
 
