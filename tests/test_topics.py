@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from loomgraph import shared
+from loomgraph.operators import counts as C
+from loomgraph.operators import factors
 from loomgraph.plans import catalog
 from loomgraph.plans.model import GraphTopics
 
@@ -21,3 +26,50 @@ def test_graph_topics_leaves_no_rounds_out(spark, sf, monkeypatch):
     with pytest.raises(Seen) as seen:
         catalog.graph_topics(spark, sf)
     assert seen.value.args[0] == GraphTopics(4, "graph")
+
+
+def test_singular_vectors_over_tables_hold_documents_not_terms(spark, monkeypatch):
+    """Rounds write vectors over the documents; terms of one chunk alone never leave it."""
+    rng = np.random.default_rng(3)
+    rows = [(d, t, int(n)) for d in range(40) for t, n in [*((f"c{j}", rng.integers(1, 9)) for j in range(6)), *((f"own{d}_{j}", rng.integers(1, 4)) for j in range(50))]]
+    counts = spark.createDataFrame(rows, "doc_id long, term string, n long")
+    vocab, p = C.all_terms(counts)
+    x = factors.Tabled(counts, vocab, p, "doc_id")
+    moved = x.terms.where("NOT alone").select(F.explode("ids")).distinct().count()
+    assert p == 2006 and moved == 6
+    sizes = []
+
+    def seen(df, tag):
+        out = shared.materialise(df, tag)
+        sizes.append(sum(r["n"] for r in out.select(sum((F.size(c) for c in out.columns if c in ("a", "b", "p")), F.lit(0)).alias("n")).collect()))
+        return out
+
+    monkeypatch.setattr(factors, "materialise", seen)
+    v, values = x.leading(2)
+    # three columns of 40 documents x 8; what is over the terms is written once, at the end
+    assert max(sizes[:-2]) <= 3 * 40 * 8 and len(sizes) > 4
+    dense = np.zeros((40, p))
+    ids = {r["term"]: r["term_id"] for r in vocab.collect()}
+    for d, t, n in rows:
+        dense[d, ids[t]] = n
+    dense /= dense.sum(1, keepdims=True)
+    want = np.linalg.svd(dense, full_matrices=False)
+    assert np.allclose(values, want[1][:2] ** 2)
+    got = np.zeros((p, 2))
+    for r in x.long(v, 2).collect():
+        got[r["term_id"]] = r["c"]
+    assert np.allclose(np.abs(got.T @ want[2][:2].T), np.eye(2), atol=1e-7)
+
+
+def test_what_a_written_table_shuffled_is_deleted_with_it(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in (str(x.getName()) for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files.getAllFiles())) if f.startswith("shuffle_")}
+    before = shuffles()
+    shared.release(shared.materialise(spark.range(10_000).repartition(7, "id"), "moved"))
+    assert not shuffles() - before
+
+
+def test_plsi_topics_keeps_one_copy_of_the_counts_and_lets_it_go(spark, sf):
+    known = {path for _, path in shared._WRITTEN}
+    catalog.plsi_topics(spark, sf)
+    assert not [path for _, path in shared._WRITTEN if path not in known and path.rsplit("/", 1)[1].startswith(("tokens-", "counts-"))]
