@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import shared
 from loomgraph.operators import counts as C
-from loomgraph.operators import factors
+from loomgraph.operators import factors, fusion
 from loomgraph.plans import catalog
 from loomgraph.plans.model import GraphTopics
 
@@ -73,3 +73,37 @@ def test_plsi_topics_keeps_one_copy_of_the_counts_and_lets_it_go(spark, sf):
     known = {path for _, path in shared._WRITTEN}
     catalog.plsi_topics(spark, sf)
     assert not [path for _, path in shared._WRITTEN if path not in known and path.rsplit("/", 1)[1].startswith(("tokens-", "counts-"))]
+
+
+def test_a_hub_slows_down_its_own_edges_only():
+    """A star of 3,000 equal leaves beside a path: the path's steps are its own, so few of them do."""
+    rng = np.random.default_rng(4)
+    src = np.concatenate([np.zeros(3000, int), np.arange(3001, 3100)])
+    tgt = np.concatenate([np.arange(1, 3001), np.arange(3002, 3101)])
+    y = rng.normal(size=(3101, 2))
+    y[:3001] = 1.0
+    u, z, gap = fusion.solve(y, src, tgt, np.ones(len(src)), 0.3, tol=1e-7, most=300)
+    assert gap < 1e-7 and np.linalg.norm(z, axis=1).max() < 0.3 + 1e-12
+    back = y.copy()
+    np.add.at(back, src, -z)
+    np.add.at(back, tgt, z)
+    assert np.allclose(back, u)
+
+
+def test_large_components_are_solved_by_blocks_in_few_rounds(spark, monkeypatch):
+    """Four blocks of a grid with a chord, two cases and ids that are names: as in one task, with a few written tables in all."""
+    rng = np.random.default_rng(6)
+    at = np.arange(100).reshape(10, 10)
+    pairs = np.concatenate([np.stack([at[:, :-1].ravel(), at[:, 1:].ravel()], 1), np.stack([at[:-1].ravel(), at[1:].ravel()], 1), [[0, 99]]])
+    y, weight = rng.normal(size=(100, 3)), rng.uniform(0.5, 1, len(pairs))
+    nodes = spark.createDataFrame([(c, f"n{i:02}", y[i].tolist()) for c in (0, 1) for i in range(100)], "case int, node string, y array<double>")
+    edges = spark.createDataFrame([(f"n{a:02}", f"n{b:02}", float(w)) for (a, b), w in zip(pairs, weight, strict=True)], "src string, tgt string, weight double")
+    tags = []
+    monkeypatch.setattr(fusion, "materialise", lambda df, tag: tags.append(tag) or shared.materialise(df, tag))
+    got = fusion.solve_large(nodes, edges, [0.05, 0.4], 3, tol=1e-7, block=130).collect()
+    assert len(got) == 200 and spark.read.parquet(*[p for _, p in shared._WRITTEN if "/fusion-nodes-" in p][-1:]).where("times > 1").count() > 10
+    assert tags.count("fusion-blocks") < 40
+    for case, gamma in enumerate((0.05, 0.4)):
+        want = fusion.solve(y, *pairs.T, weight, gamma, tol=1e-11, most=20_000)[0]
+        found = {r["node"]: r["u"] for r in got if r["case"] == case}
+        assert max(np.abs(np.array(found[f"n{i:02}"]) - want[i]).max() for i in range(100)) < 5e-3
